@@ -1,8 +1,9 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import quality_rules
+from . import quality_rules, token_counts
 
 QUERIES = {
     "op5_quality_rules": quality_rules.query,
+    "op7_token_counts": token_counts.query,
 }
 ORACLE_SQL: dict[str, str] = {}
