@@ -1,9 +1,10 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import quality_rules, token_counts
+from . import packing, quality_rules, token_counts
 
 QUERIES = {
     "op5_quality_rules": quality_rules.query,
     "op7_token_counts": token_counts.query,
+    "op10_packing": packing.query,
 }
 ORACLE_SQL: dict[str, str] = {}
