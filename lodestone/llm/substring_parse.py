@@ -23,19 +23,17 @@ an id are one document in rank, so equal rows of one id do not remove each other
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._scratch import written
+from ._spans import FLUSH, ROW_SCHEMA, SPAN_SCHEMA, cut, later, merged, ranked, rows_of, spans_of, unpacked
 from ._tables import table
 from ._text import Block, Hasher, U, blocks
 
 TRIGGER = 32
-_NO_ID = (1 << 63) - 1
 
 
 def phrases(b: Block, length: int = 100, trigger: int = TRIGGER):
@@ -63,67 +61,6 @@ def phrases(b: Block, length: int = 100, trigger: int = TRIGGER):
     return hasher, doc[first], low, count, h[where], hasher(low, low + count + length - 1)
 
 
-def _later(key: np.ndarray, k: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by key and rank; and, in that order, which items rank after the first of their key."""
-    order = np.lexsort((low, k, key))
-    key, k, low = key[order], k[order], low[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else np.zeros(0, np.int64)
-    return order, (k != k[first]) | (low != low[first])
-
-
-def _merged(k: np.ndarray, fp: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Spans of each document, touching ones joined."""
-    order = np.lexsort((low, fp, k))
-    k, fp, low, high = k[order], fp[order], low[order], high[order]
-    new = np.ones(len(k), bool)
-    other = (k[1:] != k[:-1]) | (fp[1:] != fp[:-1])
-    group = np.concatenate([[0], np.cumsum(other)]) if len(k) else np.zeros(0, np.int64)
-    wide = np.int64(1) << 33
-    top = np.maximum.accumulate(high + group * wide) - group * wide if len(k) else high
-    new[1:] = other | (low[1:] > top[:-1])
-    first = np.flatnonzero(new)
-    return k[first], fp[first], low[first], np.append(top[first[1:] - 1], top[-1:])
-
-
-def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """The slices of ``values`` between cuts, as binary values."""
-    values = np.ascontiguousarray(values)
-    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
-
-
-def _unpacked(column: pa.Array, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
-
-
-_ROW = ["bucket", "kind", "k", "fp", "low", "count", "key", "own", "text"]
-_ROW_SCHEMA = "bucket int, kind int, k binary, fp binary, low binary, count binary, key binary, own binary, text binary"
-
-
-def _rows(kind: int, bucket: np.ndarray, k, fp, low, count, key, own, texts: list[bytes] | None = None) -> pa.RecordBatch | None:
-    """Items as one packed row a bucket."""
-    if not len(bucket):
-        return None
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    cuts = np.append(first, len(bucket))
-    packs = [_packed(a[order].astype(t), cuts) for a, t in ((k, np.int64), (fp, np.int64), (low, np.int64), (count, np.int32), (key, U), (own, U))]
-    text = pa.nulls(len(first), pa.binary()) if texts is None else pa.array([b"".join(texts[i] for i in order[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int32)), *packs, text], names=_ROW)
-
-
-def _spans(k, fp, low, high, kind=0, key=None) -> pa.RecordBatch:
-    key = np.zeros(len(k), np.int64) if key is None else key.astype(np.int64)
-    kinds = kind if isinstance(kind, np.ndarray) else np.full(len(k), kind)
-    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(fp), pa.array(low), pa.array(high), pa.array(kinds.astype(np.int32)), pa.array(key)], names=["k", "fp", "low", "high", "kind", "key"])
-
-
-_SPAN_SCHEMA = "k long, fp long, low long, high long, kind int, key long"
-FLUSH = 16 << 20
-
-
 def _hot(documents: DataFrame, length: int, sample: int = 20_000, share: float = 0.005) -> np.ndarray:
     """Triggers in over ``share`` of about ``sample`` documents taken by hash; they only decide on routing."""
     n = documents.count()
@@ -156,16 +93,16 @@ def repeated_spans(documents: DataFrame, length: int = 100) -> DataFrame:
 
         def flush():
             k, fp, low, count, key, own = (np.concatenate(c) for c in zip(*held))
-            order, later = _later(own, k, low)
-            gone, stay = order[later], order[~later]
+            order, late = later(own, k, low)
+            gone, stay = order[late], order[~late]
             out = []
             if len(gone):
-                gk, gf, gl, gh = _merged(k[gone], fp[gone], low[gone], low[gone] + count[gone] + length - 1)
+                gk, gf, gl, gh = merged(k[gone], fp[gone], low[gone], low[gone] + count[gone] + length - 1)
                 zero = np.zeros(len(gk), U)
-                out.append(_rows(0, (gk.astype(U) * U(0x9E3779B97F4A7C15) >> U(40)) % buckets, gk, gf, gl, gh - gl, zero, zero))
+                out.append(rows_of(0, (gk.astype(U) * U(0x9E3779B97F4A7C15) >> U(40)) % buckets, gk, gf, gl, gh - gl, zero, zero))
             k, fp, low, count, key, own = (a[stay] for a in (k, fp, low, count, key, own))
             warm = is_hot(key)
-            out.append(_rows(1, (np.where(warm, own, key) >> U(20)) % buckets, k, fp, low, count, key, own))
+            out.append(rows_of(1, (np.where(warm, own, key) >> U(20)) % buckets, k, fp, low, count, key, own))
             return [r for r in out if r is not None]
 
         for batch in batches:
@@ -186,19 +123,19 @@ def repeated_spans(documents: DataFrame, length: int = 100) -> DataFrame:
             span = np.array(batch.column("kind").to_pylist()) == 0
             for mine, part in ((True, batch.filter(pa.array(span))), (False, batch.filter(pa.array(~span)))):
                 if part.num_rows:
-                    got = [_unpacked(part.column(c), t) for c, t in (("k", np.int64), ("fp", np.int64), ("low", np.int64), ("count", np.int32), ("key", U), ("own", U))]
+                    got = [unpacked(part.column(c), t) for c, t in (("k", np.int64), ("fp", np.int64), ("low", np.int64), ("count", np.int32), ("key", U), ("own", U))]
                     if mine:
-                        yield _spans(got[0], got[1], got[2], got[2] + got[3])
+                        yield spans_of(got[0], got[1], got[2], got[2] + got[3])
                     else:
                         held.append(got)
         if not held:
             return
         k, fp, low, count, key, own = (np.concatenate(c) for c in zip(*held))
         held.clear()
-        order, later = _later(own, k, low)
-        gone = order[later]
-        yield _spans(k[gone], fp[gone], low[gone], low[gone] + count[gone] + length - 1)
-        stay = order[~later]
+        order, late = later(own, k, low)
+        gone = order[late]
+        yield spans_of(k[gone], fp[gone], low[gone], low[gone] + count[gone] + length - 1)
+        stay = order[~late]
         k, fp, low, count, key, own = (a[stay] for a in (k, fp, low, count, key, own))
         order = np.lexsort((own, key))
         same = key[order][1:] == key[order][:-1]
@@ -211,9 +148,9 @@ def repeated_spans(documents: DataFrame, length: int = 100) -> DataFrame:
         contested[order] = many[group]
         warm = is_hot(key)
         contested |= warm
-        yield _spans(k[contested], fp[contested], low[contested], low[contested] + count[contested], 1 + warm[contested], key[contested])
+        yield spans_of(k[contested], fp[contested], low[contested], low[contested] + count[contested], 1 + warm[contested], key[contested])
 
-    found = written(documents.select("k", "fp", "text").mapInArrow(parse, _ROW_SCHEMA).repartition(parts, "bucket").mapInArrow(settle, _SPAN_SCHEMA), "phrases")
+    found = written(documents.select("k", "fp", "text").mapInArrow(parse, ROW_SCHEMA).repartition(parts, "bucket").mapInArrow(settle, SPAN_SCHEMA), "phrases")
     asked = found.where("kind > 0").groupBy("k", "fp").agg(F.collect_list(F.struct("low", "high", "kind", "key")).alias("asked"))
     with_text = documents.join(asked, ["k", "fp"]).select("k", "fp", "text", "asked")
 
@@ -230,20 +167,20 @@ def repeated_spans(documents: DataFrame, length: int = 100) -> DataFrame:
                 cold, base = kind == 1, b.at[doc]
                 raw = b.data.tobytes()
                 texts = [raw[i:j] for i, j in zip((base + low)[cold].tolist(), (base + high + length - 1)[cold].tolist())]
-                if out := _rows(1, (key[cold] >> U(20)) % buckets, k[cold], fp[cold], low[cold], (high - low)[cold], key[cold], key[cold], texts):
+                if out := rows_of(1, (key[cold] >> U(20)) % buckets, k[cold], fp[cold], low[cold], (high - low)[cold], key[cold], key[cold], texts):
                     yield out
                 n = (high - low)[~cold]
                 if len(n):
                     start = np.repeat((base + low)[~cold] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                     own = hasher(start, start + length)
                     wk, wf, wl = np.repeat(k[~cold], n), np.repeat(fp[~cold], n), start - np.repeat(base[~cold], n)
-                    order, later = _later(own, wk, wl)
-                    gone, stay = order[later], order[~later]
+                    order, late = later(own, wk, wl)
+                    gone, stay = order[late], order[~late]
                     if len(gone):
-                        gk, gf, gl, gh = _merged(wk[gone], wf[gone], wl[gone], wl[gone] + length)
+                        gk, gf, gl, gh = merged(wk[gone], wf[gone], wl[gone], wl[gone] + length)
                         zero = np.zeros(len(gk), U)
-                        yield _rows(0, (gk.astype(U) * U(0x9E3779B97F4A7C15) >> U(40)) % buckets, gk, gf, gl, gh - gl, zero, zero)
-                    yield _rows(2, (own[stay] >> U(20)) % buckets, wk[stay], wf[stay], wl[stay], np.ones(len(stay)), own[stay], own[stay])
+                        yield rows_of(0, (gk.astype(U) * U(0x9E3779B97F4A7C15) >> U(40)) % buckets, gk, gf, gl, gh - gl, zero, zero)
+                    yield rows_of(2, (own[stay] >> U(20)) % buckets, wk[stay], wf[stay], wl[stay], np.ones(len(stay)), own[stay], own[stay])
 
     def classes(batches):
         held = []
@@ -253,13 +190,13 @@ def repeated_spans(documents: DataFrame, length: int = 100) -> DataFrame:
                 part = batch.filter(pa.array(kinds == kind))
                 if not part.num_rows:
                     continue
-                k, fp, low, count = (_unpacked(part.column(c), t) for c, t in (("k", np.int64), ("fp", np.int64), ("low", np.int64), ("count", np.int32)))
+                k, fp, low, count = (unpacked(part.column(c), t) for c, t in (("k", np.int64), ("fp", np.int64), ("low", np.int64), ("count", np.int32)))
                 if kind == 0:
-                    yield _spans(k, fp, low, low + count)
+                    yield spans_of(k, fp, low, low + count)
                     continue
-                own = _unpacked(part.column("own"), U)
+                own = unpacked(part.column("own"), U)
                 if kind == 1:
-                    data = _unpacked(part.column("text"), np.uint8)
+                    data = unpacked(part.column("text"), np.uint8)
                     whole = count.astype(np.int64) + length - 1
                     base = np.concatenate([[0], np.cumsum(whole)[:-1]])
                     inner = np.arange(count.sum()) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
@@ -269,48 +206,22 @@ def repeated_spans(documents: DataFrame, length: int = 100) -> DataFrame:
                 held.append((k, fp, low, own))
         if held:
             k, fp, low, own = (np.concatenate(c) for c in zip(*held))
-            order, later = _later(own, k, low)
-            gone = order[later]
+            order, late = later(own, k, low)
+            gone = order[late]
             if len(gone):
-                yield _spans(*_merged(k[gone], fp[gone], low[gone], low[gone] + length))
+                yield spans_of(*merged(k[gone], fp[gone], low[gone], low[gone] + length))
 
-    more = with_text.mapInArrow(fetch, _ROW_SCHEMA).repartition(parts, "bucket").mapInArrow(classes, _SPAN_SCHEMA)
+    more = with_text.mapInArrow(fetch, ROW_SCHEMA).repartition(parts, "bucket").mapInArrow(classes, SPAN_SCHEMA)
     return found.where("kind = 0").unionByName(more).select("k", "fp", "low", "high")
 
 
-def remove_repeats(documents: DataFrame, length: int = 100, with_text: bool = False) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = 100, kept: str | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept]) of every row; needs columns doc_id and text.
 
-    ``spans`` holds the maximal removed byte spans; ``kept`` the remaining bytes, which may break characters.
+    ``spans`` holds the maximal removed byte spans; ``kept="binary"`` adds the remaining bytes, which may break characters.
     """
-    ready = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ready = ready.withColumn("fp", F.xxhash64("text"))
-    spans = repeated_spans(ready, length).groupBy("k", "fp").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<low: long, high: long>>" + ", kept binary" * with_text
-
-    def cut(batches):
-        for batch in batches:
-            for b in blocks(batch.column("text")):
-                own = batch.column("spans").slice(b.first, b.n).to_pylist()
-                out = [[] for _ in range(6)]
-                for d in range(b.n):
-                    raw = b.data[b.at[d] : b.at[d + 1]].tobytes()
-                    joined, rest, at = [], [], 0
-                    for s in sorted((s["low"], s["high"]) for s in own[d] or []):
-                        if joined and s[0] <= joined[-1][1]:
-                            joined[-1][1] = max(joined[-1][1], s[1])
-                        else:
-                            joined.append(list(s))
-                    for low, high in joined:
-                        rest.append(raw[at:low])
-                        at = high
-                    kept = b"".join([*rest, raw[at:]])
-                    for column, x in zip(out, (len(raw), len(raw) - len(kept), len(joined), hashlib.sha256(kept).hexdigest(), [{"low": i, "high": j} for i, j in joined], kept)):
-                        column.append(x)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])), pa.binary()][: 5 + with_text]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.first, b.n), *(pa.array(c, t) for c, t in zip(out, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept"] * with_text])
-
-    return ready.join(spans, ["k", "fp"], "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
+    ready = ranked(documents)
+    return cut(ready, repeated_spans(ready, length), kept)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
