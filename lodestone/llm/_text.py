@@ -73,9 +73,9 @@ class Block:
         np.cumsum(flags, out=sums[1:])
         return sums[self.at[1:]] - sums[self.at[:-1]]
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of the runs of bytes other than ASCII white space, and the bounds of each document's words (n + 1)."""
-        word = ~SPACE[self.data]
+    def words(self, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the runs of bytes other than ``apart`` (ASCII white space), and the bounds of each document's words (n + 1)."""
+        word = ~apart[self.data]
         before = np.empty_like(word)
         before[:1] = False
         before[1:] = word[:-1]

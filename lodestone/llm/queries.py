@@ -1,10 +1,11 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import near_dedup, packing, quality_rules, substring_dedup, substring_parse, token_counts
+from . import decontamination, near_dedup, packing, quality_rules, substring_dedup, substring_parse, token_counts
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.query,
     "op5_quality_rules": quality_rules.query,
+    "op6_decontamination": decontamination.query,
     "op7_token_counts": token_counts.query,
     "op8_substring_parse": substring_parse.query,
     "op9_near_dedup": near_dedup.query,
