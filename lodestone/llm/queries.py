@@ -1,9 +1,10 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import decontamination, near_dedup, packing, quality_rules, substring_dedup, substring_parse, token_counts
+from . import decontamination, near_dedup, packing, quality_rules, substring_dedup, substring_parse, token_counts, url_filters
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.query,
+    "op4_url_filters": url_filters.query,
     "op5_quality_rules": quality_rules.query,
     "op6_decontamination": decontamination.query,
     "op7_token_counts": token_counts.query,
@@ -11,4 +12,4 @@ QUERIES = {
     "op9_near_dedup": near_dedup.query,
     "op10_packing": packing.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_filters.ORACLE_SQL}
