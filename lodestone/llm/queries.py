@@ -1,10 +1,11 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import decontamination, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, substring_parse, token_counts, url_filters
+from . import decontamination, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, substring_parse, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
     "op2_substring_dedup": substring_dedup.query,
+    "op3_toxicity": toxicity.query,
     "op4_url_filters": url_filters.query,
     "op5_quality_rules": quality_rules.query,
     "op6_decontamination": decontamination.query,
