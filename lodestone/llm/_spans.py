@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._text import U, blocks
 
@@ -75,20 +76,22 @@ SPAN_SCHEMA = "k long, fp long, low long, high long, kind int, key long"
 FLUSH = 16 << 20
 
 
-def ranked(documents: DataFrame) -> DataFrame:
-    """(doc_id, k, fp, text): k ranks rows, those without an id last; k and fp, a hash of the text, identify a row's document."""
-    ready = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def ranked(documents: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, k, fp, text, and the columns carried): k ranks rows, those without an id last; k and fp, a hash of the text, identify a row's document."""
+    ready = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carried)
     return ready.withColumn("fp", F.xxhash64("text"))
 
 
-def cut(documents: DataFrame, spans: DataFrame, kept: str | None = None) -> DataFrame:
+def cut(documents: DataFrame, spans: DataFrame, kept: str | None = None, carried: tuple[str, ...] = (), digest: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept]) of every row of ``ranked`` documents.
 
     ``spans``: rows (k, fp, low, high). In the result they are maximal and in order. ``kept``: the type, string or
-    binary, in which to return the remaining bytes.
+    binary, in which to return the remaining bytes. ``carried`` columns pass through; without ``digest`` the hash is empty.
     """
     spans = spans.groupBy("k", "fp").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<low: long, high: long>>" + (f", kept {kept}" if kept else "")
+    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<low: long, high: long>>" + (f", kept {kept}" if kept else ""))
+    for c in carried:
+        schema = schema.add(c, documents.schema[c].dataType)
 
     def cutting(batches):
         for batch in batches:
@@ -107,12 +110,13 @@ def cut(documents: DataFrame, spans: DataFrame, kept: str | None = None) -> Data
                         rest.append(raw[at:low])
                         at = high
                     left = b"".join([*rest, raw[at:]])
-                    for column, x in zip(out, (len(raw), len(raw) - len(left), len(joined), hashlib.sha256(left).hexdigest(), [{"low": i, "high": j} for i, j in joined], left)):
+                    for column, x in zip(out, (len(raw), len(raw) - len(left), len(joined), hashlib.sha256(left).hexdigest() if digest else "", [{"low": i, "high": j} for i, j in joined], left)):
                         column.append(x)
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))]
                 columns = [pa.array(c, t) for c, t in zip(out, kinds)]
                 if kept:
                     columns.append(pa.array(out[5], pa.binary()).cast(pa.string() if kept == "string" else pa.binary()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.first, b.n), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept"] * bool(kept)])
+                columns += [batch.column(c).slice(b.first, b.n) for c in carried]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.first, b.n), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept"] * bool(kept), *carried])
 
-    return documents.join(spans, ["k", "fp"], "left").select("doc_id", "text", "spans").mapInArrow(cutting, schema)
+    return documents.join(spans, ["k", "fp"], "left").select("doc_id", "text", "spans", *carried).mapInArrow(cutting, schema)

@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._scratch import written
 from ._spans import FLUSH, ROW_SCHEMA, SPAN_SCHEMA, cut, later, merged, ranked, rows_of, spans_of, unpacked
@@ -108,6 +109,20 @@ def remove_units(documents: DataFrame, min_words: int = 4, sentences: bool = Tru
     return cut(ready, written(repeated_units(ready, min_words, sentences), "spans"), kept)
 
 
+def clean(documents: DataFrame, min_words: int = 4, sentences: bool = True) -> DataFrame:
+    """The rows of ``documents``, with all columns, without units that occur earlier in ``text``.
+
+    A row of which nothing but white space remains goes; one that had nothing else before stays, and so does a null text.
+    """
+    rest = [c for c in documents.columns if c != "text"]
+    row = F.struct(F.col("text").isNull().alias("none"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(rest)))
+    ready = ranked(documents.select("doc_id", "text", row.alias("row")), "row")
+    out = cut(ready, written(repeated_units(ready, min_words, sentences), "spans"), "string", ("row",), digest=False)
+    left = F.col("kept").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_removed") == 0)
+    columns = {c: F.col(f"row.c{i}") for i, c in enumerate(rest)} | {"text": F.when(~F.col("row.none"), F.col("kept"))}
+    return out.where(left).select(*(columns[c].alias(c) for c in documents.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: every document without the lines and sentences that occur earlier."""
     return remove_units(table(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("kept", "text")
