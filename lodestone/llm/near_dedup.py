@@ -7,11 +7,14 @@ A document's set holds its distinct shingles of five lower-cased words. Per side
 
 Stages: (1) one pass over the texts gives set sizes, digests of whole sets and the two sides' hashes. (2) Equal sets
 collapse to their smallest id. (3) Only hashes that several sets share can make a shared key, so the rest goes before
-keys are formed. (4) In each key's bucket every member is compared with the bucket's smallest id, on full sets. (5) Where
+keys are formed. (4) In each key's bucket every member is compared with the bucket's
+centre, the one whose hashes most others hold, on full sets. (5) Where
 a comparison failed, the bucket's components are formed, and all members outside the largest component meet all members
-of other components, also on full sets. Buckets with many such members (common passages, not copies) go to a next level
-with longer keys and more tables at the same recall, and the last level compares whatever is left; nothing is capped.
-(6) Components of the links.
+of other components. What two texts can share is bounded: shingles that no other text of such buckets has are never
+shared, and pairs that share a rare one are found by it; so most texts and pairs drop out before they meet, none of them a
+link, and the rest are compared on full sets. Buckets with many such members go to
+a next level with longer keys and more tables at the same recall, and the last level compares whatever is left; nothing is
+capped. (6) Components of the links.
 
 Every aggregate combines before its shuffle, equal sets never meet in pairs, and pairs carry no text until a join that
 adaptive execution may split. Defined results: a text without words, empty or null, has an empty set and links with
@@ -34,7 +37,9 @@ from .components import components
 #: (rows, tables) of each level.
 LEVELS = ((3, 14), (5, 30), (8, 75))
 #: Members outside a bucket's largest component that meet all its other members at once; with more, the next level.
-FEW = 32
+FEW = 512
+#: A shingle in no more than so many of the texts that step 5 compares is rare.
+RARE = 16
 WORDS = 5
 
 
@@ -72,7 +77,7 @@ def _minima(x: np.ndarray, at: np.ndarray, rows: int, tables: int, seed: int) ->
 
 
 def signatures(documents: DataFrame, rows: int, tables: int, seed: int = 1) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, hashes) of every row; d1 and d2 digest the whole set, hashes is null for empty sets."""
+    """(doc_id, n_shingles, d1, d2, hashes) of every row; d1 and d2 digest the set, hashes is empty for empty sets."""
 
     def signed(batches):
         for batch in batches:
@@ -89,22 +94,45 @@ def signatures(documents: DataFrame, rows: int, tables: int, seed: int = 1) -> D
                     np.add.at(s, own, mix(z + U(k)))
                 full = np.diff(at) > 0
                 keys = _minima(x, at, rows, tables, seed).astype(np.int64)
-                offsets = np.concatenate([[0], np.cumsum(full)]) * 2 * tables
-                hashes = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys.ravel()))
+                hashes = pa.ListArray.from_arrays(pa.array((np.concatenate([[0], np.cumsum(full)]) * 2 * tables).astype(np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.first, b.n), pa.array(np.bincount(own, minlength=b.n).astype(np.int64)), *(pa.array(s.astype(np.int64)) for s in sums), hashes], names=["doc_id", "n_shingles", "d1", "d2", "hashes"])
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(signed, "doc_id long, n_shingles long, d1 long, d2 long, hashes array<long>")
 
 
 def _keys(nodes: DataFrame, tables: int) -> DataFrame:
-    """(id, key): the key tables of nodes (id, hashes), of hashes that at least two nodes share."""
+    """(id, score, key): the key tables of nodes (id, hashes), of hashes that at least two nodes share.
+
+    ``score`` counts the other holders of a node's hashes; of copies with edits, the least edited has the most.
+    """
     each = nodes.select("id", F.posexplode("hashes").alias("t", "h")).withColumn("h", F.xxhash64("t", "h"))
-    shared = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    shared = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     sides = each.join(shared, "h").groupBy("id").agg(
-        F.collect_list(F.when(F.col("t") < tables, F.col("h"))).alias("left"), F.collect_list(F.when(F.col("t") >= tables, F.col("h"))).alias("right")
+        F.sum("n").alias("score"), F.collect_list(F.when(F.col("t") < tables, F.col("h"))).alias("left"), F.collect_list(F.when(F.col("t") >= tables, F.col("h"))).alias("right")
     )
-    pairs = sides.where("size(left) > 0 AND size(right) > 0").select("id", F.explode("left").alias("l"), "right").select("id", "l", F.explode("right").alias("r"))
-    return pairs.select("id", F.xxhash64("l", "r").alias("key"))
+    pairs = sides.where("size(left) > 0 AND size(right) > 0").select("id", "score", F.explode("left").alias("l"), "right").select("id", "score", "l", F.explode("right").alias("r"))
+    return pairs.select("id", "score", F.xxhash64("l", "r").alias("key"))
+
+
+def _exploded(texts: DataFrame) -> DataFrame:
+    """(id, x): the distinct shingles of texts (id, text)."""
+
+    def rows(batches):
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for b in blocks(batch.column("text")):
+                x, at = shingles(b)
+                for d in range(b.n):
+                    own = np.unique(x[at[d] : at[d + 1]]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), ids[b.first + d])), pa.array(own)], names=["id", "x"])
+
+    return texts.mapInArrow(rows, "id long, x long")
+
+
+def unshared(texts: DataFrame) -> DataFrame:
+    """(id, own): of each text (id, text), the number of shingles that no other of the texts has; texts without any are left out."""
+    holders = _exploded(texts).groupBy("x").agg(F.min("id").alias("id"), F.max("id").alias("other"))
+    return holders.where("id = other").groupBy("id").agg(F.count("*").alias("own"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
@@ -133,36 +161,54 @@ def _level(nodes: DataFrame, texts_of, level: int, links: DataFrame | None, perc
     """Links (a, b) found by one level and those after it, with the links given."""
     rows, tables = LEVELS[level]
     keys = _keys(nodes, tables)
-    # collapse before forming buckets: a bucket is its count and its least id
-    bucket = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
-    members = written(keys.join(bucket.select("key", "first"), "key"), "buckets")
+    # a bucket collapses to its count and its centre before its members meet
+    bucket = keys.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top")).where("n > 1")
+    members = written(keys.drop("score").join(bucket.select("key", (-F.col("top.minus")).alias("first")), "key"), "buckets")
     texts = texts_of(members.select("id").distinct())
-    star = members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    star = members.where("id <> first").select(F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")).distinct()
     tested = written(verified(star, texts, percent), "tested")
     found = tested.where("linked").select("a", "b")
     found = found if links is None else found.unionByName(links)
-    failed = tested.where("NOT linked").select(F.col("a").alias("id"), F.col("b").alias("first")).distinct()
-    mixed = members.join(failed, ["id", "first"]).select("key").distinct()
+    failed = tested.where("NOT linked").select("a", "b")
+    mixed = members.select("key", F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")).join(failed, ["a", "b"]).select("key").distinct()
     if mixed.isEmpty():
         return found
     groups = components(found).withColumnRenamed("node", "id")
-    inside = members.join(mixed, "key").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    inside = written(inside, "mixed")
-    sizes = inside.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "c")).alias("top")).where("n > top.m")
-    sizes = written(sizes.select("key", F.col("top.c").alias("most"), (F.col("n") - F.col("top.m")).alias("few")), "sizes")
+    ids = members.join(mixed, "key").select("id").distinct()
+    own = unshared(texts.join(ids, "id", "left_semi"))
+    bounds = nodes.join(ids, "id", "left_semi").join(own, "id", "left").select("id", "hashes", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("common"))
+    mine = bounds.where(f"100 * common >= {percent} * n").join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    # pairs that share a rare shingle are few; what other pairs can share is bounded by their common shingles
+    each = written(_exploded(texts.join(mine.select("id"), "id", "left_semi")), "shingles")
+    rare = each.join(each.groupBy("x").agg(F.count("*").alias("df")).where(f"df <= {RARE}"), "x")
+    mine = mine.join(rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left").withColumn("plain", F.col("n") - F.coalesce("rare", F.lit(0)))
+    mine = written(mine.select("id", "c", "n", "common", "plain", "hashes"), "mixed")
+    # one bucket a left hash here: a pair meets in the first that it shares, and has to share a right one
+    inside = mine.select("*", F.posexplode(F.slice("hashes", 1, tables)).alias("t", "key"))
+    sizes = inside.groupBy("t", "key", "c").agg(F.count("*").alias("m")).groupBy("t", "key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "c")).alias("top")).where("n > top.m")
+    sizes = written(sizes.select("t", "key", F.col("top.c").alias("most"), (F.col("n") - F.col("top.m")).alias("few")), "sizes")
     last = level + 1 == len(LEVELS)
     at_once = sizes if last else sizes.where(F.col("few") <= FEW)
-    here = inside.join(at_once, "key")
-    pairs = here.where("c <> most").select("key", F.col("id").alias("x"), F.col("c").alias("cx")).join(inside.select("key", F.col("id").alias("y"), F.col("c").alias("cy")), "key").where("cx <> cy")
-    pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    side = lambda d, z: d.select("t", "key", *(F.col(c).alias(c + z) for c in ("id", "c", "n", "plain", "hashes")))
+    few = inside.join(at_once, ["t", "key"]).where("c <> most")
+    room = lambda c: f"cx <> cy AND 100 * least({c}x, {c}y) >= {percent} * (nx + ny - least({c}x, {c}y))"
+    same = lambda start, n: f"exists(zip_with(slice(hashesx, {start}, {n}), slice(hashesy, {start}, {n}), (p, q) -> p = q), z -> z)"
+    once = F.expr(f"{room('plain')} AND NOT {same(1, 't')} AND {same(tables + 1, tables)}")
+    pairs = side(few, "x").join(side(inside, "y"), ["t", "key"]).where(once).select("idx", "idy")
+    tied = rare.where("df > 1").select("x", "id")
+    ties = tied.withColumnRenamed("id", "idx").join(tied.withColumnRenamed("id", "idy"), "x").where("idx < idy").select("idx", "idy").distinct()
+    for z in "xy":
+        ties = ties.join(mine.select(*(F.col(c).alias(c + z) for c in ("id", "c", "n", "common"))), f"id{z}")
+    pairs = pairs.unionByName(ties.where(F.expr(room("common"))).select("idx", "idy"))
+    pairs = pairs.select(F.greatest("idx", "idy").alias("a"), F.least("idx", "idy").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     found = written(found.unionByName(verified(pairs, texts, percent).where("linked").select("a", "b")), "found")
     if last:
         return found
-    rest = inside.join(sizes.where(F.col("few") > FEW).select("key"), "key").select("id").distinct()
+    rest = inside.join(sizes.where(F.col("few") > FEW).select("t", "key"), ["t", "key"]).select("id").distinct()
     if rest.isEmpty():
         return found
     again = written(signatures(texts.join(rest, "id").withColumnRenamed("id", "doc_id"), *LEVELS[level + 1], seed=level + 2), "signatures")
-    return _level(again.where("hashes IS NOT NULL").select(F.col("doc_id").alias("id"), "hashes"), texts_of, level + 1, found, percent)
+    return _level(again.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "hashes", "n_shingles"), texts_of, level + 1, found, percent)
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
@@ -172,7 +218,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     some = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     same = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     member = written(signed.where("doc_id IS NOT NULL AND n_shingles > 0").join(same, ["d1", "d2"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("hashes")).alias("hashes")), "members")
-    nodes = member.where("hashes IS NOT NULL").select(F.col("rep").alias("id"), "hashes").distinct()
+    nodes = member.where("hashes IS NOT NULL").select(F.col("rep").alias("id"), "hashes", "n_shingles").distinct()
 
     def texts_of(ids: DataFrame) -> DataFrame:
         return written(documents.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").distinct(), "texts")
