@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _local() -> str:
+    return tempfile.mkdtemp(prefix="lodestone-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.
 
@@ -19,9 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return f"file://{_local()}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
