@@ -1,0 +1,423 @@
+"""Operators against brute force, and what they promise."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+
+from lodestone.llm import _text, components, decontamination, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, substring_parse, token_counts, toxicity, url_filters
+from lodestone.llm._tables import table
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+
+def _documents(spark, data):
+    return dict(table(spark, data, "documents", "doc_id", "text").collect())
+
+
+def test_words_and_blocks():
+    texts = ["hello  world\n x", "", None, "é\xa0ñ u\x1cv", " ", "end"]
+    for target in (1, 8, 1000):
+        got = []
+        for b in _text.blocks(pa.array(texts), target):
+            s, e, w = b.words()
+            got += [[bytes(b.data[s[k] : e[k]]) for k in range(w[d], w[d + 1])] for d in range(b.n)]
+        assert got == [(t or "").encode().split() for t in texts]
+
+
+# quality rules
+
+
+def _counts(t):
+    t = t or ""
+    w = WORD.findall(t)
+    seen, cover, lines, dup = collections.Counter(zip(w, w[1:], w[2:])), set(), set(), 0
+    for i in range(len(w) - 2):
+        if seen[tuple(w[i : i + 3])] > 1:
+            cover |= {i, i + 1, i + 2}
+    for line in t.split("\n"):
+        if WORD.search(line):
+            dup += line in lines
+            lines.add(line)
+    return [len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(cover)]
+
+
+def test_base_counts(spark, data, odd, frame):
+    model = quality_rules.Trees(bias=3.0)
+    docs = _documents(spark, data)
+    for r in quality_rules.assess(table(spark, data, "documents", "doc_id", "text"), model).collect():
+        assert [r[c] for c in quality_rules.BASE] == _counts(docs[r["doc_id"]])
+        failed = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
+        assert r["base_failed"] == failed and r["kept"] == (not failed)
+    got = sorted(([r[c] for c in quality_rules.BASE] for r in quality_rules.assess(frame(odd), model).collect()))
+    assert got == sorted(_counts(t) for _, t in odd)
+
+
+def test_trees_are_monotone():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(600, 3))
+    y = (x[:, 0] + r.normal(size=600) > 0).astype(float)
+    model = quality_rules.fit(x, y, {0: -1, 1: 1}, trees=20)
+    line = np.linspace(-3, 3, 50)
+    for at in x[:40]:
+        grid = np.repeat(at[None], 50, 0)
+        for j, way in ((0, -1), (1, 1)):
+            g = grid.copy()
+            g[:, j] = line
+            assert (way * np.diff(model.score(g)) >= -1e-12).all()
+    free = quality_rules.fit(x, y, trees=20)
+    assert ((free.score(x) > 0.5) == y).mean() > 0.8
+
+
+# token counts and packing
+
+
+def _samples(n=1500):
+    r = random.Random(2)
+    parts = ["a", "b", " ", "  ", "\n", "\t", "'", "'s", "'re", "'ll", "'t", " 's", "é", "ñ", "日", "1", "23", "!", "...", "<|endoftext|>", "the", "ing", "😀", "\x1c", "\x85", "A", "\0", "’", "'d x"]
+    return ["".join(r.choice(parts) for _ in range(r.randrange(40))) for _ in range(n)] + ["word " * 3000, "x" * 3000, " " * 2000 + "a"]
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(BPE)
+
+
+def test_token_counts(library):
+    with open(BPE, "rb") as f:
+        counter = token_counts.Counter(f.read(), token_counts.character_classes(library.pre_tokenizer))
+    texts = _samples()
+    got = [n for i in range(0, len(texts), 97) for n in counter(texts[i : i + 97])]
+    assert got == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_chunk_maps_compose():
+    symbols = np.random.default_rng(1).integers(0, 9, 5000).astype(np.uint8)
+    assert (token_counts.word_starts(symbols, 16) == token_counts.word_starts(symbols, 8192)).all()
+
+
+def test_encoder(library):
+    with open(BPE, "rb") as f:
+        encoder = packing.Encoder(f.read())
+    assert encoder.fast is not None
+    texts = [*_samples(), *("a" + chr(c) + "1 " + chr(c) * 2 + "!" for c in [*range(0x558), *range(0x2000, 0x2070)])]
+    assert [a.tolist() for a in encoder(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def _packed(rows, capacity):
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for s in by.values():
+        end = 0
+        for offset, length in sorted(s):
+            assert offset == end
+            end += length
+        assert end <= capacity
+    return by
+
+
+def test_packing(spark, data, library):
+    rows = packing.query(spark, data).collect()
+    by, docs = _packed(rows, 2048), _documents(spark, data)
+    assert len(by) <= -(-sum(r["length"] for r in rows) // 2048) + 2
+    own = collections.defaultdict(list)
+    for r in rows:
+        own[r["doc_id"]].append(r)
+    assert own.keys() == docs.keys()
+    for i, parts in own.items():
+        ids = np.array([*library.encode(docs[i] or "", add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for n, r in enumerate(sorted(parts, key=lambda r: r["piece"])):
+            assert (r["piece"], r["start"]) == (n, at) and (n == 0 or r["length"] == 2048)
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_every_capacity_holds(spark, rule):
+    r = random.Random(4)
+    lengths = collections.Counter(r.randrange(1, 101) for _ in range(3000))
+    rows, n = packing.plan(lengths, 100, documents=3, cost=10_000, rule=rule)
+    bins, last = collections.defaultdict(list), {}
+    for length, rank, seq, offset in rows.tolist():
+        last.setdefault(length, []).append((rank, seq, offset))
+    for length, own in last.items():
+        own.sort()
+        for (rank, seq, offset), stop in zip(own, [*(o[0] for o in own[1:]), lengths[length]]):
+            for i in range(stop - rank):
+                bins[seq + i].append((offset, length))
+    assert sum(map(len, bins.values())) == 3000 and len(bins) == n and set(bins) == set(range(n))
+    for b in bins.values():
+        assert len(b) <= 3 and sum(x for _, x in b) <= 100 and sum(x * x for _, x in b) <= 10_000
+
+
+# near duplicates
+
+
+def _set(t):
+    w = WORD.findall(_lower(t or ""))
+    return frozenset([tuple(w)] if 0 < len(w) < 5 else (tuple(w[i : i + 5]) for i in range(len(w) - 4)))
+
+
+def _components(rows):
+    sets = [(i, _set(t)) for i, t in rows if i is not None]
+    parent = {i: i for i, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, (i, s) in enumerate(sets):
+        for j, q in sets[:a]:
+            n = len(s & q)
+            if n and 100 * n >= 75 * (len(s) + len(q) - n):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in parent}
+
+
+def _family(r, n, edits):
+    """Copies of one text with many edits each: some linked through the original alone."""
+    base = [f"v{r.randrange(5000)}" for _ in range(200)]
+    out = [" ".join(base)]
+    for _ in range(n):
+        w = list(base)
+        for _ in range(r.randrange(1, edits)):
+            w[r.randrange(200)] = f"e{r.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_duplicates(spark, data, frame, odd):
+    docs = list(_documents(spark, data).items())
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.query(spark, data).collect()} == _components(docs)
+    r = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, t) for i, t in enumerate([*_family(r, 120, 14), *_family(r, 60, 5), *(passage + " " + " ".join(f"u{r.randrange(10**6)}" for _ in range(40)) for _ in range(80))], 100)]
+    for each in (rows, odd):
+        got = near_dedup.near_duplicates(frame(each)).collect()
+        want = _components(each)
+        assert {x["doc_id"]: x["component_id"] for x in got if x["doc_id"] is not None} == want
+        assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in got if x["doc_id"] is not None)
+
+
+def test_levels(spark, frame, monkeypatch):
+    monkeypatch.setattr(near_dedup, "FEW", 1)
+    r = random.Random(8)
+    rows = list(enumerate(_family(r, 60, 14)))
+    got = near_dedup.near_duplicates(frame(rows)).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == _components(rows)
+
+
+def test_components_of_chains(spark):
+    links = [(i, i + 1) for i in range(50)] + [(100, 7), (200, 201), (201, 200), (3, 3), (None, 1)]
+    got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == {**{i: 0 for i in range(51)}, 100: 0, 200: 200, 201: 200}
+
+
+# substrings
+
+
+def _without_repeats(rows, length=100):
+    seen, out = {}, {}
+    for i, t in sorted(rows):
+        b = (t or "").encode()
+        for p in range(len(b) - length + 1):
+            seen.setdefault(b[p : p + length], (i, p))
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - length + 1):
+            if seen[b[p : p + length]] < (i, p):
+                gone[p : p + length] = True
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out[i] = (len(b), int(gone.sum()), int(np.sum(gone & ~np.concatenate([[False], gone[:-1]]))), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_substring_parse(spark, data, frame, monkeypatch, hot):
+    if hot:  # all triggers go the way of frequent ones
+        original = substring_parse._hot
+        monkeypatch.setattr(substring_parse, "_hot", lambda d, n: np.union1d(original(d, n), _all_triggers(d, n)))
+    r = random.Random(9)
+    passage = "".join(r.choice("abcdef ") for _ in range(260))
+    rows = [(i, "".join(r.choice("abcdef ") for _ in range(r.randrange(80, 400))) + passage[r.randrange(100) : r.randrange(150, 260)] + "é" * r.randrange(90)) for i in range(80)]
+    rows += [(200, "ab" * 400), (201, "z" * 350), (202, None), (203, "")]
+    columns = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    got = {x["doc_id"]: tuple(x[c] for c in columns) for x in substring_parse.remove_repeats(frame(rows)).collect()}
+    assert got == _without_repeats(rows)
+    if not hot:
+        docs = [(i, t) for i, t in _documents(spark, data).items()]
+        got = {x["doc_id"]: tuple(x[c] for c in columns) for x in substring_parse.query(spark, data).collect()}
+        assert got == _without_repeats(docs)
+
+
+def _all_triggers(documents, length):
+    keys = [np.zeros(0, _text.U)]
+    for r in documents.select("text").collect():
+        for b in _text.blocks(pa.array([r[0]])):
+            keys.append(substring_parse.phrases(b, length)[4])
+    return np.unique(np.concatenate(keys))
+
+
+def _without_units(rows, least=4):
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        t = t or ""
+        cuts = [0, *(j for j in range(1, len(t)) if t[j - 1] == "\n" or j > 1 and t[j - 1] == " " and t[j - 2] in ".!?"), len(t)]
+        kept = []
+        for a, z in zip(cuts, cuts[1:]):
+            words = tuple(WORD.findall(_lower(t[a:z])))
+            if len(words) < least or words not in seen:
+                kept.append(t[a:z])
+            if len(words) >= least:
+                seen.add(words)
+        out[i] = "".join(kept)
+    return out
+
+
+def test_substring_dedup(spark, data):
+    docs = _documents(spark, data)
+    rows = substring_dedup.query(spark, data).collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == _without_units(docs.items())
+    for r in rows:
+        b = (docs[r["doc_id"]] or "").encode()
+        for s in reversed(r["spans"]):
+            b = b[: s["low"]] + b[s["high"] :]
+        assert b.decode() == r["text"]
+
+
+# decontamination
+
+
+def test_alignment():
+    def plain(a, b):
+        h = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                h[i, j] = max(0, h[i - 1, j - 1] + (2 if x == y else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+        return h.max()
+
+    r = np.random.default_rng(2)
+    for _ in range(100):
+        a, b = r.integers(0, 5, r.integers(1, 20)), r.integers(0, 5, r.integers(1, 30))
+        assert decontamination.align(a, b)[0] == plain(a, b)
+
+
+def test_decontamination(spark, frame):
+    r = random.Random(3)
+    say = lambda n: [f"c{r.randrange(400)}" for _ in range(n)]
+    items = [(i, " ".join(say(30))) for i in range(20)]
+    rows = [(i, " ".join(say(200))) for i in range(60)]
+    edited = items[4][1].split()
+    for at in (3, 9, 15, 22):
+        edited[at] = "new"
+    rows += [(100, " ".join(say(40)) + ", " + items[3][1].upper() + ". " + " ".join(say(40))), (101, " ".join([*say(20), *edited, *say(20)]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contaminated(frame(rows), bench).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == {(100, 3), (101, 4)}
+    text = dict(rows)
+    exact = next(x for x in got if x["doc_id"] == 100)
+    assert exact["score"] == 1.0 and text[100].encode()[exact["first_byte"] : exact["end_byte"]].decode() == items[3][1].upper()
+    small = decontamination.contaminated(frame(rows), bench, block_chars=900).collect()
+    assert sorted(map(tuple, small)) == sorted(map(tuple, got))
+    assert {x["doc_id"] for x in decontamination.decontaminate(frame(rows), bench).collect()} == set(range(60))
+
+
+# classifiers
+
+
+@pytest.mark.parametrize(("module", "label", "least"), [(quality_classifier, "quality", 0.97), (toxicity, "toxic", 0.93)])
+def test_held_out_accuracy(spark, module, label, least):
+    data = "/root/testdata/sf0.01"
+    scores = {r["doc_id"]: r for r in module.query(spark, data).collect()}
+    known = [r for r in table(spark, data, "labels", "doc_id", label).collect() if scores[r["doc_id"]]["held_out"]]
+    assert known and all(zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in known)
+    assert np.mean([scores[r["doc_id"]]["predicted"] == r[label] for r in known]) >= least
+    assert all(0 <= r["score"] <= 1 for r in scores.values())
+
+
+def test_cosines_are_exact():
+    r = np.random.default_rng(1)
+    counts, shape = r.integers(0, 5, (30, quality_classifier.GRAMS + quality_classifier.WORDS)).astype(np.float32), r.normal(size=(30, len(quality_classifier.FEATURES)))
+    axes = r.normal(size=(quality_classifier.TERMS, 8)).astype(np.float32)
+    space = quality_classifier.Space(np.sort(r.normal(size=(len(quality_classifier.FEATURES), quality_classifier.BINS)), 1), np.ones(quality_classifier.TERMS, np.float32), axes, np.zeros((0, 8)), np.array([]), np.array([]))
+    space.vectors = space.project(space.terms(counts[:20], shape[:20]))
+    space.labels, space.vote = np.tile([0.0, 1.0], 10), np.ones(20)
+    q = space.project(space.terms(counts[20:], shape[20:]))
+    near = q @ space.vectors.T
+    for i, s in enumerate(space.score(counts[20:], shape[20:], 5, 2.0)):
+        best = np.argsort(-near[i])[:5]
+        w = np.maximum(near[i, best], 1e-6) ** 2
+        assert s == pytest.approx((w * space.labels[best]).sum() / w.sum(), abs=1e-5)
+
+
+def test_levenshtein_automaton():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i, *row[1:]]
+            left = i - 1
+            for j, y in enumerate(b, 1):
+                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+        return row[-1]
+
+    r = random.Random(7)
+    words = {"".join(r.choice("abc") for _ in range(r.randrange(3, 12))): r.random() for _ in range(60)}
+    automaton = toxicity.Automaton(words)
+    for _ in range(3000):
+        w = "".join(r.choice("abc") for _ in range(r.randrange(2, 13)))
+        within = {x for x in words if distance(w, x) <= automaton.edits(x)}
+        found = automaton.find(w)
+        if within:
+            assert found is not None and found[1] == min(distance(w, x) for x in within) or found[1] == 1
+        elif found:  # a swap of neighbours
+            assert sorted(found[0]) == sorted(w)
+
+
+def test_quotation_weighs_less():
+    lexicon = toxicity.Lexicon({"idiot": 5.0, "moron": 5.0}, {})
+    plain, quoted = lexicon.features("and you are an idiot and left"), lexicon.features('they said "you are an idiot" and left')
+    assert quoted[0] < plain[0] and quoted[2] < plain[2]
+    assert lexicon.features("an idoit!")[0] == pytest.approx(5 * toxicity.MISSPELT)
+    assert lexicon.features('an open " and an idiot')[0] == 5.0
+    assert lexicon.features("nothing here") == [0.0] * toxicity.FEATURES
+
+
+# URLs
+
+
+def test_urls_are_judged_alike_by_join_and_constant(spark, data):
+    pages = table(spark, data, "pages", "page_id", "url")
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    a = url_filters.filter_urls(pages).select(columns).collect()
+    b = url_filters.by_join(pages, url_filters.LISTED + url_filters.OWN).select(columns).collect()
+    assert sorted(map(str, a)) == sorted(map(str, b))
+
+
+def test_url_rules(spark):
+    urls = {
+        "http://EXAMPLE.com/en/7x": ("example.com", "/en/7x", "example.com/en/7", "allow"), "https://com/en/?q": ("com", "/en/", "com/en/", "block"),
+        "http://com/en": ("com", "/en", None, "allow"), "http://a.net/de/8#f": ("a.net", "/de/8", "net/de/", "block"), "x://b.example.net/de/88": ("b.example.net", "/de/88", "example.net/de/8", "block"),
+        "http://xcom/en/a": ("xcom", "/en/a", None, "allow"), "http://spam-farm.com/x": ("spam-farm.com", "/x", None, "block"), "http://ÄB.com/EN/": ("Äb.com", "/EN/", None, "allow"),
+    }
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = url_filters.filter_urls(pages).orderBy("page_id").collect()
+    assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in got] == list(urls.values())
