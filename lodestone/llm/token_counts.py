@@ -176,9 +176,13 @@ class Vocabulary:
 class Transducer:
     """Token counts of words, by transitions that are compiled when first met."""
 
-    MOST_STATES = 150_000
+    MOST_STATES = 250_000
+    #: Where counts are packed: 10 bits, so no entry may be longer than ``ZERO`` bytes.
+    ZERO = 512
 
     def __init__(self, vocabulary: Vocabulary):
+        if max(map(len, vocabulary.id_of)) >= self.ZERO or len(vocabulary.id_of) >= 1 << 17:
+            raise ValueError("the vocabulary is too large to pack")
         self.v = vocabulary
         self.child: dict[int, int] = {}
         self.token = [-1]
@@ -198,9 +202,10 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        self.number = {((0, -1, 0),): 0}
-        self.states: list[tuple] = [((0, -1, 0),)]
-        self.moves: list[dict[int, tuple[int, int]]] = [{}]
+        start = (self.ZERO,)  # the root, before any token, at count 0
+        self.number = {start: 0}
+        self.states: list[tuple[int, ...]] = [start]
+        self.moves: dict[int, int] = {}
 
     def _fits(self, before: int, token: int) -> bool:
         key = (before, token)
@@ -212,36 +217,38 @@ class Transducer:
                 self.fits.clear()
         return known
 
-    def _compile(self, state: int, byte: int) -> tuple[int, int]:
+    def _compile(self, state: int, byte: int) -> int:
+        """The transition as next state and change of the count; suffixes are packed as node, last token + 1 and count."""
         live, last, count = [], None, 0
-        for node, before, at in self.states[state]:
-            to = self.child.get(node << 8 | byte)
+        for packed in self.states[state]:
+            to = self.child.get(packed >> 28 << 8 | byte)
             if to is None:
                 continue
             if self.grows[to]:  # else no longer entry begins so
-                live.append((to, before, at))
-            if last is None and self.token[to] >= 0 and self._fits(before, self.token[to]):
-                last, count = self.token[to], at + 1
+                live.append(to << 28 | packed & 0xFFFFFFF)
+            if last is None and self.token[to] >= 0 and self._fits((packed >> 10 & 0x3FFFF) - 1, self.token[to]):
+                last, count = self.token[to], (packed & 0x3FF) - self.ZERO + 1
         if last is None:
             raise ValueError("the vocabulary has no unique last token here")
-        key = (*((node, before, at - count) for node, before, at in live), (0, last, 0))
+        key = (*(x - count for x in live), last + 1 << 10 | self.ZERO)
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
-            self.moves.append({})
-        out = self.moves[state][byte] = (self.number[key], count)
+        out = self.moves[state << 8 | byte] = self.number[key] << 10 | count + self.ZERO
         return out
 
     def count(self, word: bytes) -> int:
         if len(self.states) > self.MOST_STATES:
             self.clear()
         state = total = 0
-        moves = self.moves
+        get = self.moves.get
         for byte in word:
-            move = moves[state].get(byte) or self._compile(state, byte)
-            state = move[0]
-            total += move[1]
-        return total
+            move = get(state << 8 | byte)
+            if move is None:
+                move = self._compile(state, byte)
+            state = move >> 10
+            total += move & 0x3FF
+        return total - self.ZERO * len(word)
 
 
 class _Counts(dict):
