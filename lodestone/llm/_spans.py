@@ -73,7 +73,7 @@ def spans_of(k, fp, low, high, kind=0, key=None) -> pa.RecordBatch:
 
 
 SPAN_SCHEMA = "k long, fp long, low long, high long, kind int, key long"
-FLUSH = 16 << 20
+FLUSH = 8 << 20
 
 
 def ranked(documents: DataFrame, *carried: str) -> DataFrame:
