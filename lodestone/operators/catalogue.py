@@ -140,6 +140,11 @@ def doc_keywords_top25(spark, d):
     return keywords.ranked_keywords(_t(spark, d, "documents").select("doc_id", "text"))
 
 
+@_query(f"WITH {_keyword_sql('text')} SELECT id, rank, word, n FROM ranked WHERE rank <= 25")
+def doc_keywords_by_id(spark, d):
+    return keywords.counted_keywords(_t(spark, d, "documents").select("doc_id", "text"))
+
+
 @_query(f"WITH {_keyword_sql('text')} SELECT id AS doc_id, string_agg(word, ' ' ORDER BY rank) AS words FROM ranked WHERE rank <= 25 GROUP BY id")
 def doc_keywords_in_row(spark, d):
     out = keywords.document_keywords(_t(spark, d, "documents").select("doc_id", "text")).where(F.size("keywords") > 0)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions.text import KEYWORD_TOKEN, STOPWORDS, keyword_tokens
 
@@ -19,11 +19,11 @@ def keyword_source(title: Column, headings: Column, tags: Column, content: Colum
     return F.concat_ws(" ", title, F.array_join(headings, " "), F.array_join(tags, " "), content)
 
 
-@pandas_udf(ArrayType(StringType()))
+@pandas_udf(ArrayType(StructType([StructField("word", StringType()), StructField("n", LongType())])))
 def _most_frequent(texts: pd.Series, n: pd.Series) -> pd.Series:
     token, stop = re.compile(KEYWORD_TOKEN), frozenset(STOPWORDS)
     own = lambda t: [w for w in token.findall(t.lower()) if len(w) >= 3 and w not in stop and not w.isdigit()]
-    return pd.Series([[w for w, _ in Counter(own(t or "")).most_common(k)] for t, k in zip(texts, n)])
+    return pd.Series([[{"word": w, "n": c} for w, c in Counter(own(t or "")).most_common(k)] for t, k in zip(texts, n)])
 
 
 def document_keywords(df: DataFrame, text: str = "text", n: int = 25) -> DataFrame:
@@ -31,11 +31,17 @@ def document_keywords(df: DataFrame, text: str = "text", n: int = 25) -> DataFra
 
     Arrow batches: as an expression the counts would be a fold that copies its result for every token.
     """
-    return df.withColumn("keywords", _most_frequent(F.col(text), F.lit(n)))
+    return df.withColumn("keywords", F.transform(_most_frequent(F.col(text), F.lit(n)), lambda k: k["word"]))
 
 
 def ranked_keywords(df: DataFrame, id_: str = "doc_id", text: str = "text", n: int = 25) -> DataFrame:
-    """(id, rank, word, n): a row a keyword. Counts combine by document and word; the rank needs a document's words alone."""
+    """(id, rank, word, n): a row a keyword of each row; a scan without a shuffle."""
+    each = df.select(F.col(id_).alias("id"), F.posexplode(_most_frequent(F.col(text), F.lit(n))).alias("rank", "k"))
+    return each.select("id", (F.col("rank") + 1).alias("rank"), F.col("k.word").alias("word"), F.col("k.n").alias("n"))
+
+
+def counted_keywords(df: DataFrame, id_: str = "doc_id", text: str = "text", n: int = 25) -> DataFrame:
+    """The same of each id, which may have several rows, in DataFrame functions; counts combine by id and word."""
     each = df.select(F.col(id_).alias("id"), F.posexplode(keyword_tokens(F.coalesce(text, F.lit("")))).alias("pos", "word"))
     counted = each.groupBy("id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     own = counted.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "first", "word"))), 1, n).alias("top"))
