@@ -19,7 +19,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     """(doc_id, text, label): at most ``per_class`` labelled rows of each class outside the held-out fold.
 
     Rows are taken in the order of a hash of the id, so the sample is the same at every partitioning. It has a bound,
-    so it may be broadcast and its numbers collected. Repeated label rows count once.
+    so it may be broadcast and its numbers collected. Repeated rows of labels or documents count once.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -29,4 +29,6 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
         known = parts[0].unionByName(parts[1])
     else:
         known = known.orderBy(order, "doc_id").limit(2 * per_class)
-    return documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    # an id that many rows share counts once; its rows combine before the shuffle
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
