@@ -5,6 +5,7 @@ State is bounded by design: the log keeps a fixed number of rows, pushes keep id
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 import pandas as pd
@@ -68,3 +69,24 @@ def poll_once(repositories: DataFrame, heads: DataFrame, sync: Callable[[int], N
         sync(r["id"])
     row = poll(repositories, heads).first()
     return row["checked"], row["updated"]
+
+
+def poll_until(stop: threading.Event, interval: Callable[[], int], cycle: Callable[[], object], slice_s: float = 5.0, idle_s: float = 60.0) -> int:
+    """Runs ``cycle`` every ``interval()`` minutes until ``stop`` is set; returns how often. 0 minutes: no cycle, asked again later.
+
+    Waits in short slices, so that a stop or another interval takes effect soon. A cycle that fails is followed by the next.
+    """
+    done, waited = 0, 0.0
+    while not stop.is_set():
+        minutes = interval()
+        if waited >= (minutes * 60 if minutes > 0 else idle_s):
+            waited = 0.0
+            if minutes > 0:
+                try:
+                    cycle()
+                except Exception:  # noqa: BLE001  the next cycle may succeed
+                    pass
+                done += 1
+        stop.wait(slice_s)
+        waited += slice_s
+    return done

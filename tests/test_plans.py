@@ -1,12 +1,14 @@
 import datetime
 import json
 import os
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import catalog
 from lodestone.plans.ingest import CHUNKS, Index, payload
+from lodestone.plans.overview import Overview
 from lodestone.plans.registry import Registry
 from lodestone.plans.search import Profile, Search, embedded, sanitized
 from lodestone.sources import files as sources
@@ -90,6 +92,39 @@ def test_ingest_and_search(spark, tree, tmp_path):
     assert index.chunks.read().where("repo = 'lib'").count() == 0 and index.files.read().count() == 3
 
 
+def test_overview(spark, tree, tmp_path):
+    index, registry = Index(spark, f"file://{tmp_path}/i"), Registry(spark, f"file://{tmp_path}/r")
+    view = Overview(index, registry)
+    assert view.outline("auth.py") == "No outline available for 'auth.py'." and view.find_symbol(" ") == "Error: symbol name cannot be empty."
+    index.sync_local([{"path": str(tree)}])
+    registry.add_path(str(tree), category="notes")
+    one = registry.add_repository("lib", "https://github.com/o/lib", provider="github")
+    registry.set_status(one, "error", "no route")
+    assert view.find_symbol("auth", exact=False).startswith("Found 2 matching symbols for 'auth':\n\n- **AuthService** (`class_definition`) in `[local] ")
+    assert "- **authenticate** (function_definition, lines 2-3): `def authenticate(self):`\n" in view.outline("auth.py")
+    listed = view.sources()
+    assert "- **lib** [GITHUB] (https://github.com/o/lib @ `main` | SHA: `None`) - Status: `error` | Files: 0 | Last Synced: Never" in listed and "Category: `notes` | Files: 4" in listed
+    assert view.status().splitlines() == ["Total Vectors: 6", "Total Indexed Files: 4", "Total AST Symbols: 2", "Registered Git Repos: 1"]
+    assert "fastapi" in view.stats().first()["top_keywords"]
+    assert "**Total Files Indexed:** 4 | **Total AST Code Symbols:** 2" in view.catalog() and "more files" not in view.catalog()
+    calls = []
+    assert "lib" in view.sync("lib", calls.append, lambda: calls.append("all")) and "full" in view.sync("nope", calls.append, lambda: calls.append("all"))
+    assert calls == [one, "all"]
+
+
+def test_poll_until():
+    stop, seen = threading.Event(), []
+
+    def cycle():
+        seen.append(1)
+        if len(seen) == 2:
+            stop.set()
+        raise ValueError("a cycle that fails")
+
+    minutes = iter([0] * 5)
+    assert feeds.poll_until(stop, lambda: next(minutes, 0.00001), cycle, slice_s=0.001, idle_s=0.002) == 2
+
+
 def test_payload(spark):
     df = spark.createDataFrame([("i", "r", ["t"], {"repo": "own", "extra": "1"})], "id string, repo string, tags array<string>, metadata map<string,string>")
     for field in (f.split()[0] for f in CHUNKS.split(", ")):
