@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination, near_dedup, packing, quality_rules, substring_dedup
 from lodestone.llm._scratch import written
-from lodestone.llm._tables import table
+from lodestone.llm._tables import small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the quality rules keep; their trees learn from the labelled rows among ``docs``."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     return quality_rules.keep(docs, quality_rules.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
 
@@ -27,6 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows without an id stay. Of rows that share an id the one of the smallest hash stays.
     """
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     found = near_dedup.near_duplicates(docs)
     # only ids leave, so the texts are not shuffled for the others' sake
@@ -42,6 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out lines and sentences that occur earlier; a document of which nothing remains goes."""
+    small_batches(spark)
     return substring_dedup.clean(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -54,6 +57,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places every remaining document, cut where longer, in sequences of at most 2048 tokens."""
     import public_tokenizers
 
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

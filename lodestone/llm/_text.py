@@ -11,7 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+# freed buffers go back to the system instead of a pool: a worker lives through many stages beside its executor
+pa.set_memory_pool(pa.system_memory_pool())
+
+BLOCK = 1 << 19
 U = np.uint64
 #: ASCII white space: space and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
