@@ -122,9 +122,9 @@ def _exploded(texts: DataFrame) -> DataFrame:
             ids = batch.column("id").to_numpy()
             for b in blocks(batch.column("text")):
                 x, at = shingles(b)
-                for d in range(b.n):
-                    own = np.unique(x[at[d] : at[d + 1]]).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), ids[b.first + d])), pa.array(own)], names=["id", "x"])
+                own = [np.unique(x[i:j]) for i, j in zip(at[:-1], at[1:])]
+                doc = np.repeat(ids[b.first : b.first + b.n], [len(o) for o in own])
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.concatenate(own).astype(np.int64))], names=["id", "x"])
 
     return texts.mapInArrow(rows, "id long, x long")
 
@@ -178,6 +178,7 @@ def _level(nodes: DataFrame, texts_of, level: int, links: DataFrame | None, perc
     own = unshared(texts.join(ids, "id", "left_semi"))
     bounds = nodes.join(ids, "id", "left_semi").join(own, "id", "left").select("id", "hashes", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("common"))
     mine = bounds.where(f"100 * common >= {percent} * n").join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    mine = written(mine, "candidates")
     # pairs that share a rare shingle are few; what other pairs can share is bounded by their common shingles
     each = written(_exploded(texts.join(mine.select("id"), "id", "left_semi")), "shingles")
     rare = each.join(each.groupBy("x").agg(F.count("*").alias("df")).where(f"df <= {RARE}"), "x")
