@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._tables import labelled_sample, table
-from ._text import LOWER, SPACE, Block, Hasher, U, blocks, mix, runs, window_hash
+from ._text import SPACE, Block, Hasher, U, blocks, mix, runs, window_hash
 
 #: Symbols that count as ``n_symbols``.
 SYMBOLS = b"#*$%&|<>"
