@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Words are lower-cased (A-Z) runs between white space and ASCII punctuation. A first pass over the texts counts in how many
-documents each three-word seed of the test items occurs; of each item the rarer half of its seeds (up to the median count)
-find candidates. A second pass looks those seeds up, lays a window of the item's length and half as much on either side
+Words are lower-cased (A-Z) runs between white space and ASCII punctuation. One pass over the texts looks up every
+three-word seed of the test items, common or rare, lays a window of the item's length and half as much on either side
 around each hit's diagonal, joins windows that overlap, and aligns item and window. The score is the local alignment's
-(match 2, mismatch -1, gap -1) share of a full match's. Both passes are scans without a shuffle; the only rows that are
-gathered are the counts of seeds, whose number the test items bound.
+(match 2, mismatch -1, gap -1) share of a full match's. A window with fewer of the item's words than ``threshold`` of the
+item's length can't reach it, since only matches add to a score, and is left out before the alignment. The pass is a scan
+without a shuffle, and nothing is gathered. A copy that keeps no three words in a row is not sought.
 
 Test items are sent to all tasks in blocks of at most ``block_chars`` characters; a larger benchmark takes several blocks,
 each of them against all documents. Defined results: null texts match nothing; items under ``least_words`` words match
@@ -63,18 +63,9 @@ class Items:
         bounds = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
         at, owner = runs(bounds, SEED) if self.words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         own = window_hash(np.concatenate(self.words), at, SEED) if self.words else np.zeros(0, U)
-        self.seeds, self.seed = np.unique(own, return_inverse=True)
-        self.item, self.place = owner, at - bounds[owner]
-
-    def rare(self, documents: np.ndarray) -> "Items":
-        """Leaves each item the seeds that no more documents hold than its median seed."""
-        count = documents[self.seed]
-        median = np.array([np.median(count[self.item == i]) for i in range(len(self.ids))])
-        stay = count <= median[self.item] if len(count) else np.zeros(0, bool)
-        order = np.argsort(self.seed[stay], kind="stable")
-        used, self.seed = np.unique(self.seed[stay][order], return_inverse=True)
-        self.seeds, self.item, self.place = self.seeds[used], self.item[stay][order], self.place[stay][order]
-        return self
+        order = np.argsort(own, kind="stable")
+        self.seeds, self.seed = np.unique(own[order], return_inverse=True)
+        self.item, self.place = owner[order], (at - bounds[owner])[order]
 
     def lookup(self):
         """A function from hashes to the positions that are seeds, and the seeds."""
@@ -125,6 +116,8 @@ def _matches(b: Block, items: Items, find, threshold: float):
                 windows.append([a, z])
         best = (0, 0, 0)
         for a, z in windows:
+            if np.isin(word[a:z], own).sum() / m < threshold:  # an alignment has no more matches
+                continue
             score, stop = align(own, word[a:z])
             if score > best[0]:
                 best = (score, a, a + stop)
@@ -145,24 +138,9 @@ def _blocks_of(benchmark: DataFrame, block_chars: int, least_words: int):
 
 
 def _prepared(documents: DataFrame, benchmark: DataFrame, block_chars: int, least_words: int):
-    """Blocks of items with their rare seeds, sent to the tasks."""
-    spark = documents.sparkSession
+    """Blocks of items with their seeds, sent to the tasks."""
     for items in _blocks_of(benchmark, block_chars, least_words):
-        sent = spark.sparkContext.broadcast(items)
-
-        def counted(batches, sent=sent):
-            find, total = sent.value.lookup(), np.zeros(len(sent.value.seeds), np.int64)
-            for batch in batches:
-                for b in blocks(batch.column("text")):
-                    *_, owner, seed = _hits(b, find)
-                    total += np.bincount(np.unique(owner * len(total) + seed) % max(len(total), 1), minlength=len(total)) if len(seed) else 0
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["seed", "n"])
-
-        count = np.zeros(len(items.seeds), np.int64)
-        for r in documents.select(F.col("text").cast("string")).mapInArrow(counted, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
-            count[r["seed"]] = r["n"]
-        yield spark.sparkContext.broadcast(items.rare(count))
+        yield documents.sparkSession.sparkContext.broadcast(items)
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_chars: int = 8_000_000, least_words: int = 5) -> DataFrame:

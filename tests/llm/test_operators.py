@@ -341,6 +341,35 @@ def test_decontamination(spark, frame):
     assert {x["doc_id"] for x in decontamination.decontaminate(frame(rows), bench).collect()} == set(range(60))
 
 
+def _edited(words, share, r):
+    out = list(words)
+    for at in r.sample(range(len(out)), round(share * len(out))):
+        out[at] = f"new{r.randrange(10**6)}"
+    return out
+
+
+def test_decontamination_of_edited_copies(spark, frame):
+    r = random.Random(11)
+    say = lambda n: [f"c{r.randrange(400)}" for _ in range(n)]
+    items = [say(40) for _ in range(12)]
+    every4th = [w if k % 4 != 3 else "new" for k, w in enumerate(items[0])]
+    copies = [(0, every4th)] * 30 + [(1, items[1])] + [(1, [w if k % 4 != 3 else "new" for k, w in enumerate(items[1])])]
+    copies += [(i, _edited(items[i], share, r)) for i in range(2, 12) for share in (0.15, 0.2, 0.25, 0.3)]
+    rows = [(n, " ".join([*say(50), *copy, *say(50)])) for n, (_, copy) in enumerate(copies)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in decontamination.contaminated(frame(rows), bench).collect()}
+    number = {w: i for i, w in enumerate({w for _, t in rows for w in t.split()} | {w for t in items for w in t})}
+    of = lambda words: np.array([number[w] for w in words])
+    want = {}
+    for n, text in rows:
+        for i, words in enumerate(items):
+            score = decontamination.align(of(words), of(text.split()))[0] / (2 * len(words))
+            if score >= decontamination.THRESHOLD:
+                want[n, i] = score
+    assert got == want
+    assert {(n, 0) for n in range(30)} | {(30, 1), (31, 1)} <= want.keys()
+
+
 # classifiers
 
 
