@@ -3,9 +3,9 @@
 The lexicon is learned from a bounded labelled sample outside the held-out fold: words, and stems of 4 to 6 letters, that
 toxic documents hold far more often than others, with their log odds as weights. Words enter a trie; its product with the
 Levenshtein automaton (one edit, two for words of nine letters or more, a swap of neighbours counting as one) is made
-deterministic as its states are met, so a word of a text costs a look-up a letter, and most die after a few. Words
-whose misspellings are plain words of the clean sample match exactly alone. Stems match
-exactly at a word's start.
+deterministic as its states are met, so a word of a text costs a look-up a letter, and most die after a few. Strings
+that the clean sample holds at least as often as the toxic one are plain words and no misspellings; every lexicon word
+keeps its other ones. Stems match exactly at a word's start.
 
 A match's weight counts in full, or a fifth less where misspelt, or three tenths inside quotation marks: quotation is not
 abuse. A window of six words on either side of a match adds up the weights in it, and half as much again where it
@@ -31,6 +31,8 @@ from ._tables import held_out, labelled_sample, table
 from .quality_rules import Trees, fit
 
 STEMS = (4, 5, 6)
+#: Letters of the shortest string that may be a misspelling: a word of four letters may lack one.
+SHORTEST = 3
 MISSPELT, QUOTED, WINDOW = 0.8, 0.3, 6
 #: Words that address someone, in the corpus's languages.
 ADDRESS = frozenset("you your you're u ur tu toi vous ton ta tes du dich dir ihr euch dein deine tú ti eres usted ustedes".split())
@@ -61,6 +63,14 @@ class Automaton:
                 node = self.child[node][c]
             self.word[node] = w
         self.weight = words
+        # the edits that any word below a node may have
+        self.most = [-1] * len(self.child)
+        for w in words:
+            node, e = 0, self.edits(w)
+            self.most[0] = max(self.most[0], e)
+            for c in w:
+                node = self.child[node][c]
+                self.most[node] = max(self.most[node], e)
         self.swaps: dict[str, list[str]] = {}
         for w in words:
             self.swaps.setdefault("".join(sorted(w)), []).append(w)
@@ -74,7 +84,7 @@ class Automaton:
 
     @staticmethod
     def edits(word: str) -> int:
-        return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
+        return 0 if len(word) < 4 else 1 if len(word) < 9 else 2
 
     def _closed(self, items: set) -> frozenset:
         """With letters of the lexicon skipped, and only the least edits at each node."""
@@ -82,7 +92,7 @@ class Automaton:
         todo = list(items)
         while todo:
             node, e = todo.pop()
-            if e <= 2 and e < least.get(node, 3):
+            if e <= self.most[node] and e < least.get(node, 3):
                 least[node] = e
                 todo += [(m, e + 1) for m in self.child[node].values()]
         return frozenset(least.items())
@@ -100,7 +110,7 @@ class Automaton:
             out.add((node, e + 1))
             for d, m in self.child[node].items():
                 out.add((m, e if c == d else e + 1))
-        to = self.moves[state][c] = self._state(self._closed({x for x in out if x[1] <= 2}))
+        to = self.moves[state][c] = self._state(self._closed(out))
         return to
 
     def find(self, word: str) -> tuple[str, int] | None:
@@ -114,10 +124,10 @@ class Automaton:
             to = self.moves[state].get(c)
             state = self._step(state, c) if to is None else to
             if not self.sets[state]:
-                return None
+                break
         found = [(e, -self.weight[w], w) for node, e in self.sets[state] if (w := self.word[node]) and e <= self.edits(w)]
         for w in self.swaps.get("".join(sorted(word)), ()):
-            if len(w) >= 5 and len([i for i in range(len(w)) if w[i] != word[i]]) == 2 and any(word[:i] + word[i + 1] + word[i] + word[i + 2 :] == w for i in range(len(w) - 1)):
+            if len(w) >= 4 and len([i for i in range(len(w)) if w[i] != word[i]]) == 2 and any(word[:i] + word[i + 1] + word[i] + word[i + 2 :] == w for i in range(len(w) - 1)):
                 found.append((1, -self.weight[w], w))
         if not found:
             return None
@@ -130,19 +140,19 @@ class Lexicon:
 
     MOST_KNOWN = 300_000
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], exact: frozenset[str] = frozenset()):
-        self.words, self.stems = words, stems
-        self.automaton = Automaton({w: x for w, x in words.items() if w not in exact})
+    def __init__(self, words: dict[str, float], stems: dict[str, float], plain: frozenset[str] = frozenset()):
+        self.words, self.stems, self.plain = words, stems, plain
+        self.automaton = Automaton(words)
         self.known: dict[str, tuple[float, int] | None] = {}
 
     def _look(self, word: str) -> tuple[float, int] | None:
         """(weight, edits) of a word as it stands in the text."""
         w = norm(word)
         best = None
-        if len(w) >= STEMS[0]:
+        if len(w) >= SHORTEST:
             if w in self.words:
                 best = (self.words[w], 0)
-            elif (found := self.automaton.find(w)) is not None:
+            elif w not in self.plain and (found := self.automaton.find(w)) is not None:
                 best = (self.words[found[0]] * MISSPELT, found[1])
             if best is None or best[1]:
                 stems = [self.stems[w[:k]] for k in STEMS if w[:k] in self.stems]
@@ -218,26 +228,34 @@ def _quoted(words: list[str], places: list[int]) -> list[bool]:
 class Model:
     words: dict[str, float]
     stems: dict[str, float]
-    exact: frozenset[str]
+    plain: frozenset[str]
     trees: Trees
 
 
-def _exact(sample: DataFrame, words: dict[str, float], share: float) -> frozenset[str]:
-    """Lexicon words whose misspellings are words of over ``share`` of the clean documents: these match exactly alone."""
+def _plain(sample: DataFrame, words: dict[str, float]) -> frozenset[str]:
+    """Neighbours of lexicon words that are in at least as large a share of the clean documents as of the toxic ones."""
 
     def rows(batches):
-        automaton, hit, n = Automaton(words), Counter(), 0
+        automaton, near = Automaton(words), {}
+        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        docs = Counter()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                n += 1
-                found = map(automaton.find, {w for w in map(norm, (text or "").split()) if len(w) >= STEMS[0] and w not in words})
-                hit.update({f[0] for f in found if f})
-        terms = sorted(hit)
-        yield pa.RecordBatch.from_arrays([pa.array([*terms, ""], pa.string()), pa.array([*(hit[t] for t in terms), n], pa.int64())], names=["term", "n"])
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+                for w in {w for w in map(norm, (text or "").split()) if len(w) >= SHORTEST and w not in words}:
+                    if w not in near:
+                        near[w] = automaton.find(w) is not None
+                    if near[w]:
+                        seen[label][w] += 1
+                docs[label] += 1
+        terms = sorted(seen[0].keys() | seen[1].keys())
+        seen[0][""], seen[1][""] = docs[0], docs[1]
+        terms = [*terms, ""]  # the empty term counts documents
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([seen[c][t] for t in terms], pa.int64()) for c in (0, 1))], names=["term", "clean", "toxic"])
 
-    clean = sample.where("label = 0")
-    count = {r["term"]: r["n"] for r in clean.mapInArrow(rows, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return frozenset(w for w in words if count.get(w, 0) > share * count.get("", 0))
+    counts = sample.mapInArrow(rows, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("term = '' OR clean > 0").collect()
+    count = {r["term"]: (r["clean"], r["toxic"]) for r in counts}
+    n0, n1 = count.pop("", (0, 0))
+    return frozenset(w for w, (a, b) in count.items() if a * n1 >= b * n0)
 
 
 def _lexicon(sample: DataFrame, most_terms: int, least_share: float) -> tuple[dict[str, float], dict[str, float]]:
@@ -274,10 +292,10 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 2500, most_t
     """From at most ``per_class`` labelled documents of each class (``labels.toxic``), taken in hash order."""
     sample = labelled_sample(documents, labels, "toxic", per_class)
     words, stems = _lexicon(sample, most_terms, least_share)
-    exact = _exact(sample, words, share=0.001)
+    plain = _plain(sample, words)
 
     def rows(batches):
-        lexicon = Lexicon(words, stems, exact)
+        lexicon = Lexicon(words, stems, plain)
         for batch in batches:
             x = [lexicon.features(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
@@ -285,13 +303,13 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 2500, most_t
     got = sorted(sample.mapInArrow(rows, "doc_id long, label int, x array<double>").collect(), key=lambda r: r["doc_id"])
     x, y = np.array([r["x"] for r in got]).reshape(len(got), FEATURES), np.array([r["label"] for r in got], float)
     if not len(y):
-        return Model(words, stems, exact, Trees(bias=-50.0))
+        return Model(words, stems, plain, Trees(bias=-50.0))
     trees = fit(x, y, {j: 1 for j in range(FEATURES)}, trees=40, depth=3)
     if 0 < y.sum() < len(y):
         # the sample is balanced by class; the odds go back to those of all known labels
         known = labels.where(~held_out()).agg(F.sum((F.col("toxic") == 1).cast("long")).alias("a"), F.sum((F.col("toxic") == 0).cast("long")).alias("b")).first()
         trees.bias += math.log((known["a"] or 1) / (known["b"] or 1)) - math.log(y.sum() / (len(y) - y.sum()))
-    return Model(words, stems, exact, trees)
+    return Model(words, stems, plain, trees)
 
 
 def assess(documents: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -300,7 +318,7 @@ def assess(documents: DataFrame, model: Model, threshold: float = 0.7) -> DataFr
 
     def rows(batches):
         own = sent.value
-        lexicon = Lexicon(own.words, own.stems, own.exact)
+        lexicon = Lexicon(own.words, own.stems, own.plain)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
