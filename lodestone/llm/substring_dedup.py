@@ -3,7 +3,8 @@
 A unit ends at a newline, or after a full stop, question or exclamation mark that a space follows, so passages that stand
 inside longer lines are found by their sentences. Units are normalised: words lower-cased (A-Z) and white space collapsed.
 Units group globally by the digest of their words; the occurrence that ranks first by (doc_id, place) stays, all others
-go, with their original byte offsets retained. Units of fewer than ``min_words`` words always stay.
+go, with their original byte offsets retained. Units of fewer than ``min_words`` words stay, but with ``lines``, as in
+``clean``, each line is a unit as a whole too, of however few words, so a repeated line goes with its short sentences.
 
 One pass over the texts takes repeats inside a task out at once, so a unit that every document holds sends one row a task,
 and sends the rest as packed arrays in buckets of the digest; each bucket finds its first occurrences; the spans then meet
@@ -29,25 +30,36 @@ _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 
 
-def units(b: Block, min_words: int, sentences: bool = True):
-    """Each unit's document, start, end and digest; units of fewer words than ``min_words`` are left out."""
+def units(b: Block, min_words: int, sentences: bool = True, lines: bool = False):
+    """Each unit's document, start, end and digest; units of fewer words than ``min_words`` are left out.
+
+    With ``lines``, whole lines of a word or more are units beside them.
+    """
     data = b.data
     begins = np.zeros(len(data) + 1, bool)
     begins[1:] = data == 10
+    begins[b.at] = True
+    line = np.flatnonzero(begins[:-1])
     if sentences:
         begins[2:] |= (data[1:] == 32) & _STOP[data[:-1]]
-    begins[b.at] = True
     start = np.flatnonzero(begins[:-1])
     end = np.append(start[1:], len(data)) if len(start) else start
     ws, we, _ = b.words()
     words = Hasher(LOWER[data])(ws, we)
     first, last = np.searchsorted(ws, start), np.searchsorted(ws, end)
     some = last - first >= min_words
+    if lines:
+        stop = np.append(line[1:], len(data)) if len(line) else line
+        own, past = np.searchsorted(ws, line), np.searchsorted(ws, stop)
+        # a line that is one sentence of enough words is there already
+        again = some[at := np.searchsorted(start, line)] & (end[at] == stop)
+        some = np.append(some, (past > own) & ~again)
+        start, end, first, last = (np.append(x, y) for x, y in ((start, line), (end, stop), (first, own), (last, past)))
     start, end, first, last = start[some], end[some], first[some], last[some]
     return np.searchsorted(b.at, start, side="right") - 1, start, end, Hasher(words)(first, last)
 
 
-def repeated_units(documents: DataFrame, min_words: int = 4, sentences: bool = True) -> DataFrame:
+def repeated_units(documents: DataFrame, min_words: int = 4, sentences: bool = True, lines: bool = False) -> DataFrame:
     """(k, fp, low, high): byte spans of units that another document or place has earlier; needs ``ranked`` documents."""
     parts = max(8, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     buckets = U(4 * parts)
@@ -71,7 +83,7 @@ def repeated_units(documents: DataFrame, min_words: int = 4, sentences: bool = T
         for batch in batches:
             ids, prints = (batch.column(c).to_numpy() for c in ("k", "fp"))
             for b in blocks(batch.column("text")):
-                doc, start, end, own = units(b, min_words, sentences)
+                doc, start, end, own = units(b, min_words, sentences, lines)
                 held.append((ids[b.first + doc], prints[b.first + doc], start - b.at[doc], end - start, own))
                 size += len(b.data)
                 if size >= FLUSH:
@@ -103,21 +115,21 @@ def repeated_units(documents: DataFrame, min_words: int = 4, sentences: bool = T
     return found.select("k", "fp", "low", "high")
 
 
-def remove_units(documents: DataFrame, min_words: int = 4, sentences: bool = True, kept: str | None = "string") -> DataFrame:
+def remove_units(documents: DataFrame, min_words: int = 4, sentences: bool = True, kept: str | None = "string", lines: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept) of every row; needs columns doc_id and text."""
     ready = ranked(documents)
-    return cut(ready, written(repeated_units(ready, min_words, sentences), "spans"), kept)
+    return cut(ready, written(repeated_units(ready, min_words, sentences, lines), "spans"), kept)
 
 
-def clean(documents: DataFrame, min_words: int = 4, sentences: bool = True) -> DataFrame:
-    """The rows of ``documents``, with all columns, without units that occur earlier in ``text``.
+def clean(documents: DataFrame, min_words: int = 4, sentences: bool = True, lines: bool = True) -> DataFrame:
+    """The rows of ``documents``, with all columns, without units, lines among them, that occur earlier in ``text``.
 
     A row of which nothing but white space remains goes; one that had nothing else before stays, and so does a null text.
     """
     rest = [c for c in documents.columns if c != "text"]
     row = F.struct(F.col("text").isNull().alias("none"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(rest)))
     ready = ranked(documents.select("doc_id", "text", row.alias("row")), "row")
-    out = cut(ready, written(repeated_units(ready, min_words, sentences), "spans"), "string", ("row",), digest=False)
+    out = cut(ready, written(repeated_units(ready, min_words, sentences, lines), "spans"), "string", ("row",), digest=False)
     left = F.col("kept").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_removed") == 0)
     columns = {c: F.col(f"row.c{i}") for i, c in enumerate(rest)} | {"text": F.when(~F.col("row.none"), F.col("kept"))}
     return out.where(left).select(*(columns[c].alias(c) for c in documents.columns))

@@ -304,6 +304,42 @@ def test_substring_dedup(spark, data):
         assert b.decode() == r["text"]
 
 
+def _without_repeated_lines(rows, least=4):
+    seen, out = {}, {}
+    units = []
+    for i, t in rows:
+        a = 0
+        for line in re.findall(r"[^\n]*\n|[^\n]+", t):
+            units.append((i, a, a + len(line), 1))
+            cuts = [0, *(j for j in range(2, len(line)) if line[j - 1] == " " and line[j - 2] in ".!?"), len(line)]
+            units += [(i, a + x, a + y, least) for x, y in zip(cuts, cuts[1:])]
+            a += len(line)
+    text = dict(rows)
+    units = [(i, a, z, w) for i, a, z, n in sorted(units) if len(w := tuple(WORD.findall(_lower(text[i][a:z])))) >= n]
+    for i, a, z, w in units:
+        seen.setdefault(w, (i, a))
+    for i, t in rows:
+        gone = {p for j, a, z, w in units if j == i and seen[w] != (i, a) for p in range(a, z)}
+        out[i] = "".join(c for p, c in enumerate(t) if p not in gone)
+    return out
+
+
+def test_clean_removes_repeated_lines(spark, frame):
+    r = random.Random(13)
+    say = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    short = "Call us now. Open daily. No fees. Ask inside."
+    mixed = f"Read on. {say(8)}. Thank you."
+    rows = [(i, f"{say(12)}. {say(2)}.\n{short}\n{say(9)}\n{mixed.upper() if i % 2 else mixed}\nall rights reserved.\n{say(3)}\n{mixed} {say(5)}") for i in range(30)]
+    got = {x["doc_id"]: x["text"] for x in substring_dedup.clean(frame(rows)).collect()}
+    assert got == _without_repeated_lines(rows)
+    for t in (short, "all rights reserved."):
+        assert sum(t in x for x in got.values()) == 1
+    docs = [(i, t) for i, t in _documents(spark, "/root/testdata/sf0.001").items()]
+    got = {x["doc_id"]: x["text"] for x in substring_dedup.clean(frame(docs)).collect()}
+    want = _without_repeated_lines([(i, t or "") for i, t in docs])
+    assert {i: t for i, t in want.items() if WORD.search(t)} == {i: t for i, t in got.items() if WORD.search(t or "")}
+
+
 # decontamination
 
 
