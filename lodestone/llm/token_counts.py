@@ -12,6 +12,11 @@ and transitions are compiled when first met. A token is last exactly if it is a
 it and the last token before it encodes to itself, which holds for merge vocabularies in which every entry encodes to
 itself; compiling checks the entries it meets.
 
+At a word's start the second transducer is in its start state, so chunks of whole words have a map of one entry, and their
+counts compose by addition, over the prefix that the splitter's scan marks. A word longer than a chunk is cut into chunks
+whose maps compose from left to right; a map holds the states that occur as entries, since of all states (157,404 met in
+25 MB of text) a chunk would have to be run from each. Maps are kept, so a chunk that repeats is run once an entry.
+
 Whole texts are counted in one pass without a shuffle. Memory follows a block of about 1 MB or the longest document, and
 caches of bounded size that are emptied when full. Null texts count as empty: 0 bytes, 0 tokens. Repeated rows get one
 result row each.
@@ -176,7 +181,9 @@ class Vocabulary:
 class Transducer:
     """Token counts of words, by transitions that are compiled when first met."""
 
-    MOST_STATES = 250_000
+    MOST_STATES, MOST_MAPS = 250_000, 100_000
+    #: Bytes of a long word's chunks.
+    CHUNK = 64
     #: Where counts are packed: 10 bits, so no entry may be longer than ``ZERO`` bytes.
     ZERO = 512
 
@@ -206,6 +213,7 @@ class Transducer:
         self.number = {start: 0}
         self.states: list[tuple[int, ...]] = [start]
         self.moves: dict[int, int] = {}
+        self.maps: dict[tuple[int, bytes], tuple[int, int]] = {}
 
     def _fits(self, before: int, token: int) -> bool:
         key = (before, token)
@@ -237,18 +245,31 @@ class Transducer:
         out = self.moves[state << 8 | byte] = self.number[key] << 10 | count + self.ZERO
         return out
 
-    def count(self, word: bytes) -> int:
-        if len(self.states) > self.MOST_STATES:
-            self.clear()
-        state = total = 0
-        get = self.moves.get
-        for byte in word:
+    def run(self, state: int, chunk: bytes) -> tuple[int, int]:
+        """One entry of a chunk's state map: the state after it, and the tokens that its transitions emit."""
+        total, get = 0, self.moves.get
+        for byte in chunk:
             move = get(state << 8 | byte)
             if move is None:
                 move = self._compile(state, byte)
             state = move >> 10
             total += move & 0x3FF
-        return total - self.ZERO * len(word)
+        return state, total - self.ZERO * len(chunk)
+
+    def count(self, word: bytes) -> int:
+        """The tokens of a word; one longer than ``CHUNK`` bytes is the composition of its chunks' maps."""
+        if len(self.states) > self.MOST_STATES or len(self.maps) > self.MOST_MAPS:
+            self.clear()
+        if len(word) <= self.CHUNK:
+            return self.run(0, word)[1]
+        state = total = 0
+        for at in range(0, len(word), self.CHUNK):
+            key = (state, word[at : at + self.CHUNK])
+            if (entry := self.maps.get(key)) is None:
+                entry = self.maps[key] = self.run(*key)
+            state, n = entry
+            total += n
+        return total
 
 
 class _Counts(dict):
