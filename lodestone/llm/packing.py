@@ -154,13 +154,33 @@ def plan(lengths: dict[int, int], capacity: int = 2048, documents: int | None =
     return np.array(rows, np.int64).reshape(-1, 4), sequences
 
 
-def pack(documents: DataFrame, path: str, capacity: int = 2048, max_documents: int | None = None, max_cost: int | None = None, close: int = 0, rule: str = "norm", with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) of every piece; needs columns doc_id and text."""
+def tightest(lengths: dict[int, int], capacity: int = 2048, rule: str = "norm") -> tuple[int, int]:
+    """Capacities of documents and cost under which the plan needs no more sequences than with tokens alone.
+
+    Documents: the token capacity, halved while that holds. Cost: the square of the token capacity, less a sixteenth of it
+    while that holds; a piece that fills a sequence leaves it at the square.
+    """
+    documents, cost, least = capacity, capacity**2, max(lengths, default=0) ** 2
+    _, need = plan(lengths, capacity, rule=rule)
+    while documents > 1 and plan(lengths, capacity, documents // 2, rule=rule)[1] <= need:
+        documents //= 2
+    while (less := cost - capacity**2 // 16) >= max(least, 1) and plan(lengths, capacity, documents, less, rule=rule)[1] <= need:
+        cost = less
+    return documents, cost
+
+
+def pack(documents: DataFrame, path: str, capacity: int = 2048, max_documents: int | None = None, max_cost: int | None = None, close: int = 0, rule: str = "norm", with_ids: bool = False, tight: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) of every piece; needs columns doc_id and text.
+
+    ``tight`` sets the capacities of documents and cost by ``tightest``, so they bind as far as they cost no sequence.
+    """
     spark = documents.sparkSession
     salts = min(1024, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     cut = written(pieces(documents, path, capacity, close, salts, with_ids), "pieces")
     parts = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
     lengths = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    if tight:
+        max_documents, max_cost = tightest(lengths, capacity, rule)
     rows, _ = plan(lengths, capacity, max_documents, max_cost, rule=rule)
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     start = parts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
@@ -185,10 +205,7 @@ def pack(documents: DataFrame, path: str, capacity: int = 2048, max_documents: i
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op10: every document in sequences of at most 2048 tokens.
-
-    Documents and cost are no tighter than the tokens allow, for as few sequences as can be.
-    """
+    """op10: every document in sequences of at most 2048 tokens, of as few documents and as little cost as cost no sequence."""
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), tight=True)
