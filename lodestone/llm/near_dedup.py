@@ -170,20 +170,22 @@ def _level(nodes: DataFrame, texts_of, level: int, links: DataFrame | None, perc
     found = tested.where("linked").select("a", "b")
     found = found if links is None else found.unionByName(links)
     failed = tested.where("NOT linked").select("a", "b")
-    mixed = members.select("key", F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")).join(failed, ["a", "b"]).select("key").distinct()
+    mixed = written(members.select("key", F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")).join(failed, ["a", "b"]).select("key").distinct(), "mixed")
     if mixed.isEmpty():
         return found
     groups = components(found).withColumnRenamed("node", "id")
     ids = members.join(mixed, "key").select("id").distinct()
     own = unshared(texts.join(ids, "id", "left_semi"))
-    bounds = nodes.join(ids, "id", "left_semi").join(own, "id", "left").select("id", "hashes", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("common"))
+    some = nodes.join(ids, "id", "left_semi")
+    # an id may have several sets; what one of them shares is in all of the id's that others have too
+    bounds = some.join(some.groupBy("id").agg(F.sum("n_shingles").alias("all")), "id").join(own, "id", "left").select("id", "hashes", F.col("n_shingles").alias("n"), "all", F.least("n_shingles", F.col("all") - F.coalesce("own", F.lit(0))).alias("common"))
     mine = bounds.where(f"100 * common >= {percent} * n").join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     mine = written(mine, "candidates")
     # pairs that share a rare shingle are few; what other pairs can share is bounded by their common shingles
     each = written(_exploded(texts.join(mine.select("id"), "id", "left_semi")), "shingles")
     rare = each.join(each.groupBy("x").agg(F.count("*").alias("df")).where(f"df <= {RARE}"), "x")
-    mine = mine.join(rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left").withColumn("plain", F.col("n") - F.coalesce("rare", F.lit(0)))
-    mine = written(mine.select("id", "c", "n", "common", "plain", "hashes"), "mixed")
+    mine = mine.join(rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left").withColumn("plain", F.least("n", F.col("all") - F.coalesce("rare", F.lit(0))))
+    mine = written(mine.select("id", "c", "n", "common", "plain", "hashes"), "bounded")
     # one bucket a left hash here: a pair meets in the first that it shares, and has to share a right one
     inside = mine.select("*", F.posexplode(F.slice("hashes", 1, tables)).alias("t", "key"))
     sizes = inside.groupBy("t", "key", "c").agg(F.count("*").alias("m")).groupBy("t", "key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "c")).alias("top")).where("n > top.m")
