@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._tables import table
 from ._text import LOWER, SPACE, Block, Hasher, U, blocks, runs, window_hash
@@ -149,7 +150,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     Needs columns doc_id and text, and item_id and text. The bytes are the aligned passage in the document.
     """
     item = benchmark.schema["item_id"].dataType
-    kind = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[item.simpleString()]
+    kind = to_arrow_type(item)
     schema = f"doc_id long, item_id {item.simpleString()}, score double, first_byte long, end_byte long"
     out = None
     for sent in _prepared(documents, benchmark, block_chars, least_words):
