@@ -10,17 +10,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ._scratch import written
 from ._text import U, blocks
 
 _NO_ID = (1 << 63) - 1
+#: Words of 64 bits in the bitmap of ``parted``: 32 million bits.
+_WORDS = 1 << 19
 
 
-def later(key: np.ndarray, k: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by key and rank; and, in that order, which items rank after the first of their key."""
+def later(key: np.ndarray, k: np.ndarray, low: np.ndarray, also: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order by key and rank; and, in that order, which items rank after the first of their key.
+
+    Keys that differ in ``also``, a second hash, are different.
+    """
     order = np.lexsort((low, k, key))
-    key, k, low = key[order], k[order], low[order]
     new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
+    new[1:] = key[order][1:] != key[order][:-1]
+    if also is not None:
+        apart = also[order][1:] != also[order][:-1]
+        if (apart & ~new[1:]).any():
+            order = np.lexsort((low, k, also, key))
+            new[1:] = (key[order][1:] != key[order][:-1]) | (also[order][1:] != also[order][:-1])
+    key, k, low = key[order], k[order], low[order]
     first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else np.zeros(0, np.int64)
     return order, (k != k[first]) | (low != low[first])
 
@@ -45,10 +56,6 @@ def packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
 
-def unpacked(column: pa.Array, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
-
-
 ROW = ["bucket", "kind", "k", "fp", "low", "count", "key", "own", "text"]
 ROW_SCHEMA = "bucket int, kind int, k binary, fp binary, low binary, count binary, key binary, own binary, text binary"
 
@@ -82,16 +89,59 @@ def ranked(documents: DataFrame, *carried: str) -> DataFrame:
     return ready.withColumn("fp", F.xxhash64("text"))
 
 
-def cut(documents: DataFrame, spans: DataFrame, kept: str | None = None, carried: tuple[str, ...] = (), digest: bool = True) -> DataFrame:
+def parted(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ``ranked`` documents that may be among ``ids`` (k, fp), and those that are not.
+
+    A bitmap of fixed size is sent to all tasks, so texts without a partner need no shuffle. Hashes that meet in it send
+    some texts to the first part needlessly. Where the ids fill it, all do, and there is no second part.
+    """
+    word = F.pmod(F.xxhash64("k", "fp"), F.lit(_WORDS))
+    bit = F.expr("shiftleft(1L, int(pmod(shiftright(xxhash64(k, fp), 32), 64)))")
+    seen = written(ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")), "bitmap")
+    if (seen.agg(F.sum(F.bit_count("bits"))).first()[0] or 0) > 48 * _WORDS:
+        return documents, None
+    flagged = documents.withColumn("_word", word).join(F.broadcast(seen), F.col("_word") == F.col("word"), "left")
+    among = F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))
+    return flagged.where(among).select(documents.columns), flagged.where(~among).select(documents.columns)
+
+
+def dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """``rows`` with one bucket a partition, so that a task holds one bucket."""
+    return rows.repartitionById(buckets, "bucket")
+
+
+def held(batches, kinds: int, columns):
+    """Of a bucket's batches: the rows of ``kind`` 0 batch by batch, as (0, arrays); then those of each other kind below ``kinds`` at once.
+
+    ``columns``: names with their types; a column without a type comes as bytes.
+    """
+    kept: dict[int, list[list]] = {k: [[] for _ in columns] for k in range(1, kinds)}
+    for batch in batches:
+        kind = batch.column("kind").to_numpy()
+        for k in np.unique(kind).tolist():
+            part = batch.filter(pa.array(kind == k))
+            own = [part.column(c).to_pylist() for c, _ in columns]
+            if k == 0:
+                yield 0, [np.frombuffer(b"".join(x for x in o if x is not None), t) for o, (_, t) in zip(own, columns)]
+            else:
+                for into, o in zip(kept[k], own):
+                    into += o
+    for k in sorted(kept):
+        if kept[k][0]:
+            yield k, [np.frombuffer(b"".join(x for x in o if x is not None), t) for o, (_, t) in zip(kept.pop(k), columns)]
+
+
+def cut(touched: DataFrame, rest: DataFrame | None, spans: DataFrame, kept: str | None = None, carried: tuple[str, ...] = (), digest: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept]) of every row of ``ranked`` documents.
 
-    ``spans``: rows (k, fp, low, high). In the result they are maximal and in order. ``kept``: the type, string or
+    ``spans``: rows (k, fp, low, high). ``touched`` documents, which may have some, meet them in a join; ``rest`` have none
+    (``parted``). In the result they are maximal and in order. ``kept``: the type, string or
     binary, in which to return the remaining bytes. ``carried`` columns pass through; without ``digest`` the hash is empty.
     """
     spans = spans.groupBy("k", "fp").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<low: long, high: long>>" + (f", kept {kept}" if kept else ""))
     for c in carried:
-        schema = schema.add(c, documents.schema[c].dataType)
+        schema = schema.add(c, touched.schema[c].dataType)
 
     def cutting(batches):
         for batch in batches:
@@ -119,4 +169,8 @@ def cut(documents: DataFrame, spans: DataFrame, kept: str | None = None, carried
                 columns += [batch.column(c).slice(b.first, b.n) for c in carried]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.first, b.n), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept"] * bool(kept), *carried])
 
-    return documents.join(spans, ["k", "fp"], "left").select("doc_id", "text", "spans", *carried).mapInArrow(cutting, schema)
+    out = touched.join(spans, ["k", "fp"], "left").select("doc_id", "text", "spans", *carried).mapInArrow(cutting, schema)
+    if rest is None:
+        return out
+    none = F.lit(None).cast("array<struct<low: long, high: long>>").alias("spans")
+    return out.unionByName(rest.select("doc_id", "text", none, *carried).mapInArrow(cutting, schema))

@@ -22,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def buckets_of(df: DataFrame, parts: int, each: int = 16 << 20) -> int:
+    """How many buckets to deal ``df`` into, so that one holds at most about ``each`` bytes of it: by the size that the plan states.
+
+    At least ``parts``; a size that the plan does not know counts as small.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(parts, min(size // each, 1 << 20) if size < 1 << 60 else 0)
+
+
 def held_out(doc_id="doc_id"):
     """Rows that no label is learned from: crc32 of the id as text, modulo 3, is 1. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -7,8 +7,9 @@ go, with their original byte offsets retained. Units of fewer than ``min_words``
 ``clean``, each line is a unit as a whole too, of however few words, so a repeated line goes with its short sentences.
 
 One pass over the texts takes repeats inside a task out at once, so a unit that every document holds sends one row a task,
-and sends the rest as packed arrays in buckets of the digest; each bucket finds its first occurrences; the spans then meet
-the texts by document. Digests are 64-bit.
+and sends the rest as packed arrays in buckets of the digest, as many as the input's size asks for; a task holds one bucket
+at a time and finds its first occurrences; the spans then meet the texts that have any by document, and the other texts
+stay where they are. Digests are 64-bit.
 
 Defined results: a null text is empty and has no units; rows without an id rank last; rows that share an id are one
 document in rank, so equal rows of one id do not remove each other; an empty table gives no rows.
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._scratch import written
-from ._spans import FLUSH, ROW_SCHEMA, SPAN_SCHEMA, cut, later, merged, ranked, rows_of, spans_of, unpacked
-from ._tables import table
+from ._spans import FLUSH, ROW_SCHEMA, SPAN_SCHEMA, cut, dealt, held, later, merged, parted, ranked, rows_of, spans_of
+from ._tables import buckets_of, table
 from ._text import LOWER, Block, Hasher, U, blocks
 
 _STOP = np.zeros(256, bool)
@@ -62,13 +63,13 @@ def units(b: Block, min_words: int, sentences: bool = True, lines: bool = False)
 def repeated_units(documents: DataFrame, min_words: int = 4, sentences: bool = True, lines: bool = False) -> DataFrame:
     """(k, fp, low, high): byte spans of units that another document or place has earlier; needs ``ranked`` documents."""
     parts = max(8, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    buckets = U(4 * parts)
+    buckets = U(buckets_of(documents, parts))
 
     def parse(batches):
-        held, size = [], 0
+        ready, size = [], 0
 
         def flush():
-            k, fp, low, count, own = (np.concatenate(c) for c in zip(*held))
+            k, fp, low, count, own = (np.concatenate(c) for c in zip(*ready))
             order, late = later(own, k, low)
             gone, stay = order[late], order[~late]
             out = []
@@ -84,41 +85,34 @@ def repeated_units(documents: DataFrame, min_words: int = 4, sentences: bool = T
             ids, prints = (batch.column(c).to_numpy() for c in ("k", "fp"))
             for b in blocks(batch.column("text")):
                 doc, start, end, own = units(b, min_words, sentences, lines)
-                held.append((ids[b.first + doc], prints[b.first + doc], start - b.at[doc], end - start, own))
+                ready.append((ids[b.first + doc], prints[b.first + doc], start - b.at[doc], end - start, own))
                 size += len(b.data)
                 if size >= FLUSH:
                     yield from flush()
-                    held, size = [], 0
-        if held:
+                    ready, size = [], 0
+        if ready:
             yield from flush()
 
     def settle(batches):
-        held = []
-        for batch in batches:
-            done = np.array(batch.column("kind").to_pylist()) == 0
-            for part, settled in ((batch.filter(pa.array(done)), True), (batch.filter(pa.array(~done)), False)):
-                if part.num_rows:
-                    k, fp, low, count, own = (unpacked(part.column(c), t) for c, t in (("k", np.int64), ("fp", np.int64), ("low", np.int64), ("count", np.int32), ("own", U)))
-                    if settled:
-                        yield spans_of(k, fp, low, low + count)
-                    else:
-                        held.append((k, fp, low, count, own))
-        if held:
-            k, fp, low, count, own = (np.concatenate(c) for c in zip(*held))
-            held.clear()
+        columns = (("k", np.int64), ("fp", np.int64), ("low", np.int64), ("count", np.int32), ("own", U))
+        for kind, (k, fp, low, count, own) in held(batches, 2, columns):
+            if kind == 0:
+                yield spans_of(k, fp, low, low + count)
+                continue
             order, late = later(own, k, low)
             gone = order[late]
             if len(gone):
                 yield spans_of(*merged(k[gone], fp[gone], low[gone], low[gone] + count[gone]))
 
-    found = documents.select("k", "fp", "text").mapInArrow(parse, ROW_SCHEMA).repartition(parts, "bucket").mapInArrow(settle, SPAN_SCHEMA)
+    found = dealt(documents.select("k", "fp", "text").mapInArrow(parse, ROW_SCHEMA), int(buckets)).mapInArrow(settle, SPAN_SCHEMA)
     return found.select("k", "fp", "low", "high")
 
 
 def remove_units(documents: DataFrame, min_words: int = 4, sentences: bool = True, kept: str | None = "string", lines: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept) of every row; needs columns doc_id and text."""
     ready = ranked(documents)
-    return cut(ready, written(repeated_units(ready, min_words, sentences, lines), "spans"), kept)
+    spans = written(repeated_units(ready, min_words, sentences, lines), "spans")
+    return cut(*parted(ready, spans), spans, kept)
 
 
 def clean(documents: DataFrame, min_words: int = 4, sentences: bool = True, lines: bool = True) -> DataFrame:
@@ -129,7 +123,8 @@ def clean(documents: DataFrame, min_words: int = 4, sentences: bool = True, line
     rest = [c for c in documents.columns if c != "text"]
     row = F.struct(F.col("text").isNull().alias("none"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(rest)))
     ready = ranked(documents.select("doc_id", "text", row.alias("row")), "row")
-    out = cut(ready, written(repeated_units(ready, min_words, sentences, lines), "spans"), "string", ("row",), digest=False)
+    spans = written(repeated_units(ready, min_words, sentences, lines), "spans")
+    out = cut(*parted(ready, spans), spans, "string", ("row",), digest=False)
     left = F.col("kept").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_removed") == 0)
     columns = {c: F.col(f"row.c{i}") for i, c in enumerate(rest)} | {"text": F.when(~F.col("row.none"), F.col("kept"))}
     return out.where(left).select(*(columns[c].alias(c) for c in documents.columns))
