@@ -13,9 +13,9 @@ def _labels(spark, rows=()):
     return spark.createDataFrame(list(rows), "doc_id long, quality int, toxic int")
 
 
-def _operators(spark):
+def _operators(spark, given=()):
     bench = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7"), (None, None), (2, "")], "item_id long, text string")
-    none = _labels(spark)
+    none = _labels(spark, given)
     return {
         "quality_classifier": lambda d: quality_classifier.assess(d, quality_classifier.train(d, none)),
         "substring_dedup": substring_dedup.remove_units,
@@ -40,6 +40,29 @@ def test_a_row_each(spark, frame, odd, name):
     assert sorted(got, key=str) == sorted((i for i, _ in odd), key=str)
 
 
+LABELS = [(1, 1, 1), (2, 1, 1), (3, 1, 0), (4, 0, 1), (5, 0, 0), (6, 0, None), (8, 0, 0), (9, 1, 0), (None, 1, 1), (12, 1, 1), (13, 0, 0), (99, 1, 1), (15, None, 1)] * 2
+
+
+@pytest.mark.parametrize("name", ["quality_classifier", "toxicity", "quality_rules"])
+def test_fitted_models_on_odd_rows(spark, frame, odd, name):
+    rows = _operators(spark, LABELS)[name](frame(odd)).collect()
+    assert sorted((r["doc_id"] for r in rows), key=str) == sorted((i for i, _ in odd), key=str)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    by: dict = {}
+    for r in rows:  # repeated rows get one score
+        assert r["doc_id"] is None or by.setdefault(r["doc_id"], r["score"]) == pytest.approx(r["score"], abs=1e-5)
+
+
+def test_rows_of_pairs_and_pieces(spark, frame, odd):
+    own = _operators(spark)
+    assert {r["doc_id"] for r in own["packing"](frame(odd)).collect()} == {i for i, _ in odd}
+    assert len([r for r in own["packing"](frame(odd)).collect() if r["piece"] == 0]) == len(odd)
+    bench = spark.createDataFrame([(1, odd[0][1]), (1, odd[0][1]), (None, None), (2, ""), (3, "x y")], "item_id long, text string")
+    got = [(str(r["doc_id"]), r["item_id"]) for r in decontamination.contaminated(frame(odd), bench).collect()]
+    hit = [str(i) for i, t in odd if t and odd[0][1] in t.lower()] + ["3"]
+    assert sorted(got) == sorted((i, 1) for i in hit for _ in range(2))
+
+
 @pytest.mark.parametrize("name", [*NAMES, "clean", "contaminated", "decontaminate", "packing"])
 def test_empty_table(spark, frame, name):
     assert _operators(spark)[name](frame([])).collect() == []
