@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._scratch import written
 from ._tables import held_out, labelled_sample, table
 from .quality_rules import Trees, fit
 
@@ -290,7 +291,7 @@ def _lexicon(sample: DataFrame, most_terms: int, least_share: float) -> tuple[di
 
 def train(documents: DataFrame, labels: DataFrame, per_class: int = 2500, most_terms: int = 400, least_share: float = 0.01) -> Model:
     """From at most ``per_class`` labelled documents of each class (``labels.toxic``), taken in hash order."""
-    sample = labelled_sample(documents, labels, "toxic", per_class)
+    sample = written(labelled_sample(documents, labels, "toxic", per_class), "sample")
     words, stems = _lexicon(sample, most_terms, least_share)
     plain = _plain(sample, words)
 
