@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
-# freed buffers go back to the system instead of a pool: a worker lives through many stages beside its executor
-pa.set_memory_pool(pa.system_memory_pool())
+# in tasks freed buffers go back to the system instead of a pool: a worker lives through many stages beside its executor
+if TaskContext.get() is not None:
+    pa.set_memory_pool(pa.system_memory_pool())
 
 BLOCK = 1 << 19
 U = np.uint64
