@@ -29,9 +29,6 @@ class Registry:
         self.settings = Table(spark, f"{path}/settings", SETTINGS, ["key"])
         self._busy = threading.Lock()
 
-    def _next(self, table: Table) -> int:
-        return (table.read().agg(F.max("id")).first()[0] or 0) + 1
-
     def _row(self, **values) -> DataFrame:
         columns = {k: F.lit(v) for k, v in values.items()}
         return self.spark.range(1).select(*(c.alias(k) for k, c in columns.items()), F.current_timestamp().alias("added_at"))
@@ -40,15 +37,11 @@ class Registry:
         """The new id. The name becomes lower case, with ``_`` for other than letters, digits, ``_`` and ``-``; a taken one raises ``KeyExists``."""
         import re
 
-        new = self._next(self.repositories)
-        values = {"id": new, "name": re.sub(r"[^a-zA-Z0-9_\-]", "_", name.strip()).lower(), "url": url.strip(), "branch": branch or "main", "provider": provider, "enabled": True, "auto_sync": True, "status": "pending"}
-        self.repositories.insert(self._row(**values | more), unique=["name"])
-        return new
+        values = {"name": re.sub(r"[^a-zA-Z0-9_\-]", "_", name.strip()).lower(), "url": url.strip(), "branch": branch or "main", "provider": provider, "enabled": True, "auto_sync": True, "status": "pending"}
+        return self.repositories.insert(self._row(**values | more), unique=["name"], number="id")
 
     def add_path(self, path: str, type_: str = "directory", recursive: bool = True, category: str | None = None, repo: str = "local") -> int:
-        new = self._next(self.paths)
-        self.paths.insert(self._row(id=new, path=path, type=type_, recursive=recursive, enabled=True, category=category, repo=repo), unique=["path"])
-        return new
+        return self.paths.insert(self._row(path=path, type=type_, recursive=recursive, enabled=True, category=category, repo=repo), unique=["path"], number="id")
 
     def remove_path(self, id_: int) -> None:
         """The registry's row alone goes; its files stay indexed until an ingestion purges them."""
@@ -65,8 +58,10 @@ class Registry:
         return self.repositories.update(F.col("id") == id_, **values) > 0
 
     def save_host(self, name: str, token: str, user: str | None = None, provider: str | None = None) -> None:
-        row = self._row(id=self._next(self.hosts), provider=provider, auth_user=user, auth_token=token).withColumn("host", host(F.lit(name.strip()), keep_port=True))
-        self.hosts.upsert(row)
+        row = self._row(provider=provider, auth_user=user, auth_token=token).withColumn("host", host(F.lit(name.strip()), keep_port=True))
+        same = F.col("host") == row.select("host").first()["host"]
+        if not self.hosts.update(same, provider=F.lit(provider), auth_user=F.lit(user), auth_token=F.lit(token)):
+            self.hosts.insert(row, number="id")
 
     def remove_host(self, id_or_host: int | str) -> None:
         if isinstance(id_or_host, int) or str(id_or_host).isdigit():
