@@ -167,19 +167,50 @@ def headings_distinct20(spark, d):
 # chunks and symbols
 
 
-@_query()
+_LINES = r"regexp_extract_all(text, '[^\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]*(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}])|[^\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]+$')"
+
+
+def _split_sql(source: str, most: int = 1500, overlap: int = 200) -> str:
+    """Splitting by length in SQL, for a table ``source`` with columns id, part and text; its CTEs end in ``chunks``.
+
+    ``ends`` are the sums of the lines' lengths. A recursion goes from chunk to chunk: one ends before the first line that
+    makes it too long, and the next opens with the last whole lines that fit the overlap and takes a line whatever its length.
+    """
+    return f"""
+lined AS (SELECT id, part, length(text) AS size, {_LINES} AS lines FROM {source}),
+each AS (SELECT id, part, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM lined),
+summed AS (SELECT id, part, n, sum(length(line)) OVER (PARTITION BY id, part ORDER BY n) AS till FROM each),
+placed AS (SELECT id, part, size, lines, ends FROM lined JOIN (SELECT id, part, list_prepend(0, list(till::BIGINT ORDER BY n)) AS ends FROM summed GROUP BY id, part) USING (id, part)),
+steps AS (
+  SELECT id, part, 0 AS k, 1::BIGINT AS first, CASE WHEN size <= {most} THEN len(lines) ELSE least(len(lines), greatest(len(list_filter(ends, lambda x: x <= {most})), 2) - 1) END::BIGINT AS last FROM placed
+  UNION ALL
+  SELECT id, part, k + 1, opens, least(len(lines), greatest(len(list_filter(ends, lambda x: x <= ends[opens] + {most})), greatest(opens, last + 1) + 1) - 1)::BIGINT
+  FROM (SELECT id, part, k, last, lines, ends, greatest(first, len(list_filter(ends, lambda x: x < ends[last + 1] - {overlap})) + 1)::BIGINT AS opens
+        FROM steps JOIN placed USING (id, part) WHERE last < len(lines))
+),
+chunks AS (SELECT id, part, k, first, last, array_to_string(list_slice(lines, first, last), '') AS content FROM steps JOIN placed USING (id, part))"""
+
+
+@_query("WITH RECURSIVE texts AS (SELECT doc_id AS id, 0 AS part, text FROM documents WHERE text <> ''), " + _split_sql("texts") + """
+SELECT id, k::INT AS chunk_no, content, first::INT AS start_line, last::INT AS end_line, NULL::VARCHAR AS heading FROM chunks
+UNION ALL SELECT doc_id, 0, '', 1, 0, NULL FROM documents WHERE coalesce(text, '') = ''""")
 def split_by_length_chunks(spark, d):
     return chunking.split(_t(spark, d, "documents"))
 
 
-@_query("SELECT doc_id AS id, 1 AS n_chunks, 1 AS start_line, len(regexp_extract_all(rtrim(text, chr(10)), '\\n')) + 1 AS end_line FROM documents WHERE length(text) <= 1500 AND text <> '' AND NOT regexp_matches(text, '[\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]|\\n\\n$')")
-def short_text_chunks(spark, d):
-    docs = _t(spark, d, "documents").where(F.expr(r"length(text) <= 1500 AND text <> '' AND NOT text rlike r'[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]|\n\n\z'"))
-    out = chunking.split(docs).groupBy("id").agg(F.count("*").alias("n_chunks"), F.min("start_line").alias("start_line"), F.max("end_line").cast("long").alias("end_line"))
-    return out.select("id", F.col("n_chunks").cast("int").alias("n_chunks"), "start_line", "end_line")
+_SECTIONS_SQL = r"""
+pages_ AS (SELECT conv_id AS id, string_agg('## ' || role || chr(10) || text, chr(10) ORDER BY turn, role, text) AS page FROM conversations GROUP BY conv_id),
+plain AS (SELECT id, string_split(page, chr(10)) AS plain_lines FROM pages_),
+rows_ AS (SELECT id, unnest(plain_lines) AS row_, generate_subscripts(plain_lines, 1) AS n FROM plain),
+numbered AS (SELECT id, n, row_, regexp_extract(row_, '^#{1,6}[\s\x1c-\x1f\x{85}\x{a0}]+(.+)$', 1) AS head FROM rows_),
+marked AS (SELECT id, n, row_, head, sum(CASE WHEN head <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY n) AS part FROM numbered),
+sections AS (SELECT id, part, min(n) AS top, coalesce(max(trim(head)) FILTER (head <> ''), 'Root') AS heading, string_agg(row_, chr(10) ORDER BY n) AS text FROM marked GROUP BY id, part),
+texts AS (SELECT id, part, text FROM sections WHERE text <> '')"""
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_SECTIONS_SQL}, {_split_sql('texts')}" + r"""
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY part, k) - 1)::INT AS chunk_no, content, (first + top - 1)::INT AS start_line, (last + top - 1)::INT AS end_line, heading
+FROM chunks JOIN sections USING (id, part) WHERE regexp_matches(content, '[^\s\x1c-\x1f\x{85}\x{a0}]')""")
 def markdown_chunks(spark, d):
     turns = _t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     page = turns.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(F.lit("## "), x["role"], F.lit("\n"), x["text"])), "\n").alias("text"))
@@ -266,14 +297,51 @@ def _docs(spark, d):
     return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
 
 
+_POSTINGS: dict[tuple, str] = {}
+
+
+def _postings(spark, d):
+    """The postings of documents, written when a session first asks for them, and anew when the table's files change."""
+    docs = _docs(spark, d)
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [fs.getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(f)) for f in sorted(docs.inputFiles())]
+    key = (spark.sparkContext.applicationId, d, *((f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in files))
+    if key not in _POSTINGS:
+        path = f"{_folder(spark)}/postings/{uuid.uuid4().hex}"
+        retrieval.write_postings(docs, path)
+        _POSTINGS[key] = path
+    return spark.read.schema("term string, id long, w double").parquet(_POSTINGS[key])
+
+
 @_query(f"WITH {_QUERY_SQL}, {_SPARSE_SQL} SELECT query_id, id, score, rank FROM {_top_sql(_SPARSE, 5)}")
 def bm25_topk(spark, d):
+    return retrieval.top_per_query(retrieval.posting_scores(_postings(spark, d), _queries(spark, d)), 5)
+
+
+@_query(f"WITH {_QUERY_SQL}, {_SPARSE_SQL} SELECT query_id, id, score, rank FROM {_top_sql(_SPARSE, 5)}")
+def bm25_topk_from_texts(spark, d):
     return retrieval.top_per_query(retrieval.sparse_scores(_docs(spark, d), _queries(spark, d)), 5)
 
 
 @_query(f"WITH {_QUERY_SQL}, {_SPARSE_SQL}, {_IDF_SQL} SELECT query_id, id, score, rank FROM {_top_sql('SELECT query_id, id, round(sum(w * q * idf), 6) AS score FROM d JOIN q USING (term) JOIN f USING (term) GROUP BY query_id, id', 5)}")
 def bm25_topk_idf(spark, d):
-    return retrieval.top_per_query(retrieval.sparse_scores(_docs(spark, d), _queries(spark, d), model=retrieval.BM25(idf=True)), 5)
+    return retrieval.top_per_query(retrieval.posting_scores(_postings(spark, d), _queries(spark, d), rows=_docs(spark, d), model=retrieval.BM25(idf=True)), 5)
+
+
+_STOP = ("the", "of", "and", "die", "der", "la", "el", "de")
+
+
+@_query(f"WITH {_QUERY_SQL}, {_SPARSE_SQL} SELECT query_id, id, score, rank FROM {_top_sql(_SPARSE, 5)}".replace(f"{_TERMS} AS term FROM documents)", f"term FROM (SELECT doc_id, {_TERMS} AS term FROM documents) WHERE term NOT IN {_STOP})").replace(f"{_TERMS} AS term FROM queries)", f"term FROM (SELECT query_id, {_TERMS} AS term FROM queries) WHERE term NOT IN {_STOP})"))
+def bm25_topk_without_stop_words(spark, d):
+    return retrieval.top_per_query(retrieval.sparse_scores(_docs(spark, d), _queries(spark, d), model=retrieval.BM25(stop=_STOP)), 5)
+
+
+@_query(f"WITH {_QUERY_SQL}, {_SPARSE_SQL} SELECT id, score FROM ({_SPARSE}) WHERE query_id = 3 ORDER BY score DESC, id LIMIT 10")
+def sparse_topk_in_row(spark, d):
+    docs = _docs(spark, d).withColumn("sparse", F.map_from_entries(retrieval.sparse_vector(F.col("text"))))
+    query = retrieval.query_weights(_queries(spark, d).where("query_id = 3")).select("term", "q").collect()
+    return retrieval.sparse_top_k(docs.select("id", "sparse"), [tuple(r) for r in query], 10).select("id", "score")
 
 
 @_query(f"WITH {_QUERY_SQL} SELECT query_id, id, score, rank FROM {_top_sql(_DENSE, 10)}")
@@ -292,7 +360,7 @@ def _hybrid_sql(k: int, rrf: int, base: int, filtered: bool = False, where: str
 
 def _hybrid(spark, d, queries, k=10, fusion=retrieval.WRITTEN, where=None):
     vectors = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return retrieval.hybrid(_docs(spark, d), vectors, queries, k, fusion, where=where)
+    return retrieval.hybrid(_docs(spark, d), vectors, queries, k, fusion, where=where, posts=_postings(spark, d))
 
 
 @_query(_hybrid_sql(10, 60, 1, True, "lang = 'en'") + " WHERE query_id = 3")
@@ -310,9 +378,9 @@ def hybrid_rrf_k2(spark, d):
     return _hybrid(spark, d, _queries(spark, d), fusion=retrieval.ZERO_BASED)
 
 
-@_query(f"WITH {_QUERY_SQL} SELECT query_id, id, score, rank FROM {_top_sql(_DENSE, 10)} WHERE query_id < 5")
+@_query(f"WITH {_QUERY_SQL} SELECT query_id, id, score, rank FROM {_top_sql(_DENSE, 10)}")
 def hybrid_no_sparse_fallback(spark, d):
-    return _hybrid(spark, d, _queries(spark, d).where("query_id < 5").withColumn("text", F.lit(" ?! ")))
+    return _hybrid(spark, d, _queries(spark, d).withColumn("text", F.lit(" ?! ")))
 
 
 # logs
@@ -444,9 +512,13 @@ def poll_counts(spark, d):
     return changes.poll(*_repositories(spark, d))
 
 
+def _folder(spark) -> str:
+    """The folder that all executors share."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
 def _table(spark, rows: DataFrame, key: list[str], partition: list[str] | None = None) -> Table:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    t = Table(spark, f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}", rows.schema, key, partition)
+    t = Table(spark, f"{_folder(spark)}/tables/{uuid.uuid4().hex}", rows.schema, key, partition)
     t.upsert(rows)
     return t
 
