@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,14 +17,16 @@ from ..functions.urls import permalink
 from ..operators.changes import changed_files, gone_files
 from ..operators.chunking import by_heading, front_matter, header_tags
 from ..operators.keywords import distinct_headings, document_keywords, keyword_source
+from ..operators.retrieval import BM25
 from ..operators.symbols import extract
 from ..sources.files import scan, texts
 from ..sources.store import Table
+from .search import weighted
 
 CHUNKS = (
     "id string, repo string, doc_type string, path string, rel_path string, title string, folder string, category string, "
     "tags array<string>, heading string, symbol string, language string, start_line int, end_line int, permalink_url string, "
-    "content string, embed_text string, kind string, metadata map<string,string>, dense array<float>"
+    "content string, embed_text string, kind string, metadata map<string,string>, dense array<float>, sparse map<string,double>"
 )
 FILES = "filepath string, repo string, doc_type string, language string, commit_sha string, mtime double"
 SUMMARIES = "filepath string, repo string, title string, folder string, category string, tags string, headings string, keywords string, mtime double"
@@ -113,50 +116,62 @@ def summary_rows(files: DataFrame) -> DataFrame:
 class Index:
     """The tables of an index in a folder, and the two ways in which files get into it."""
 
-    def __init__(self, spark: SparkSession, path: str, namespace: uuid.UUID = NAMESPACE, embed=None):
-        """``embed``: a function from a DataFrame with embed_text to the same with a column dense, or None."""
-        self.spark, self.namespace, self.embed = spark, namespace, embed
+    def __init__(self, spark: SparkSession, path: str, namespace: uuid.UUID = NAMESPACE, embed=None, model: BM25 = BM25()):
+        """``embed``: a function from a DataFrame with embed_text to the same with a column dense, or None. ``model``: of the sparse weights."""
+        self.spark, self.namespace, self.embed, self.model = spark, namespace, embed, model
         self.chunks = Table(spark, f"{path}/chunks", CHUNKS, ["id"], ["repo"])
-        self.files = Table(spark, f"{path}/files", FILES, ["filepath"])
-        self.summaries = Table(spark, f"{path}/summaries", SUMMARIES, ["filepath"])
-        self.symbols = Table(spark, f"{path}/symbols", SYMBOLS, ["repo", "filepath", "full_symbol", "start_line"])
+        self.files = Table(spark, f"{path}/files", FILES, ["filepath"], ["repo"])
+        self.summaries = Table(spark, f"{path}/summaries", SUMMARIES, ["filepath"], ["repo"])
+        self.symbols = Table(spark, f"{path}/symbols", SYMBOLS, ["repo", "filepath", "full_symbol", "start_line"], ["repo"])
 
-    def _made(self, files: DataFrame, url, sha, provider) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    @contextmanager
+    def _made(self, files: DataFrame, url, sha, provider):
+        """Chunks, files, summaries and symbols of files; what is held meanwhile is let go at the end."""
         ready = described(parsed(texts(files))).persist()
         lit = lambda x: F.lit(x).cast("string")
-        chunks = chunk_rows(ready, lit(url), lit(sha), lit(provider) if provider else None, self.namespace)
+        chunks = weighted(chunk_rows(ready, lit(url), lit(sha), lit(provider) if provider else None, self.namespace), self.model)
         chunks = self.embed(chunks) if self.embed else chunks
         known = ready.select("filepath", "repo", "doc_type", "language", lit(sha).alias("commit_sha"), "mtime")
-        return chunks, known, summary_rows(ready), ready.select("repo", "filepath", F.inline("symbols"))
+        try:
+            yield chunks, known, summary_rows(ready), ready.select("repo", "filepath", F.inline("symbols"))
+        finally:
+            ready.unpersist()
 
     def sync_local(self, targets: list[dict], purge: bool = False) -> int:
         """Indexes the files of targets that are new or changed; returns their number. Files that are gone stay unless ``purge``."""
         found = scan(self.spark, targets).persist()
         changed = changed_files(found, self.files.read()).persist()
-        n = changed.count()
-        if n:
-            chunks, known, summaries, symbols = self._made(changed, None, None, None)
-            touched = changed.select("filepath")
-            self.chunks.swap(touched.withColumnRenamed("filepath", "path"), chunks)
-            self.symbols.swap(touched, symbols)
-            self.summaries.upsert(summaries)
-            self.files.upsert(known)
-        if purge:
-            gone = gone_files(found, self.files.read().where("repo = 'local'")).select("filepath").persist()
-            self.chunks.swap(gone.withColumnRenamed("filepath", "path"))
-            for table in (self.symbols, self.summaries, self.files):
-                table.swap(gone)
-        return n
+        try:
+            n = changed.count()
+            if n:
+                touched = changed.select("filepath")
+                with self._made(changed, None, None, None) as (chunks, known, summaries, symbols):
+                    self.chunks.swap(touched.withColumnRenamed("filepath", "path"), chunks)
+                    self.symbols.swap(touched, symbols)
+                    self.summaries.upsert(summaries)
+                    self.files.upsert(known)
+            if purge:
+                gone = gone_files(found, self.files.read().where("repo = 'local'")).select("filepath").persist()
+                self.chunks.swap(gone.withColumnRenamed("filepath", "path"))
+                for table in (self.symbols, self.summaries, self.files):
+                    table.swap(gone)
+                gone.unpersist()
+            return n
+        finally:
+            changed.unpersist()
+            found.unpersist()
 
     def sync_clone(self, repo: str, path: str, sha: str, url: str | None = None, provider: str | None = None) -> int:
         """Replaces a repository's rows by those of the checkout at ``path``; returns the number of files."""
         files = scan(self.spark, [{"path": path, "repo": repo}], clone=True)
-        chunks, known, summaries, symbols = self._made(files, url, sha, provider)
-        for table, rows in ((self.chunks, chunks), (self.symbols, symbols), (self.summaries, summaries), (self.files, known)):
-            table.replace("repo", repo, rows)
+        with self._made(files, url, sha, provider) as (chunks, known, summaries, symbols):
+            for table, rows in ((self.chunks, chunks), (self.symbols, symbols), (self.summaries, summaries), (self.files, known)):
+                table.replace("repo", repo, rows)
         return self.files.read().where(F.col("repo") == repo).count()
 
-    def drop(self, repo: str) -> None:
-        """All rows of a repository go, vectors last."""
+    def drop(self, repo: str, registry=None) -> None:
+        """All rows of a repository go, its row in ``registry`` first and vectors last."""
+        if registry is not None:
+            registry.repositories.delete_equal("name", repo)
         for table in (self.files, self.summaries, self.symbols, self.chunks):
             table.delete_equal("repo", repo)

@@ -1,81 +1,81 @@
-"""Answers as text: symbols, outlines, sources, status and catalog of an index and its registry."""
+"""What an index and its registry hold, as DataFrames: symbols, outlines, sources, files, numbers and settings."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import catalog, filters, keywords
 from .ingest import Index
 from .registry import Registry
+from .search import HashedEmbedder, Profile
 
-
-def _lines(df: DataFrame, template: str, *columns) -> list[str]:
-    """One formatted line a row, made by Spark, in the order of ``df``."""
-    return [r[0] for r in df.select(F.format_string(template, *columns)).collect()]
+#: Variables of the environment that may hold a provider's token.
+TOKENS = ("GITHUB_TOKEN", "GITLAB_TOKEN", "GITEA_TOKEN", "BITBUCKET_TOKEN")
 
 
-def _or(column: str, other: str):
-    return F.coalesce(F.nullif(F.col(column).cast("string"), F.lit("")), F.lit(other))
+def lines(df: DataFrame, *columns: str, apart: str = "  ") -> str:
+    """The rows of a short DataFrame as text, a line each, of the columns' values that are not null."""
+    given = [F.col(c).cast("string") for c in columns or df.columns]
+    return "\n".join(r[0] for r in df.select(F.concat_ws(apart, *given)).collect())
 
 
 class Overview:
-    def __init__(self, index: Index, registry: Registry):
-        self.index, self.registry = index, registry
+    def __init__(self, index: Index, registry: Registry, embedder=HashedEmbedder(), profile: Profile = Profile.HYBRID):
+        self.index, self.registry, self.embedder, self.profile = index, registry, embedder, profile
 
-    def find_symbol(self, name: str, repo: str | None = None, exact: bool = True, limit: int = 10) -> str:
+    def find_symbol(self, name: str | None, repo: str | None = None, exact: bool = True, limit: int = 10) -> DataFrame:
+        """Symbols of a name, or that hold it; a blank name finds none."""
         name = (name or "").strip()
-        if not name:
-            return "Error: symbol name cannot be empty."
-        found = filters.find_symbol(self.index.symbols.read(), name, repo, exact, limit=limit)
-        lines = _lines(found, "- **%s** (`%s`) in `[%s] %s` (Lines %d-%d)\n  Signature: `%s`", "name", "kind", "repo", "filepath", "start_line", "end_line", "signature")
-        return "\n".join([f"Found {len(lines)} matching symbols for '{name}':\n", *lines]) if lines else f"No symbols found matching '{name}'."
-
-    def outline(self, path: str, repo: str | None = None) -> str:
-        path = (path or "").strip()
-        lines = _lines(filters.outline(self.index.symbols.read(), path, repo), "- **%s** (%s, lines %d-%d): `%s`", "name", "kind", "start_line", "end_line", "signature")
-        return f"# File Outline: {path}\n\n" + "".join(x + "\n" for x in lines) if lines else f"No outline available for '{path}'."
-
-    def sources(self) -> str:
-        """Repositories and enabled local paths with their numbers of files."""
-        files = self.index.files.read()
-        git = catalog.with_file_counts(self.registry.repositories.read(), files).orderBy("id")
-        local = catalog.with_file_counts(self.registry.paths.read().where("enabled"), files, "repo").orderBy("id")
-        git_lines = _lines(git, "- **%s** [%s] (%s @ `%s` | SHA: `%s`) - Status: `%s` | Files: %d | Last Synced: %s", "name", F.upper(_or("provider", "git")), "url", "branch", F.substring(_or("commit_sha", "None"), 1, 8), "status", "file_count", _or("last_synced", "Never"))
-        local_lines = _lines(local, "- **%s** (`%s`) - Category: `%s` | Files: %d", "repo", "path", _or("category", "None"), "file_count")
-        out = "# Registered Sources & Repositories\n\n"
-        out += "".join(["### Git Repositories\n", *(x + "\n" for x in git_lines), "\n"]) if git_lines else ""
-        return out + ("".join(["### Local Monitored Paths\n", *(x + "\n" for x in local_lines)]) if local_lines else "")
+        return filters.find_symbol(self.index.symbols.read(), name, repo, exact, limit=limit if name else 0)
+
+    def outline(self, path: str | None, repo: str | None = None) -> DataFrame:
+        """The symbols of the files whose path ends so, by line."""
+        return filters.outline(self.index.symbols.read(), (path or "").strip(), repo)
+
+    def sources(self) -> DataFrame:
+        """(kind, name, location, provider, branch, sha, status, category, file_count, last_synced): repositories, then enabled local paths."""
+        none = lambda c: F.lit(None).cast("string").alias(c)
+        git = self.registry.repositories.read().select(
+            F.lit("git").alias("kind"), "id", "name", F.col("url").alias("location"), "provider", "branch", F.substring("commit_sha", 1, 8).alias("sha"), "status", none("category"), "last_synced",
+        )
+        local = self.registry.paths.read().where("enabled").select(
+            F.lit("local").alias("kind"), "id", F.col("repo").alias("name"), F.col("path").alias("location"), none("provider"), none("branch"), none("sha"),
+            F.lit("enabled").alias("status"), "category", F.lit(None).cast("timestamp").alias("last_synced"),
+        )
+        return catalog.with_file_counts(git.unionByName(local), self.index.files.read()).orderBy("kind", "id").drop("id")
 
     def stats(self) -> DataFrame:
         """One row: numbers of files, paths, repositories, symbols and chunks, when the index was last built, and its keywords."""
         numbers = catalog.counts(files=self.index.files.read(), paths=self.registry.paths.read(), repositories=self.registry.repositories.read(), symbols=self.index.symbols.read(), points=self.index.chunks.read())
         cloud = keywords.keyword_cloud(self.index.summaries.read(), order="filepath")
         top = cloud.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "word"))), lambda x: x["word"]).alias("top_keywords"))
-        return numbers.join(F.broadcast(top), F.lit(True)).withColumn("last_indexed", F.lit(self.registry.get("last_indexed", "Never")))
-
-    def status(self) -> str:
-        row = self.stats().first()
-        names = (("Total Vectors", "points"), ("Total Indexed Files", "files"), ("Total AST Symbols", "symbols"), ("Registered Git Repos", "repositories"))
-        return "\n".join(f"{label}: {row[column]}" for label, column in names)
-
-    def catalog(self) -> str:
-        """Repositories, and the first 40 files."""
-        files, symbols = self.index.files.read(), self.index.symbols.read().count()
-        shown = catalog.head(files.select("repo", "filepath", "doc_type", "language"), ["repo", "filepath"]).collect()
-        more = shown[0]["more"] if shown else 0
-        out = f"# Repository & Documentation Catalog\n\n**Total Files Indexed:** {len(shown) + more} | **Total AST Code Symbols:** {symbols}\n\n"
-        git = _lines(self.registry.repositories.read().orderBy("id"), "| %s | %s | %s | `%s` | %s | %s |", "name", "url", "branch", F.substring(_or("commit_sha", "-"), 1, 8), "status", _or("last_synced", "-"))
-        if git:
-            out += "\n".join(["## Registered Git Repositories\n", "| Name | URL | Branch | Commit SHA | Status | Last Synced |", "| --- | --- | --- | --- | --- | --- |", *git]) + "\n\n"
-        out += "\n".join(["## Indexed File Overview\n", "| Repository | File | Type | Language |", "| --- | --- | --- | --- |", *(f"| {r['repo']} | {r['filepath']} | {r['doc_type']} | {r['language']} |" for r in shown)]) + "\n"
-        return out + (f"\n*...and {more} more files.*" if more else "")
-
-    def sync(self, repo: str | None, one, everything) -> str:
-        """Runs ``one(id)`` for a registered name; without a name, or with an unknown one, ``everything()``."""
+        return numbers.join(F.broadcast(top), F.lit(True)).withColumn("last_indexed", F.lit(self.registry.get("last_indexed")).cast("string"))
+
+    def status(self) -> DataFrame:
+        """``stats`` with settings: scoring profile, embedder, its dimension and whether stored vectors have it, minutes between polls, and which sources of credentials there are (never the credentials)."""
+        own = F.count_if(F.coalesce("auth_token", F.lit("")) != "")
+        repositories = self.registry.repositories.read().agg(own.alias("repositories_with_token"))
+        hosts = self.registry.hosts.read().agg(own.alias("hosts_with_token"))
+        settings = {
+            "profile": F.lit(self.profile.value), "embedder": F.lit(getattr(self.embedder, "name", type(self.embedder).__name__)), "dimension": F.lit(self.embedder.dimension),
+            "vectors_fit": F.lit(self.index.chunks.fits(self.embedder.dimension)), "poll_minutes": F.lit(self.registry.interval()),
+            "environment_tokens": F.array(*[F.lit(t) for t in TOKENS if os.environ.get(t)]).cast("array<string>"),
+        }
+        out = self.stats().join(F.broadcast(repositories), F.lit(True)).join(F.broadcast(hosts), F.lit(True))
+        return out.withColumns(settings)
+
+    def catalog(self) -> DataFrame:
+        """(repo, filepath, doc_type, language, more) of the first 40 files; ``more`` is the number of those not shown."""
+        return catalog.head(self.index.files.read().select("repo", "filepath", "doc_type", "language"), ["repo", "filepath"])
+
+    def sync(self, repo: str | None, one, everything) -> int | None:
+        """Runs ``one(id)`` for a registered name and returns the id; without a name, or with an unknown one, ``everything()``."""
         row = self.registry.repositories.read().where(F.col("name") == (repo or "")).select("id").first()
-        if row is not None:
-            one(row["id"])
-            return f"Triggered background sync for repo: '{repo}'"
-        everything()
-        return "Triggered full background re-indexing."
+        if row is None:
+            everything()
+            return None
+        one(row["id"])
+        return row["id"]

@@ -1,4 +1,4 @@
-"""Search over an index: hybrid or dense, with filters, and hits as rows or as text."""
+"""Search over an index: hybrid or dense, with filters, and hits as rows or as lines of text."""
 
 from __future__ import annotations
 
@@ -7,47 +7,63 @@ from enum import Enum
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.ids import point_id
 from ..operators import filters, retrieval
-from ..operators.catalog import hit_block
-
-HIT = "id string, score double"
-
 
 class Profile(Enum):
     HYBRID = "hybrid_rrf"
     DENSE = "dense_clamped"
 
 
-def hashed_embedding(text: str, dimension: int = 384) -> list[float]:
-    """A unit vector of hashed word counts: deterministic, for use without a model; it knows no meaning."""
-    v = np.zeros(dimension)
-    for word in (text or "").lower().split():
-        h = zlib.crc32(word.encode())
-        v[h % dimension] += 1 if h >> 31 else -1
-    n = np.linalg.norm(v)
-    return (v / n if n else v).tolist()
+class HashedEmbedder:
+    """Unit vectors of hashed word counts: deterministic, for use without a model; they know no meaning.
+
+    Any object like it serves as an embedder: picklable, with ``dimension`` and ``embed``, from a list of texts to one of
+    vectors. A worker keeps one copy, so a model that it loads when first used is loaded once a worker.
+    """
+
+    name = "hashed words"
+
+    def __init__(self, dimension: int = 384):
+        self.dimension = dimension
 
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        out = np.zeros((len(texts), self.dimension))
+        for row, text in zip(out, texts):
+            for word in (text or "").lower().split():
+                h = zlib.crc32(word.encode())
+                row[h % self.dimension] += 1 if h >> 31 else -1
+        return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)).tolist()
 
-def embedded(chunks: DataFrame, embed=hashed_embedding, column: str = "embed_text") -> DataFrame:
-    """``chunks`` with dense, by a function from a text to a vector that is made once a worker."""
+
+def embedded(chunks: DataFrame, embedder=HashedEmbedder(), column: str = "embed_text", batch: int = 256) -> DataFrame:
+    """``chunks`` with dense: an embedder's vectors, ``batch`` texts a call."""
+    sent = chunks.sparkSession.sparkContext.broadcast(embedder)
 
     @pandas_udf("array<float>")
     def vectors(texts: pd.Series) -> pd.Series:
-        return texts.map(embed)
+        own = sent.value  # one copy a worker
+        given = texts.fillna("").tolist()
+        return pd.Series([v for i in range(0, len(given), batch) for v in own.embed(given[i : i + batch])], dtype=object)
 
     return chunks.withColumn("dense", vectors(F.col(column)))
 
 
+def weighted(chunks: DataFrame, model: retrieval.BM25 = retrieval.BM25()) -> DataFrame:
+    """``chunks`` with sparse: their terms' weights, which searches read in place of the text."""
+    return chunks.withColumn("sparse", F.map_from_entries(retrieval.sparse_vector(F.coalesce("embed_text", "content"), model)))
+
+
 class Search:
     """Queries against a DataFrame of chunks (columns of the ingestion's table)."""
 
-    def __init__(self, chunks: DataFrame, embed=hashed_embedding, profile: Profile = Profile.HYBRID, fusion: retrieval.Fusion = retrieval.WRITTEN, on_error: str = "raise"):
-        self.chunks, self.embed, self.profile, self.fusion, self.on_error = chunks, embed, profile, fusion, on_error
+    def __init__(self, chunks: DataFrame, embedder=HashedEmbedder(), profile: Profile = Profile.HYBRID, fusion: retrieval.Fusion = retrieval.WRITTEN, on_error: str = "raise", model: retrieval.BM25 = retrieval.BM25()):
+        """``model`` is that of the chunks' sparse weights; chunks without them are weighed from their texts."""
+        self.chunks, self.embedder, self.profile, self.fusion, self.on_error, self.model = chunks, embedder, profile, fusion, on_error, model
 
     def hits(self, query: str, limit: int = 5, doc_type: str | None = None, repo: str | None = None, language: str | None = None, category: str | None = None, tag: str | None = None) -> DataFrame:
         """Columns of the chunks and score, best first. A blank query has no hits; ``on_error='empty'`` makes failures such too."""
@@ -62,15 +78,17 @@ class Search:
             raise
 
     def _hits(self, query: str, limit: int, where) -> DataFrame:
-        rows, vector = self.chunks.where(where), self.embed(query)
-        terms = rows.sparkSession.createDataFrame([(0, query)], "query_id long, text string")
-        has_terms = terms.where(F.size(retrieval.terms(F.col("text"))) > 0).count() > 0
-        dense = retrieval.dense_top_k(rows.where(F.col("dense").isNotNull()), vector, limit if self.profile is Profile.DENSE or not has_terms else 2 * limit, column="dense", clamp=self.profile is Profile.DENSE)
-        if self.profile is Profile.DENSE or not has_terms:
+        rows, vector = self.chunks.where(where), self.embedder.embed([query])[0]
+        one = rows.sparkSession.createDataFrame([(0, query)], "query_id long, text string")
+        terms = [(r["term"], r["q"]) for r in retrieval.query_weights(one, model=self.model).collect()]
+        alone = self.profile is Profile.DENSE or not terms
+        dense = retrieval.dense_top_k(rows.where(F.col("dense").isNotNull()), vector, limit if alone else 2 * limit, column="dense", clamp=self.profile is Profile.DENSE)
+        if alone:
             return dense.orderBy(F.desc("score"), "id")
-        numbered = retrieval.top_per_query(dense.select(F.lit(0).alias("query_id"), "id", "score"), 2 * limit)
-        sparse = retrieval.top_per_query(retrieval.sparse_scores(rows.withColumn("_t", F.coalesce("embed_text", "content")), terms, text="_t"), 2 * limit)
-        best = retrieval.fuse([numbered, sparse], limit, self.fusion).select("id", "score")
+        weighed = rows if "sparse" in rows.columns else weighted(rows, self.model)
+        sparse = retrieval.sparse_top_k(weighed.select("id", "sparse"), terms, 2 * limit)
+        numbered = [retrieval.top_per_query(x.select(F.lit(0).alias("query_id"), "id", "score"), 2 * limit) for x in (dense, sparse)]
+        best = retrieval.fuse(numbered, limit, self.fusion).select("id", "score")
         return rows.join(F.broadcast(best), "id").orderBy(F.desc("score"), "id")
 
     def search_test(self, query: str, doc_type: str | None = None, repo: str | None = None) -> DataFrame:
@@ -79,11 +97,9 @@ class Search:
 
     def _text(self, query: str, limit: int, code: bool, **given: str | None) -> str:
         if not (query or "").strip():
-            return "Error: search query cannot be empty."
-        rows = self.hits(query, limit, doc_type="code" if code else "doc", **given).select(hit_block(code).alias("block")).collect()
-        if not rows:
-            return f"No matching {'code snippets' if code else 'documentation'} found for query: '{query.strip()}'."
-        return "\n\n========================\n\n".join(r["block"] for r in rows)
+            return "Nothing to search for."
+        rows = self.hits(query, limit, doc_type="code" if code else "doc", **given).select(hit_lines().alias("lines")).collect()
+        return "\n\n".join(r["lines"] for r in rows) or "No hits."
 
     def search_code(self, query: str, repo: str | None = None, language: str | None = None, limit: int = 5) -> str:
         return self._text(query, limit, True, repo=repo, language=language)
@@ -92,6 +108,15 @@ class Search:
         return self._text(query, limit, False, repo=repo, category=category, tag=tag)
 
 
+def hit_lines() -> Column:
+    """A hit (columns of a chunk and score) as lines: its place, name, labels and score, where to read it, and its text, indented."""
+    place = F.concat("repo", F.lit("/"), "rel_path", F.coalesce(F.format_string(":%d-%d", "start_line", "end_line"), F.lit("")))
+    name = F.coalesce(F.nullif("symbol", F.lit("")), F.nullif("heading", F.lit("Root")))
+    labels = F.when(F.size(F.coalesce("tags", F.array())) > 0, F.concat(F.lit("#"), F.array_join("tags", " #")))
+    first = F.concat_ws("  ", place, name, labels, F.format_string("%.4f", "score"))
+    return F.concat_ws("\n", first, F.col("permalink_url"), F.regexp_replace(F.coalesce("content", F.lit("")), r"(?m)^", "    "))
+
+
 def points(documents: DataFrame, id_: str = "id") -> DataFrame:
     """``documents`` with ids that are UUIDs."""
     return documents.withColumn(id_, point_id(F.col(id_)))

@@ -1,18 +1,19 @@
 import datetime
 import json
 import os
+import shutil
 import threading
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import catalog
+from lodestone.operators import catalog, retrieval
 from lodestone.plans.ingest import CHUNKS, Index, payload
-from lodestone.plans.overview import Overview
+from lodestone.plans.overview import Overview, lines
 from lodestone.plans.registry import Registry
 from lodestone.plans.search import Profile, Search, embedded, sanitized
 from lodestone.sources import files as sources
-from lodestone.sources.store import KeyExists, Table
+from lodestone.sources.store import Broken, KeyExists, Table
 from lodestone.streaming import feeds
 
 
@@ -29,6 +30,7 @@ def tree(tmp_path):
     _write(root / "src/auth.py", "class AuthService:\n    def authenticate(self):\n        return 1\n")
     _write(root / "src/run.py", "print(1)\n")
     _write(root / "bad.txt", b"ok \xff\xfe end", "wb")
+    _write(root / "src/__init__.py", "")
     for hidden in (".git/x.py", "node_modules/y.js", ".z.py", "data.dat", "deep/.h/z.md"):
         _write(root / hidden, "x")
     return root
@@ -36,19 +38,19 @@ def tree(tmp_path):
 
 def test_scan(spark, tree):
     found = {r["rel_path"]: (r["language"], r["doc_type"]) for r in sources.scan(spark, [{"path": str(tree)}]).collect()}
-    assert found == {"a.md": ("markdown", "doc"), "src/auth.py": ("python", "code"), "src/run.py": ("python", "code"), "bad.txt": ("text", "doc")}
+    assert found == {"a.md": ("markdown", "doc"), "src/auth.py": ("python", "code"), "src/run.py": ("python", "code"), "src/__init__.py": ("python", "code"), "bad.txt": ("text", "doc")}
     flat = sources.scan(spark, [{"path": str(tree), "recursive": False}, {"path": str(tree / "src/auth.py"), "type": "file", "repo": "own"}, {"path": "/no/such"}, {"path": str(tree), "enabled": False}])
     assert {(r["rel_path"], r["repo"]) for r in flat.collect()} == {("a.md", "local"), ("bad.txt", "local"), ("auth.py", "own")}
     last = sources.scan(spark, [{"path": str(tree)}, {"path": str(tree / "src"), "repo": "later"}])
-    assert {r["rel_path"] for r in last.where("repo = 'later'").collect()} == {"auth.py", "run.py"}
+    assert {r["rel_path"] for r in last.where("repo = 'later'").collect()} == {"auth.py", "run.py", "__init__.py"}
     text = {r["rel_path"]: r["content"] for r in sources.texts(sources.scan(spark, [{"path": str(tree)}])).collect()}
-    assert text["bad.txt"] == "ok  end" and len(text) == 4
+    assert text["bad.txt"] == "ok  end" and len(text) == 5
     assert sources.head_of("abc\trefs/heads/main\ndef\tx\n") == "abc" and sources.head_of("\n") is None
 
 
 def test_ingest_and_search(spark, tree, tmp_path):
     index = Index(spark, f"file://{tmp_path}/index", embed=embedded)
-    assert index.sync_local([{"path": str(tree)}]) == 4
+    assert index.sync_local([{"path": str(tree)}]) == 5
     assert index.sync_local([{"path": str(tree)}]) == 0
     chunks = {(r["rel_path"], r["symbol"] or r["heading"]): r for r in index.chunks.read().collect()}
     assert set(chunks) == {("a.md", "Top"), ("a.md", "Next"), ("src/auth.py", "AuthService"), ("src/auth.py", "AuthService.authenticate"), ("src/run.py", "run.py"), ("bad.txt", "Root")}
@@ -64,10 +66,15 @@ def test_ingest_and_search(spark, tree, tmp_path):
     assert search.hits("fastapi jwt", 3).first()["heading"] == "Top"
     assert search.hits("authenticate", 3, doc_type="code", language="python").first()["symbol"].startswith("AuthService")
     assert search.hits("fastapi", 3, language="python", doc_type="doc").count() == 0
-    assert search.hits("  ").count() == 0 and search.search_docs("") == "Error: search query cannot be empty."
+    assert search.hits("  ").count() == 0 and search.search_docs("") == "Nothing to search for."
     block = search.search_docs("fastapi", tag="design", limit=1)
-    assert block.startswith("### [local] a.md -> Top\nTags: design, system\nRRF Score: 0.0") and block.endswith("fastapi jwt tokens")
-    assert search.search_code("x", repo="none").startswith("No matching code snippets")
+    assert block.startswith("local/a.md:1-2  Top  #design #system  0.0") and block.endswith("\n    # Top\n    fastapi jwt tokens")
+    assert search.search_code("x", repo="none") == "No hits."
+    texts = Search(index.chunks.read().drop("sparse"))
+    for q in ("fastapi jwt", "authenticate", "print more tokens"):
+        assert [tuple(r) for r in texts.hits(q, 4).select("id", "score").collect()] == [tuple(r) for r in search.hits(q, 4).select("id", "score").collect()]
+    plan = retrieval.sparse_top_k(index.chunks.read().select("id", "sparse"), [("jwt", 1.0)], 2)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "content" not in plan and "ArrowEvalPython" not in plan
     assert search.search_test("fastapi").count() <= 6
     dense = Search(index.chunks.read(), profile=Profile.DENSE).hits("fastapi", 4)
     assert dense.count() == 4 and dense.where("score < 0").count() == 0
@@ -81,35 +88,42 @@ def test_ingest_and_search(spark, tree, tmp_path):
     os.remove(tree / "a.md")
     assert index.sync_local([{"path": str(tree)}]) == 2
     assert {r["full_symbol"] for r in index.symbols.read().collect()} == {"other"}
-    assert index.files.read().count() == 4
+    assert index.files.read().count() == 5
     index.sync_local([{"path": str(tree)}], purge=True)
-    assert index.files.read().count() == 3 and index.chunks.read().where("rel_path = 'a.md'").count() == 0
+    assert index.files.read().count() == 4 and index.chunks.read().where("rel_path = 'a.md'").count() == 0
 
-    assert index.sync_clone("lib", str(tree), "abc123", "git@github.com:o/lib.git") == 3
+    assert index.sync_clone("lib", str(tree), "abc123", "git@github.com:o/lib.git") == 4
     link = index.chunks.read().where("repo = 'lib' AND symbol = 'other'").first()
     assert (link["path"], link["permalink_url"]) == ("lib://src/auth.py", "https://github.com/o/lib/blob/abc123/src/auth.py#L1-L2")
     index.drop("lib")
-    assert index.chunks.read().where("repo = 'lib'").count() == 0 and index.files.read().count() == 3
+    assert index.chunks.read().where("repo = 'lib'").count() == 0 and index.files.read().count() == 4
 
 
-def test_overview(spark, tree, tmp_path):
+def test_overview(spark, tree, tmp_path, monkeypatch):
+    monkeypatch.setenv("GITLAB_TOKEN", "t")
     index, registry = Index(spark, f"file://{tmp_path}/i"), Registry(spark, f"file://{tmp_path}/r")
     view = Overview(index, registry)
-    assert view.outline("auth.py") == "No outline available for 'auth.py'." and view.find_symbol(" ") == "Error: symbol name cannot be empty."
+    assert view.outline("auth.py").count() == 0 and view.find_symbol(" ").count() == 0 and view.catalog().count() == 0
     index.sync_local([{"path": str(tree)}])
     registry.add_path(str(tree), category="notes")
-    one = registry.add_repository("lib", "https://github.com/o/lib", provider="github")
+    one = registry.add_repository("lib", "https://github.com/o/lib", provider="github", auth_token="x")
     registry.set_status(one, "error", "no route")
-    assert view.find_symbol("auth", exact=False).startswith("Found 2 matching symbols for 'auth':\n\n- **AuthService** (`class_definition`) in `[local] ")
-    assert "- **authenticate** (function_definition, lines 2-3): `def authenticate(self):`\n" in view.outline("auth.py")
-    listed = view.sources()
-    assert "- **lib** [GITHUB] (https://github.com/o/lib @ `main` | SHA: `None`) - Status: `error` | Files: 0 | Last Synced: Never" in listed and "Category: `notes` | Files: 4" in listed
-    assert view.status().splitlines() == ["Total Vectors: 6", "Total Indexed Files: 4", "Total AST Symbols: 2", "Registered Git Repos: 1"]
-    assert "fastapi" in view.stats().first()["top_keywords"]
-    assert "**Total Files Indexed:** 4 | **Total AST Code Symbols:** 2" in view.catalog() and "more files" not in view.catalog()
+    assert [(r["name"], r["kind"]) for r in view.find_symbol("auth", exact=False).collect()] == [("AuthService", "class_definition"), ("authenticate", "function_definition")]
+    assert [r["signature"] for r in view.outline("auth.py").collect()] == ["class AuthService:", "def authenticate(self):"]
+    assert lines(view.outline("auth.py"), "outline").splitlines()[1] == "AuthService.authenticate (function_definition) lines 2-3"
+    git, local = view.sources().collect()
+    assert (git["name"], git["provider"], git["branch"], git["sha"], git["status"], git["file_count"], git["last_synced"]) == ("lib", "github", "main", None, "error", 0, None)
+    assert (local["kind"], local["category"], local["file_count"]) == ("local", "notes", 5)
+    status = view.status().first().asDict()
+    want = {"points": 6, "files": 5, "symbols": 2, "repositories": 1, "paths": 1, "last_indexed": None, "profile": "hybrid_rrf", "dimension": 384, "vectors_fit": True, "poll_minutes": 15}
+    want |= {"repositories_with_token": 1, "hosts_with_token": 0, "environment_tokens": ["GITLAB_TOKEN"]}
+    assert status | want == status and "fastapi" in status["top_keywords"] and "x" not in status.values()
+    assert {(r["language"], r["more"]) for r in view.catalog().collect()} == {("markdown", 0), ("python", 0), ("text", 0)}
     calls = []
-    assert "lib" in view.sync("lib", calls.append, lambda: calls.append("all")) and "full" in view.sync("nope", calls.append, lambda: calls.append("all"))
+    assert view.sync("lib", calls.append, lambda: calls.append("all")) == one and view.sync("nope", calls.append, lambda: calls.append("all")) is None
     assert calls == [one, "all"]
+    index.drop("lib", registry)
+    assert registry.repositories.read().count() == 0
 
 
 def test_poll_until():
@@ -150,7 +164,7 @@ def test_store(spark, tmp_path):
         t.insert(spark.createDataFrame([(2, "z")], "k long, v string"))
     assert t.update(F.col("k") == 2, v=F.lit("u")) == 1 and t.update(F.col("k") == 9, v=F.lit("u")) == 0
     t.delete_equal("p", None)
-    assert rows() == {} and len([x for x in os.listdir(tmp_path / "t") if x.startswith("v-")]) == 2
+    assert rows() == {}
     wider = Table(spark, f"file://{tmp_path}/t", "k long, v string, p string, w int", ["k"], ["p"])
     assert wider.read().columns == ["k", "v", "p", "w"]
     vectors = Table(spark, f"file://{tmp_path}/v", "id string, dense array<float>", ["id"])
@@ -158,6 +172,79 @@ def test_store(spark, tmp_path):
     assert vectors.fits(2) and not vectors.heal(2) and vectors.heal(3) and vectors.read().count() == 0
 
 
+def _stored(path):
+    return {os.path.relpath(os.path.join(d, n), path) for d, _, names in os.walk(path) for n in names if n.endswith(".parquet")}
+
+
+def test_changes_touch_their_folders_alone(spark, tmp_path):
+    schema = "k long, v string, p string"
+    t = Table(spark, f"file://{tmp_path}/t", schema, ["k"], ["p"])
+    t.upsert(spark.createDataFrame([(i, "a", ["x y", "b/c", "z"][i % 3]) for i in range(9)], schema))
+    before = _stored(tmp_path / "t")
+    t.upsert(spark.createDataFrame([(100, "new", "w")], schema))
+    assert before < _stored(tmp_path / "t")  # appended
+    t.replace("p", "b/c", spark.createDataFrame([(1, "r", "b/c")], schema))
+    t.upsert(spark.createDataFrame([(0, "u", "x y")], schema))
+    t.delete_equal("p", "w")
+    assert {f for f in before if "p=z" in f} <= _stored(tmp_path / "t")
+    assert not {f for f in before if "p=b" in f} & _stored(tmp_path / "t")
+    got = {(r["k"], r["v"], r["p"]) for r in t.read().collect()}
+    assert got == {(0, "u", "x y"), (3, "a", "x y"), (6, "a", "x y"), (1, "r", "b/c"), (2, "a", "z"), (5, "a", "z"), (8, "a", "z")}
+    t.compact()
+    assert {(r["k"], r["v"], r["p"]) for r in t.read().collect()} == got
+    assert t.delete(F.col("k") == 77) is None and t.read().count() == 7
+
+
+@pytest.mark.parametrize("step", ["_holding", "_written", "_publish", "_sweep"])
+@pytest.mark.parametrize("after", [False, True])
+def test_a_change_that_dies_leaves_whole_versions(spark, tmp_path, monkeypatch, step, after):
+    t = Table(spark, f"file://{tmp_path}/t", "k long, v string", ["k"])
+    t.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"))
+    whole = getattr(Table, step)
+
+    def dying(self, *given):
+        if after:
+            whole(self, *given)
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(Table, step, dying)
+        with pytest.raises(KeyboardInterrupt):
+            t.upsert(spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string"))
+    old, new = {1: "a", 2: "b"}, {1: "a", 2: "c", 3: "d"}
+    other = Table(spark, f"file://{tmp_path}/t", "k long, v string", ["k"])
+    published = step == "_sweep" or step == "_publish" and after
+    assert {r["k"]: r["v"] for r in other.read().collect()} == (new if published else old)
+    other.upsert(spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string"))
+    assert {r["k"]: r["v"] for r in t.read().collect()} == new
+
+
+def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    tables = [Table(spark, f"file://{tmp_path}/t", "k long, v string", ["k"]) for _ in range(3)]
+    for t in tables:  # each as if in a process of its own
+        t._lock = threading.RLock()
+    rows = lambda i: spark.createDataFrame([(i * 10 + j, str(i)) for j in range(2)] + [(0, str(i))], "k long, v string")
+    tables[0].upsert(rows(0))
+    late = tables[1]._publish
+
+    def beaten(version, folders):
+        monkeypatch.setattr(tables[1], "_publish", late)
+        tables[2].upsert(rows(2))
+        return late(version, folders)
+
+    monkeypatch.setattr(tables[1], "_publish", beaten)
+    tables[1].upsert(rows(1))
+    assert {r["k"]: r["v"] for r in tables[0].read().collect()} == {0: "1", 1: "0", 10: "1", 11: "1", 20: "2", 21: "2"}
+
+
+def test_rows_without_a_log_are_an_error(spark, tmp_path):
+    t = Table(spark, f"file://{tmp_path}/t", "k long", ["k"])
+    t.upsert(spark.createDataFrame([(1,)], "k long"))
+    shutil.rmtree(tmp_path / "t/_log")
+    with pytest.raises(Broken):
+        t.read()
+
+
 def test_registry(spark, tmp_path):
     r = Registry(spark, f"file://{tmp_path}")
     one = r.add_repository("My Repo!", " https://github.com/o/r ", auth_token="ghp_123456789", webhook_secret="s")
