@@ -5,6 +5,7 @@ State is bounded by design: the log keeps a fixed number of rows, pushes keep id
 
 from __future__ import annotations
 
+import json
 import threading
 from collections.abc import Callable
 
@@ -27,18 +28,38 @@ def kept_logs(logs: DataFrame, capacity: int = CAPACITY, least: str = "INFO") ->
     return logs.where(level >= LEVELS[least]).orderBy(F.desc("ts"), F.desc("seq")).limit(capacity)
 
 
-def ring(logs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(logger, n, rows): of a stream of logs, each logger's newest rows as JSON, held as state of bounded size."""
+#: The level of a row that empties the log of all rows up to its time.
+CLEAR = "CLEAR"
+
+
+def ring(logs: DataFrame, capacity: int = CAPACITY, least: str = "INFO", salts: int = 8) -> DataFrame:
+    """(salt, n, rows): of a stream of logs, the newest rows from a level up, as JSON, held as state of bounded size.
+
+    Rows are dealt over ``salts`` states of ``capacity`` rows each, so no task takes the whole stream; the newest of all,
+    ``ring_tail``, are among them. A row of level ``CLEAR`` reaches every state and empties it of what is not newer.
+    """
+    level = F.coalesce(*(F.when(F.col("level") == k, F.lit(v)) for k, v in LEVELS.items()), F.lit(0))
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    own = F.array(F.pmod(F.xxhash64("ts", "logger", "message"), F.lit(salts)).cast("int"))
+    dealt = logs.where((level >= LEVELS[least]) | (F.col("level") == CLEAR)).withColumn("salt", F.explode(F.when(F.col("level") == CLEAR, every).otherwise(own)))
 
     def keep(key, batches, state: GroupState):
         rows = list(state.get[0]) if state.exists else []
         for pdf in batches:
-            rows += pdf.sort_values("ts")[["ts", "level", "message"]].astype(str).to_json(orient="records", lines=True).splitlines()
-        rows = [r for r in rows if r][-capacity:]
+            rows += pdf[["ts", "level", "logger", "message", "traceback"]].astype({"ts": str}).to_json(orient="records", lines=True).splitlines()
+        own = sorted((json.loads(r) for r in rows if r), key=lambda r: r["ts"])
+        cleared = max((r["ts"] for r in own if r["level"] == CLEAR), default="")
+        rows = [json.dumps(r) for r in own if r["level"] != CLEAR and r["ts"] > cleared][-capacity:]
         state.update((rows,))
-        yield pd.DataFrame({"logger": [key[0]], "n": [len(rows)], "rows": [rows]})
+        yield pd.DataFrame({"salt": [key[0]], "n": [len(rows)], "rows": [rows]})
+
+    return dealt.groupBy("salt").applyInPandasWithState(keep, "salt int, n long, rows array<string>", "rows array<string>", "update", GroupStateTimeout.NoTimeout)
+
 
-    return logs.groupBy("logger").applyInPandasWithState(keep, "logger string, n long, rows array<string>", "rows array<string>", "update", GroupStateTimeout.NoTimeout)
+def ring_tail(states: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The log of the last states (salt, rows) that ``ring`` gave, newest first."""
+    fields = F.from_json("row", "ts string, level string, logger string, message string, traceback string")
+    return states.select(F.explode("rows").alias("row")).select(fields.alias("r")).select("r.*").withColumn("ts", F.to_timestamp("ts")).orderBy(F.desc("ts")).limit(capacity)
 
 
 def triggered(events: DataFrame, repositories: DataFrame) -> DataFrame:

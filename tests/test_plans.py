@@ -290,12 +290,18 @@ def test_streams(spark, tmp_path):
     synced = []
     feeds.webhook_stream(stream, lambda: repos, lambda i, name: synced.append((i, name)), f"{tmp_path}/ck").awaitTermination(60)
     assert synced == [(1, "one")]
-    logs = spark.createDataFrame([(datetime.datetime(2024, 1, 1, 0, i), "INFO", "a", f"m{i}", None) for i in range(8)], feeds.LOG)
-    logs.write.parquet(f"{tmp_path}/logs")
-    q = feeds.ring(spark.readStream.schema(logs.schema).parquet(f"{tmp_path}/logs"), 3).writeStream.outputMode("update").format("memory").queryName("ring").option("checkpointLocation", f"{tmp_path}/ck2").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    row = spark.sql("SELECT * FROM ring").first()
-    assert row["n"] == 3 and [json.loads(r)["message"] for r in row["rows"]] == ["m5", "m6", "m7"]
+    t = datetime.datetime(2024, 1, 1)
+    first = [(t + datetime.timedelta(minutes=i), "DEBUG" if i == 39 else "INFO", f"l{i % 4}", f"m{i}", None) for i in range(40)]
+    second = [(t + datetime.timedelta(minutes=100 + i), "ERROR", "a", f"n{i}", "trace") for i in range(3)] + [(t + datetime.timedelta(minutes=50), feeds.CLEAR, None, None, None)]
+    for n, (rows, want) in enumerate(((first, [f"m{i}" for i in (38, 37, 36, 35, 34)]), (second, ["n2", "n1", "n0"]))):
+        spark.createDataFrame(rows, feeds.LOG).coalesce(1).write.mode("append").parquet(f"{tmp_path}/logs")
+        states: dict = {}
+        keep = lambda df, _: states.update({r["salt"]: r["rows"] for r in df.collect()})
+        stream = feeds.ring(spark.readStream.schema(feeds.LOG).parquet(f"{tmp_path}/logs"), 5)
+        stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/ck2").trigger(availableNow=True).start().awaitTermination(90)
+        assert all(len(r) <= 5 for r in states.values()) and (n == 0 or len(states) == 8)
+        table = spark.createDataFrame(list(states.items()), "salt int, rows array<string>")
+        assert [r["message"] for r in feeds.ring_tail(table, 5).collect()] == want
     heads = spark.createDataFrame([(1, "x"), (2, None)], "id long, sha string")
     asked = []
     base = spark.createDataFrame([(1, "w", True), (2, "w", True)], "id long, commit_sha string, auto_sync boolean")
