@@ -6,13 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Extensions that a scan reads, matched with case.
-READ = ".md .txt .yaml .yml .json .py .js .jsx .ts .tsx .go .rs .cs .cpp .c .h .java .rb .php .sh .sql .html .css".split()
+READ = (
+    ".md", ".txt", ".yaml", ".yml", ".json", ".py", ".js", ".jsx", ".ts", ".tsx", ".go", ".rs",
+    ".cs", ".cpp", ".c", ".h", ".java", ".rb", ".php", ".sh", ".sql", ".html", ".css",
+)
 
-# Languages and their extensions, in lower case.
+# The language of each extension, in lower case.
 LANGUAGES = {
-    "python": "py", "javascript": "js jsx", "typescript": "ts", "tsx": "tsx", "go": "go", "rust": "rs", "c_sharp": "cs",
-    "cpp": "cpp cc cxx hpp", "c": "c h", "java": "java", "ruby": "rb", "php": "php", "bash": "sh bash", "sql": "sql", "html": "html",
-    "css": "css", "json": "json", "yaml": "yaml yml", "toml": "toml", "markdown": "md", "text": "txt",
+    "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "tsx", "go": "go", "rs": "rust",
+    "cs": "c_sharp", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "c": "c", "h": "c", "java": "java", "rb": "ruby",
+    "php": "php", "sh": "bash", "bash": "bash", "sql": "sql", "html": "html", "css": "css", "json": "json", "yaml": "yaml",
+    "yml": "yaml", "toml": "toml", "md": "markdown", "txt": "text",
 }
 PROSE = ("markdown", "text", "json", "yaml", "toml")
 PRUNED = ("node_modules", "vendor", "__pycache__", "venv", ".git")
@@ -27,10 +31,8 @@ def language(path: Column) -> Column:
     """The language of a path by its last extension; ``text`` where it is unknown."""
     name = F.substring_index(path, "/", -1)
     ext = F.lower(F.regexp_extract(name, r"(?s)[^.].*\.([^.]*)\z", 1))
-    out = F.lit("text")
-    for lang, exts in LANGUAGES.items():
-        out = F.when(ext.isin(exts.split()), F.lit(lang)).otherwise(out)
-    return out
+    names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, ext), F.lit("text"))
 
 
 def doc_type(lang: Column) -> Column:

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 # Words that are no keywords. Only words that the token pattern can produce, of three letters or more, are here.
 STOPWORDS = (
-    "about above after again against all and any are because been before being below between both but "
-    "can cannot could did does doing down during each few for from further had has have having her here hers herself "
-    "him himself his how into its itself more most myself nor not off once only other ought our ours "
-    "ourselves out over own same she should some such than that the their theirs them "
-    "themselves then there these they this those through too under until very was "
-    "were what when where which while who whom why with would you your yours yourself "
-    "yourselves true false none null file path type http https com "
-    "net org yaml json txt root self def class return import"
-).split()
+    "about", "above", "after", "again", "against", "all", "and", "any", "are", "because", "been", "before", "being", "below", "between", "both",
+    "but", "can", "cannot", "could", "did", "does", "doing", "down", "during", "each", "few", "for", "from", "further", "had", "has", "have",
+    "having", "her", "here", "hers", "herself", "him", "himself", "his", "how", "into", "its", "itself", "more", "most", "myself", "nor", "not",
+    "off", "once", "only", "other", "ought", "our", "ours", "ourselves", "out", "over", "own", "same", "she", "should", "some", "such", "than",
+    "that", "the", "their", "theirs", "them", "themselves", "then", "there", "these", "they", "this", "those", "through", "too", "under", "until",
+    "very", "was", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "with", "would", "you", "your", "yours", "yourself",
+    "yourselves", "true", "false", "none", "null", "file", "path", "type", "http", "https", "com", "net", "org", "yaml", "json", "txt", "root",
+    "self", "def", "class", "return", "import",
+)
 
 #: Tokens of keywords: letters and digits of ASCII, underscore, hyphen.
 KEYWORD_TOKEN = r"[a-zA-Z0-9_\-]+"

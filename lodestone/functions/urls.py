@@ -7,6 +7,20 @@ from pyspark.sql import functions as F
 
 PROVIDERS = ("github", "gitlab", "gitea", "bitbucket", "generic")
 
+# How each kind of host writes the page of a file's lines, as path, mark of lines and link of two lines.
+# A gitea host has another path where the reference is a branch.
+LINKS = {
+    "github": ("/blob/", "#L", "-L"),
+    "generic": ("/blob/", "#L", "-L"),
+    "gitlab": ("/-/blob/", "#L", "-"),
+    "gitea": ("/src/commit/", "#L", "-L"),
+    "bitbucket": ("/src/", "#lines-", ":"),
+}
+BRANCH_PATH = {"gitea": "/src/branch/"}
+
+# The user names that hosts take beside a token where none is given.
+TOKEN_USERS = {"github": "x-access-token", "gitlab": "oauth2", "bitbucket": "x-token-auth"}
+
 
 def _filled(c: Column) -> Column:
     return c.isNotNull() & (c != "")
@@ -15,7 +29,8 @@ def _filled(c: Column) -> Column:
 def normalize(url: Column) -> Column:
     """``git@host:path`` as ``https://host/path``, else the trimmed URL; null as empty."""
     u = F.trim(F.coalesce(url, F.lit("")))
-    return F.regexp_replace(u, r"^git@([^:]+):(.+)$", "https://$1/$2")
+    host, path = F.substring_index(F.substring(u, 5, 1 << 20), ":", 1), F.regexp_extract(u, r"^[^:\n]*:(.*)$", 1)
+    return F.when(u.startswith("git@") & (host != "") & (path != ""), F.concat(F.lit("https://"), host, F.lit("/"), path)).otherwise(u)
 
 
 def provider(url: Column, explicit: Column | None = None) -> Column:
@@ -43,8 +58,8 @@ def host(url: Column, keep_port: bool = False) -> Column:
 
 
 def sanitize(url: Column) -> Column:
-    """Without credentials: ``***`` stands for what precedes the @."""
-    return F.regexp_replace(F.coalesce(url, F.lit("")), r"(https?://)[^/@]+@", "$1***")
+    """Without credentials: ``***`` stands for what precedes the @ of an http(s) URL's host, wherever in a text it is."""
+    return F.regexp_replace(F.coalesce(url, F.lit("")), r"(?<=https?://)[^@/]+@", "***")
 
 
 def repository_key(url: Column) -> Column:
@@ -65,10 +80,11 @@ def authenticated(url: Column, token: Column, user: Column, explicit: Column | N
     clean = normalize(url)
     t, u, p = F.when(_filled(token), _quoted(token)), F.when(_filled(user), _quoted(user)), provider(clean, explicit)
     colon = lambda a, b: F.concat(a, F.lit(":"), b)
+    alone = lambda name: F.coalesce(colon(F.coalesce(u, F.lit(TOKEN_USERS[name])), t), u)
     auth = (
-        F.when(p == "github", F.coalesce(F.concat(F.lit("x-access-token:"), t), u))
-        .when(p == "gitlab", F.coalesce(colon(F.coalesce(u, F.lit("oauth2")), t), u))
-        .when(p == "bitbucket", F.coalesce(colon(F.coalesce(u, F.lit("x-token-auth")), t), u))
+        F.when(p == "github", F.coalesce(colon(F.lit(TOKEN_USERS["github"]), t), u))
+        .when(p == "gitlab", alone("gitlab"))
+        .when(p == "bitbucket", alone("bitbucket"))
         .otherwise(F.coalesce(colon(u, t), t, u))
     )
     scheme = F.regexp_extract(clean, r"^(https?://)", 1)
@@ -78,21 +94,16 @@ def authenticated(url: Column, token: Column, user: Column, explicit: Column | N
 
 def permalink(url: Column, sha: Column, path: Column, first: Column, last: Column, explicit: Column | None = None) -> Column:
     """The page of a file's lines at a commit, or branch main without one; null without a URL."""
-    base = F.regexp_replace(F.regexp_replace(normalize(url), r"/+$", ""), r"\.git$", "")
+    base = repository_key(url)
     p = provider(base, explicit)
+    part = lambda i: F.element_at(F.create_map(*[F.lit(x) for name, link in LINKS.items() for x in (name, link[i])]), p)
+    path_ = part(0)
+    for name, other in BRANCH_PATH.items():
+        path_ = F.when((p == name) & ~_filled(F.coalesce(sha, F.lit(""))), F.lit(other)).otherwise(path_)
     ref = F.when(_filled(sha), sha).otherwise(F.lit("main"))
-    middle = (
-        F.when(p == "gitlab", F.lit("/-/blob/"))
-        .when(p == "gitea", F.when(_filled(sha), F.lit("/src/commit/")).otherwise(F.lit("/src/branch/")))
-        .when(p == "bitbucket", F.lit("/src/"))
-        .otherwise(F.lit("/blob/"))
-    )
-    mark = F.when(p == "bitbucket", F.lit("#lines-")).otherwise(F.lit("#L"))
-    between = F.when(p == "bitbucket", F.lit(":")).when(p == "gitlab", F.lit("-")).otherwise(F.lit("-L"))
-    span = F.when(last > first, F.concat(between, last.cast("string"))).otherwise(F.lit(""))
-    lines = F.when(first.isNotNull(), F.concat(mark, first.cast("string"), F.coalesce(span, F.lit("")))).otherwise(F.lit(""))
-    link = F.concat(base, middle, ref, F.lit("/"), F.regexp_replace(path, r"^/+", ""), lines)
-    return F.when(_filled(url), link)
+    span = F.when(last > first, F.concat(part(2), last.cast("string"))).otherwise(F.lit(""))
+    lines = F.when(first.isNotNull(), F.concat(part(1), first.cast("string"), F.coalesce(span, F.lit("")))).otherwise(F.lit(""))
+    return F.when(_filled(url), F.concat(base, path_, ref, F.lit("/"), F.regexp_replace(path, r"^/+", ""), lines))
 
 
 PROVIDER_LABELS = {"github": "GitHub", "gitlab": "GitLab", "gitea": "Gitea", "bitbucket": "Bitbucket", "generic": "Git"}

@@ -217,31 +217,51 @@ def markdown_chunks(spark, d):
     return chunking.split(page, "conv_id", markdown=True, blank=False)
 
 
-@_query("SELECT 'notes.md' AS filepath, 'architecture' AS category, 'design|system' AS tags, '# Top' AS body UNION ALL SELECT 'plain.md', NULL, NULL, 'no header' UNION ALL SELECT 'open.md', NULL, NULL, '---' || chr(10) || 'category: x'")
+@_query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 3 THEN p_type END AS category, CASE p_partkey % 4 WHEN 0 THEN p_name || '|' || p_type WHEN 3 THEN p_brand || '|' || p_size END AS tags,
+  CASE p_partkey % 4 WHEN 0 THEN '# ' || p_name WHEN 1 THEN '# ' || p_name || chr(10) WHEN 2 THEN '---' || chr(10) || 'category: ' || p_type ELSE p_name END AS body FROM part""")
 def frontmatter_extract(spark, d):
-    rows = [("notes.md", "---\ncategory: architecture\ntags: design, system\n---\n# Top"), ("plain.md", "no header"), ("open.md", "---\ncategory: x")]
-    out = []
-    for path, body in rows:
-        head, rest = chunking.front_matter(body)
-        tags = chunking.header_tags(head)
-        out.append((path, head.get("category"), None if tags is None else "|".join(tags), rest))
-    return spark.createDataFrame(out, "filepath string, category string, tags string, body string")
-
-
-_CODE = {
-    "a.py": "import os\n\nclass A:\n    def m(self):\n        return 1\n\ndef f():\n    pass\n",
-    "b.go": "package b\n\ntype T struct {\n  x int\n}\n\nfunc (t T) Get() int {\n  return t.x\n}\n",
-    "c.js": "class C {\n  run(x) {\n    return x;\n  }\n}\nconst g = (y) => {\n  return y;\n};\n",
-    "d.txt": "only prose\n",
+    text = F.expr(r"""CASE p_partkey % 4
+      WHEN 0 THEN concat('---\ncategory: "', p_brand, '"\ntags: ', p_name, ' , ', p_type, ',\n---\n# ', p_name, '\n')
+      WHEN 1 THEN concat('# ', p_name, '\n')
+      WHEN 2 THEN concat('---\ncategory: ', p_type)
+      ELSE concat('---\ntags: ["', p_brand, '", ', p_size, ']\ncategory: ', p_type, '\n---\n', p_name) END""")
+    rows = chunking.headers(_t(spark, d, "part").select("p_partkey", text.alias("text")))
+    return rows.select("p_partkey", "category", F.array_join("tags", "|").alias("tags"), "body")
+
+
+#: Source files by extension, with ``@`` for a number, and what is declared in them: full name, kind, first and last line.
+CODE = {
+    "py": ("class C@:\n    def m(self):\n        return 1\n\ndef f@():\n    pass\n", [("C@", "class_definition", 1, 3), ("C@.m", "function_definition", 2, 3), ("f@", "function_definition", 5, 6)]),
+    "go": ("type T@ struct {\n  x int\n}\n\nfunc (t T@) Get() int {\n  return t.x\n}\n", [("T@", "type_declaration", 1, 3), ("Get", "method_declaration", 5, 7)]),
+    "js": ("class J@ {\n  run(x) {\n    return '}';\n  }\n}\nconst g@ = (y) => {\n  return y;\n};\n", [("J@", "class_declaration", 1, 5), ("J@.run", "method_definition", 2, 4), ("g@", "arrow_function", 6, 8)]),
+    "ts": ("interface I@ {\n  x: number\n}\nexport class D@ {\n  go(): void {\n  }\n}\n", [("I@", "interface_declaration", 1, 3), ("D@", "class_declaration", 4, 7), ("D@.go", "method_definition", 5, 6)]),
+    "rs": ("pub struct S@ {\n  x: i32,\n}\n\nimpl S@ {\n  pub fn get(&self) -> i32 {\n    self.x\n  }\n}\n", [("S@", "struct_item", 1, 3), ("S@", "impl_item", 5, 9), ("S@.get", "function_item", 6, 8)]),
+    "java": ("public class A@ {\n  public int get(int q) {\n    if (q > 0) { return q; }\n    return 0;\n  }\n}\n", [("A@", "class_declaration", 1, 6), ("A@.get", "method_declaration", 2, 5)]),
+    "cs": ("namespace N {\n  class B@ {\n    public int M(int x) { return x; }\n  }\n}\n", [("B@", "class_declaration", 2, 4), ("B@.M", "method_declaration", 3, 3)]),
+    "c": ("/* { */\nstatic int f@(int a) {\n  return a;\n}\n", [("f@", "function_definition", 2, 4)]),
+    "cpp": ("class Q@ {\n public:\n  int g() { return 1; }\n};\n", [("Q@", "class_specifier", 1, 4), ("Q@.g", "function_definition", 3, 3)]),
+    "rb": ("module M@\n  class K\n    def go\n      if x\n        1\n      end\n    end\n  end\nend\n", [("M@", "module", 1, 9), ("M@.K", "class", 2, 8), ("M@.K.go", "method", 3, 7)]),
+    "php": ("<?php\nclass P@ {\n  public function f($x) { return 1; }\n}\n", [("P@", "class_declaration", 2, 4), ("P@.f", "method_declaration", 3, 3)]),
+    "txt": ("only prose @\n", []),
 }
 
 
-@_query("""SELECT * FROM (VALUES ('a.py', 'A', 'class_definition', 3, 5), ('a.py', 'A.m', 'function_definition', 4, 5), ('a.py', 'f', 'function_definition', 7, 8),
-  ('b.go', 'T', 'type_declaration', 3, 5), ('b.go', 'Get', 'method_declaration', 7, 9), ('c.js', 'C', 'class_declaration', 1, 5), ('c.js', 'C.run', 'method_definition', 2, 4),
-  ('c.js', 'g', 'arrow_function', 6, 8)) AS t(filepath, full_symbol, kind, start_line, end_line)""")
+def code_files(spark, d):
+    """(repo, filepath, content): a source file a part, in the languages in turn, after some blank lines."""
+    part = _t(spark, d, "part")
+    ext, text = F.array(*map(F.lit, CODE)), F.array(*[F.lit(c) for c, _ in CODE.values()])
+    kind = (F.col("p_partkey") % len(CODE)).cast("int")
+    content = F.concat(F.repeat(F.lit("\n"), (F.col("p_size") % 7).cast("int")), F.replace(F.get(text, kind), F.lit("@"), F.col("p_partkey").cast("string")))
+    return part.select(F.col("p_brand").alias("repo"), F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit("."), F.get(ext, kind)).alias("filepath"), content.alias("content"))
+
+
+DECLARED_SQL = f"""(SELECT p_brand AS repo, 'src/' || p_partkey || '.' || ext AS filepath, ext, replace(name, '@', p_partkey::VARCHAR) AS full_symbol, kind, (first + p_size % 7)::INT AS start_line, (last + p_size % 7)::INT AS end_line
+  FROM part JOIN (VALUES {', '.join(f"({i}, '{e}', '{n}', '{k}', {a}, {z})" for i, (e, (_, found)) in enumerate(CODE.items()) for n, k, a, z in found)}) AS v(i, ext, name, kind, first, last) ON p_partkey % {len(CODE)} = i)"""
+
+
+@_query(f"SELECT repo, filepath, full_symbol, kind, start_line, end_line FROM {DECLARED_SQL}")
 def symbol_extract(spark, d):
-    files = spark.createDataFrame([("r", p, c) for p, c in _CODE.items()], "repo string, filepath string, content string")
-    return symbols.symbol_rows(symbols.extracted(files)).select("filepath", "full_symbol", "kind", "start_line", "end_line")
+    return symbols.symbol_rows(symbols.extracted(code_files(spark, d))).select("repo", "filepath", "full_symbol", "kind", "start_line", "end_line")
 
 
 # retrieval

@@ -13,6 +13,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _HEADING = re.compile(r"#{1,6}\s+(.+)")
 
@@ -74,6 +75,22 @@ def header_tags(head: dict) -> list[str] | None:
     return [str(t) for t in tags] if isinstance(tags, list) else None
 
 
+def headers(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with category, tags and body, by the front matter of its texts."""
+
+    def rows(batches):
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for t in batch.column(text).to_pylist():
+                head, body = front_matter(t or "")
+                category = head.get("category")
+                for column, x in zip(out, (None if category is None else str(category), header_tags(head), body)):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.string())), pa.array(out[2], pa.string())], names=[*batch.schema.names, "category", "tags", "body"])
+
+    return df.mapInArrow(rows, StructType([*df.schema.fields, *StructType.fromDDL("category string, tags array<string>, body string").fields]))
+
+
 _SCHEMA = "id long, chunk_no int, content string, start_line int, end_line int, heading string"
 
 

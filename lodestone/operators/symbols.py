@@ -18,8 +18,6 @@ from pyspark.sql.types import ArrayType, StructType
 from ..functions.languages import LANGUAGES
 from .chunking import by_length
 
-_EXTENSIONS = {e: lang for lang, exts in LANGUAGES.items() for e in exts.split()}
-
 # The kinds of symbols by language, each with a pattern for its declaration; group 1 is the name.
 _CLASS = r"(?:(?:public|private|protected|internal|abstract|final|sealed|static|partial|export|default)\s+)*"
 _METHOD = r"(?:(?:public|private|protected|internal|static|final|abstract|virtual|override|async|synchronized|unsafe|readonly)\s+)*"
@@ -30,7 +28,7 @@ KINDS = {
     "go": {"function_declaration": r"func\s+(\w+)\s*(?:\[[^\]]*\])?\(", "method_declaration": r"func\s+\([^)]*\)\s*(\w+)\s*\(", "type_declaration": r"type\s+(\w+)"},
     "rust": {"function_item": r"(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|extern(?:\s+\"\w*\")?)\s+)*fn\s+(\w+)", "impl_item": r"impl\b(?:\s*<[^>{}]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(\w+)", "struct_item": r"(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)", "trait_item": r"(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(\w+)", "enum_item": r"(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)"},
     "c_sharp": {"class_declaration": _CLASS + r"class\s+(\w+)", "interface_declaration": _CLASS + r"interface\s+(\w+)", "struct_declaration": _CLASS + r"(?:readonly\s+)?struct\s+(\w+)", "enum_declaration": _CLASS + r"enum\s+(\w+)", "method_declaration": _METHOD + _NOT_CALL + r"[\w<>\[\],.?]+\s+" + _NOT_CALL + r"(\w+)\s*(?:<[^>{}]*>)?\([^;{}]*\)\s*(?:where[^{;]*)?(?=\{|=>)"},
-    "cpp": {"class_specifier": r"class\s+(\w+)(?=[^;(){}]*\{)", "struct_specifier": r"struct\s+(\w+)(?=[^;(){}]*\{)", "namespace_definition": r"namespace\s+(\w+)", "function_definition": r"(?:[\w:*&<>,~]+\s+)*[*&]*" + _NOT_CALL + r"([\w:~]+)\s*\([^;{}]*\)\s*(?:const|noexcept|override|final|\s)*(?::[^;{}]*)?(?=\{)"},
+    "cpp": {"class_specifier": r"class\s+(\w+)(?=[^;(){}]*\{)", "struct_specifier": r"struct\s+(\w+)(?=[^;(){}]*\{)", "namespace_definition": r"namespace\s+(\w+)", "function_definition": r"(?:(?!(?:public|private|protected)\s*:)[\w:*&<>,~]+\s+)*[*&]*" + _NOT_CALL + r"([\w:~]+)\s*\([^;{}]*\)\s*(?:const|noexcept|override|final|\s)*(?::[^;{}]*)?(?=\{)"},
     "c": {"struct_specifier": r"struct\s+(\w+)(?=\s*\{)", "function_definition": r"(?:[\w*]+\s+)+[*]*" + _NOT_CALL + r"(\w+)\s*\([^;{}]*\)\s*(?=\{)"},
     "java": {"class_declaration": _CLASS + r"class\s+(\w+)", "interface_declaration": _CLASS + r"interface\s+(\w+)", "method_declaration": _METHOD + r"(?:<[^>{}]*>\s*)?" + _NOT_CALL + r"[\w<>\[\],.?]+\s+" + _NOT_CALL + r"(\w+)\s*\([^;{}]*\)\s*(?:throws[^{;]*)?(?=\{|;)"},
     "ruby": {"class": r"class\s+(\w+)", "module": r"module\s+(\w+)", "method": r"def\s+(?:self\.)?(\w+[?!=]?)"},
@@ -42,7 +40,7 @@ KINDS["tsx"] = KINDS["typescript"]
 def language_of(path: str) -> str:
     name = path.rsplit("/", 1)[-1]
     stem, dot, ext = name.rpartition(".")
-    return _EXTENSIONS.get(ext.lower(), "text") if dot and stem.strip(".") else "text"
+    return LANGUAGES.get(ext.lower(), "text") if dot and stem.strip(".") else "text"
 
 
 def _python(code: str) -> list[tuple[str, str, str, int, int, int, int]] | None:

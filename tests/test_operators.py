@@ -107,7 +107,7 @@ def test_queries_in_blocks(spark, monkeypatch):
     df = _corpus(spark)
     q = df.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
     whole = sorted(map(tuple, retrieval.dense_batch(df, q, 3).collect()))
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 7 * 4 * 8)
     assert sorted(map(tuple, retrieval.dense_batch(df, q, 3).collect())) == whole
 
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from lodestone.operators import catalogue
+from lodestone.plans import queries  # noqa: F401  registers its queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
