@@ -57,6 +57,15 @@ def host(url: Column, keep_port: bool = False) -> Column:
     return F.lower(F.regexp_extract(u, r"^([^/:]*)", 1))
 
 
+def address(url: Column) -> Column:
+    """(host, port, secure) of a store's URL; without a scheme it is http. The port is null where none is given."""
+    u = F.trim(F.coalesce(url, F.lit("")))
+    full = F.when(F.instr(u, "://") > 0, u).otherwise(F.concat(F.lit("http://"), u))
+    port = F.regexp_extract(full, r"^[^:]+://(?:[^/@?#]*@)?[^/:?#]*:([0-9]+)(?:[/?#]|$)", 1)
+    name = F.lower(F.regexp_extract(full, r"^[^:]+://(?:[^/@?#]*@)?([^/:?#]*)", 1))
+    return F.struct(F.nullif(name, F.lit("")).alias("host"), port.try_cast("int").alias("port"), F.lower(full).startswith("https://").alias("secure"))
+
+
 def sanitize(url: Column) -> Column:
     """Without credentials: ``***`` stands for what precedes the @ of an http(s) URL's host, wherever in a text it is."""
     return F.regexp_replace(F.coalesce(url, F.lit("")), r"(?<=https?://)[^@/]+@", "***")

@@ -5,7 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import ids, languages, register, text, urls
+from lodestone.functions import ids, languages, register, stems, text, urls
 
 
 def _one(spark, column, **values):
@@ -52,6 +52,28 @@ def test_hosts(spark):
     assert _one(spark, urls.sanitize(C("u")), u="https://u:p@h/r") == "https://***h/r"
 
 
+@pytest.mark.parametrize(
+    ("url", "want"),
+    [("https://u:p@H.example:8443/x", ("h.example", 8443, True)), ("h:80", ("h", 80, False)), ("http://h/a:9", ("h", None, False)), ("h", ("h", None, False)), ("", (None, None, False)), (None, (None, None, False))],
+)
+def test_store_addresses(spark, url, want):
+    assert tuple(_one(spark, urls.address(C("u").cast("string")), u=url)) == want
+
+
+# Words and stems that the algorithm's description gives.
+STEMS = {
+    "caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat",
+    "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "conditional": "condit", "valenci": "valenc", "digitizer": "digit",
+    "operator": "oper", "feudalism": "feudal", "hopefulness": "hope", "triplicate": "triplic", "electrical": "electr", "goodness": "good", "revival": "reviv", "adjustment": "adjust",
+    "adoption": "adopt", "effective": "effect", "probate": "probat", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll", "öl": "öl", "a1s": "a1s",
+}
+
+
+def test_stems(spark):
+    got = _one(spark, stems.stemmed(F.array(*[F.lit(w) for w in STEMS])))
+    assert dict(zip(STEMS, got)) == STEMS
+
+
 def test_ids(spark):
     assert _one(spark, ids.chunk_id(C("r"), C("p"), F.lit(3)), r="r", p="a/é.md") == str(uuid.uuid5(ids.NAMESPACE, "r:a/é.md#3"))
     known = str(uuid.uuid4())

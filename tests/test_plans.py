@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import catalog, retrieval
+from lodestone.plans import backends
 from lodestone.plans.ingest import CHUNKS, Index, payload
 from lodestone.plans.overview import Overview, lines
 from lodestone.plans.registry import Registry
@@ -270,6 +271,33 @@ def test_registry(spark, tmp_path):
     assert r.exclusive(lambda: inner.append(r.exclusive(lambda: None))) and inner == [False] and r.exclusive(lambda: None)
 
 
+def test_backends(spark, tmp_path, monkeypatch):
+    registry = Registry(spark, f"file://{tmp_path}/r")
+    choice = backends.Backends(spark, registry, backends.Settings(f"file://{tmp_path}/a"))
+    store = choice.current()
+    assert choice.current() is store and store.healthy()[0] and store.facts().first()["points"] == 0
+    rows = spark.createDataFrame([("x", "r", "p1", "red tree", "doc"), ("y", "r", "p2", "blue house", "doc"), ("z", "s", "p3", "red house", "code")], "id string, repo string, path string, content string, doc_type string")
+    store.upsert(rows)
+    store.upsert(rows.where("id = 'y'"))
+    assert store.facts().first()["points"] == 3
+    assert [r["path"] for r in store.hits("red tree", 1).collect()] == ["p1"] and store.hits("red", repo="s").first()["path"] == "p3"
+    assert {len(r["id"]) for r in store.table.read().collect()} == {36} and store.table.read().where("dense IS NULL OR sparse IS NULL").count() == 0
+    store.delete_path("p1")
+    store.delete_repo("s")
+    assert [r["path"] for r in store.table.read().collect()] == ["p2"]
+    built = []
+    choice.callbacks.append(lambda: built.append(choice.settings().profile))
+    dense = choice.switch(backends.Settings(f"file://{tmp_path}/b", Profile.DENSE))
+    assert built == [Profile.DENSE] and choice.current() is dense and dense is not store
+    dense.upsert(rows)
+    assert {r["id"] for r in dense.table.read().collect()} == {"x", "y", "z"} and dense.hits("red", 3).where("score < 0").count() == 0
+    with pytest.raises(ConnectionError):
+        choice.switch(backends.Settings("nosuch://h/x"))
+    monkeypatch.setenv("STORE_SPARE", f"file://{tmp_path}/c")
+    registry.put("store_path", "nosuch://h/x")
+    assert choice.current().settings.path == f"file://{tmp_path}/c"
+
+
 def test_inventory_and_listing(spark):
     entries = spark.createDataFrame([("b", False), ("A", False), (".h", False), ("z", True)], "name string, is_dir boolean")
     assert [r["name"] for r in catalog.listing(entries).collect()] == ["z", "A", "b"]
