@@ -29,8 +29,7 @@ def _filled(c: Column) -> Column:
 def normalize(url: Column) -> Column:
     """``git@host:path`` as ``https://host/path``, else the trimmed URL; null as empty."""
     u = F.trim(F.coalesce(url, F.lit("")))
-    host, path = F.substring_index(F.substring(u, 5, 1 << 20), ":", 1), F.regexp_extract(u, r"^[^:\n]*:(.*)$", 1)
-    return F.when(u.startswith("git@") & (host != "") & (path != ""), F.concat(F.lit("https://"), host, F.lit("/"), path)).otherwise(u)
+    return F.regexp_replace(u, r"^git@([^:\s]+):(?=\S)", "https://$1/")
 
 
 def provider(url: Column, explicit: Column | None = None) -> Column:

@@ -31,7 +31,7 @@ def _table(spark, rows: DataFrame, key: list[str], partition: list[str] | None =
 # the store
 
 
-@_query("SELECT count(*) AS rows, sum(p_size) AS size, true AS refused FROM part")
+@_query("SELECT count(*) AS rows, sum(p_size)::BIGINT AS size, true AS refused FROM part")
 def unique_violation(spark, d):
     """An insert of a taken key is refused and changes nothing; one of new keys adds rows."""
     part = _t(spark, d, "part").select("p_partkey", "p_size")
@@ -94,7 +94,7 @@ def gone_files(spark, d):
 _URL = "'https://h' || (n_nationkey % 4) || '.example:8443/o/' || n_name"
 
 
-@_query(f"""SELECT n_nationkey AS id, coalesce(CASE WHEN n_nationkey % 7 = 0 THEN 'own' END, CASE WHEN n_nationkey % 4 < 2 THEN 'host' || (n_nationkey % 4) END, CASE WHEN n_nationkey % 3 = 0 THEN 'global' END, CASE WHEN n_nationkey % 3 = 1 THEN 'env' END) AS auth_token,
+@_query(f"""SELECT n_nationkey::BIGINT AS id, coalesce(CASE WHEN n_nationkey % 7 = 0 THEN 'own' END, CASE WHEN n_nationkey % 4 < 2 THEN 'host' || (n_nationkey % 4) END, CASE WHEN n_nationkey % 3 = 0 THEN 'global' END, CASE WHEN n_nationkey % 3 = 1 THEN 'env' END) AS auth_token,
   CASE WHEN n_nationkey % 7 = 0 THEN 'own' WHEN n_nationkey % 4 < 2 THEN 'host' WHEN n_nationkey % 3 = 0 THEN 'global' WHEN n_nationkey % 3 = 1 THEN 'environment' ELSE 'none' END AS source
 FROM (SELECT *, {_URL} AS url FROM nation)""")
 def host_credentials(spark, d):
