@@ -157,6 +157,16 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame
     return both.mapInArrow(compared, "a long, b long, linked boolean")
 
 
+def _nodes(sets: DataFrame) -> DataFrame:
+    """(id, n_shingles, hashes, all) of sets (id, n_shingles, hashes), repeated ones once.
+
+    An id may have several sets; what one of them shares with others is among the id's ``all`` shingles that others have.
+    """
+    own = sets.groupBy("id").agg(F.collect_set(F.struct("n_shingles", "hashes")).alias("sets"))
+    total = F.aggregate("sets", F.lit(0).cast("long"), lambda n, s: n + s["n_shingles"])
+    return own.withColumn("all", total).select("id", "all", F.inline("sets"))
+
+
 def _level(nodes: DataFrame, texts_of, level: int, links: DataFrame | None, percent: int) -> DataFrame:
     """Links (a, b) found by one level and those after it, with the links given."""
     rows, tables = LEVELS[level]
@@ -176,9 +186,7 @@ def _level(nodes: DataFrame, texts_of, level: int, links: DataFrame | None, perc
     groups = components(found).withColumnRenamed("node", "id")
     ids = members.join(mixed, "key").select("id").distinct()
     own = unshared(texts.join(ids, "id", "left_semi"))
-    some = nodes.join(ids, "id", "left_semi")
-    # an id may have several sets; what one of them shares is in all of the id's that others have too
-    bounds = some.join(some.groupBy("id").agg(F.sum("n_shingles").alias("all")), "id").join(own, "id", "left").select("id", "hashes", F.col("n_shingles").alias("n"), "all", F.least("n_shingles", F.col("all") - F.coalesce("own", F.lit(0))).alias("common"))
+    bounds = nodes.join(ids, "id", "left_semi").join(own, "id", "left").select("id", "hashes", F.col("n_shingles").alias("n"), "all", F.least("n_shingles", F.col("all") - F.coalesce("own", F.lit(0))).alias("common"))
     mine = bounds.where(f"100 * common >= {percent} * n").join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     mine = written(mine, "candidates")
     # pairs that share a rare shingle are few; what other pairs can share is bounded by their common shingles
@@ -211,7 +219,7 @@ def _level(nodes: DataFrame, texts_of, level: int, links: DataFrame | None, perc
     if rest.isEmpty():
         return found
     again = written(signatures(texts.join(rest, "id").withColumnRenamed("id", "doc_id"), *LEVELS[level + 1], seed=level + 2), "signatures")
-    return _level(again.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "hashes", "n_shingles"), texts_of, level + 1, found, percent)
+    return _level(_nodes(again.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "hashes", "n_shingles")), texts_of, level + 1, found, percent)
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
@@ -221,7 +229,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     some = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     same = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     member = written(signed.where("doc_id IS NOT NULL AND n_shingles > 0").join(same, ["d1", "d2"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("hashes")).alias("hashes")), "members")
-    nodes = member.where("hashes IS NOT NULL").select(F.col("rep").alias("id"), "hashes", "n_shingles").distinct()
+    nodes = _nodes(member.where("hashes IS NOT NULL").select(F.col("rep").alias("id"), "hashes", "n_shingles"))
 
     def texts_of(ids: DataFrame) -> DataFrame:
         return written(documents.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").distinct(), "texts")
