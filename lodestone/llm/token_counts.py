@@ -206,6 +206,12 @@ class Transducer:
         for key in self.child:
             self.grows[key >> 8] = True
         self.fits: dict[tuple[int, int], bool] = {}
+        # the merge that makes each entry, as rank, left and right part; bytes have none
+        self.made = {i: (-1, i, i) for i in vocabulary.bytes_of}
+        for (left, right), (rank, out) in vocabulary.rank.items():
+            if self.made[out][0] >= 0:
+                raise ValueError("an entry that two merges make can't be compiled")
+            self.made[out] = (rank, left, right)
         self.clear()
 
     def clear(self) -> None:
@@ -216,15 +222,33 @@ class Transducer:
         self.maps: dict[tuple[int, bytes], tuple[int, int]] = {}
 
     def _fits(self, before: int, token: int) -> bool:
+        """Whether a token encodes to itself, alone or after another."""
         key = (before, token)
         if (known := self.fits.get(key)) is None:
-            text = self.v.bytes_of[token]
-            want = [token] if before < 0 else [before, token]
-            known = self.fits[key] = self.v.encode(text if before < 0 else self.v.bytes_of[before] + text) == want
+            known = self.fits[key] = self.v.encode(self.v.bytes_of[token]) == [token] if before < 0 else self._apart(before, token)
             if len(self.fits) > 2_000_000:
                 self.fits.clear()
         return known
 
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether no merge joins two entries, by undoing the merges that made them, the last one first.
+
+        Just before a merge is undone its parts stood beside the other entry; a pair across the border of a lower rank
+        would have merged then. Of equal ranks the left one goes first.
+        """
+        below = len(self.v.rank)
+        while True:
+            across = self.v.rank.get((a, b))
+            if across is not None and across[0] < below:
+                return False
+            x, y = self.made[a], self.made[b]
+            if x[0] > y[0]:
+                below, a = x[0], x[2]
+            elif y[0] >= 0:
+                below, b = y[0] + 1, y[1]
+            else:
+                return True
+
     def _compile(self, state: int, byte: int) -> int:
         """The transition as next state and change of the count; suffixes are packed as node, last token + 1 and count."""
         live, last, count = [], None, 0
