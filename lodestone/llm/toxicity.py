@@ -5,11 +5,13 @@ toxic documents hold far more often than others, with their log odds as weights.
 Levenshtein automaton (one edit, two for words of nine letters or more, a swap of neighbours counting as one) is made
 deterministic as its states are met, so a word of a text costs a look-up a letter, and most die after a few. Strings
 that the clean sample holds at least as often as the toxic one are plain words and no misspellings; every lexicon word
-keeps its other ones. Stems match exactly at a word's start.
+keeps its other ones. Stems match exactly at a word's start; a further set of stems counts only where a text has at least
+two words that start so, since one such word is common in clean texts too.
 
 A match's weight counts in full, or a fifth less where misspelt, or three tenths inside quotation marks: quotation is not
 abuse. A window of six words on either side of a match adds up the weights in it, and half as much again where it
-addresses someone. Sums, densities and the best window go through boosted trees, rising in each of them, for the score.
+addresses someone. Sums, densities and the best window, and sums of matches without an edit, go through boosted trees,
+rising in each of them, for the score.
 
 Lexicon, automaton and trees have fixed bounds (``most_terms``, ``per_class``) and are sent to the tasks; scoring is one
 pass over whole texts without a shuffle. Defined results: null and empty texts have no match and get the score of such;
@@ -39,7 +41,7 @@ MISSPELT, QUOTED, WINDOW = 0.8, 0.3, 6
 ADDRESS = frozenset("you your you're u ur tu toi vous ton ta tes du dich dir ihr euch dein deine tú ti eres usted ustedes".split())
 _EDGES = "".join(chr(c) for c in range(33, 48)) + "".join(chr(c) for c in [*range(58, 65), *range(91, 97), *range(123, 127)]) + "«»“”„‘’…"
 _OPEN, _CLOSE = "«“„", "»”"
-FEATURES = 6
+FEATURES = 8
 
 
 def norm(word: str) -> str:
@@ -141,42 +143,63 @@ class Lexicon:
 
     MOST_KNOWN = 300_000
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], plain: frozenset[str] = frozenset()):
-        self.words, self.stems, self.plain = words, stems, plain
+    def __init__(self, words: dict[str, float], stems: dict[str, float], plain: frozenset[str] = frozenset(), pairs: dict[str, float] | None = None):
+        """``pairs``: stems that count where at least two words of a text start so."""
+        self.words, self.stems, self.plain, self.pairs = words, stems, plain, pairs or {}
         self.automaton = Automaton(words)
-        self.known: dict[str, tuple[float, int] | None] = {}
+        self.heads = {s[: STEMS[0]] for s in (*stems, *self.pairs)}
+        #: Of words met: their match and their stem of ``pairs``, or None where they have neither.
+        self.known: dict[str, tuple[tuple[float, int] | None, str | None] | None] = {}
 
-    def _look(self, word: str) -> tuple[float, int] | None:
-        """(weight, edits) of a word as it stands in the text."""
-        w = norm(word)
+    def _look(self, w: str) -> tuple[float, int] | None:
+        """(weight, edits) of a word in ``norm`` form."""
         best = None
         if len(w) >= SHORTEST:
             if w in self.words:
                 best = (self.words[w], 0)
             elif w not in self.plain and (found := self.automaton.find(w)) is not None:
                 best = (self.words[found[0]] * MISSPELT, found[1])
-            if best is None or best[1]:
+            if (best is None or best[1]) and w[: STEMS[0]] in self.heads:
                 stems = [self.stems[w[:k]] for k in STEMS if w[:k] in self.stems]
                 if stems and (best is None or max(stems) > best[0]):
                     best = (max(stems), 0)
         return best
 
+    def _found(self, word: str) -> tuple[tuple[float, int] | None, str | None] | None:
+        """The match of a word as it stands in the text, and its stem of ``pairs`` of greatest weight; None without either."""
+        w = norm(word)
+        match, stem = self._look(w), None
+        if self.pairs and w[: STEMS[0]] in self.heads:
+            stem = max((w[:k] for k in STEMS if w[:k] in self.pairs), key=lambda s: (self.pairs[s], s), default=None)
+        return None if match is None and stem is None else (match, stem)
+
     def matches(self, text: str) -> tuple[int, list[tuple[int, float, int]], list[str]]:
         """Number of words; (place, weight, edits) of each match; the words."""
         words = text.split()
         hits: dict[str, tuple[float, int]] = {}
+        paired: dict[str, list[str]] = {}
         known = self.known
         for w in set(words):
             try:
-                m = known[w]
+                found = known[w]
             except KeyError:
-                m = self._look(w)
+                found = self._found(w)
                 if len(known) > self.MOST_KNOWN:
                     known.clear()
                 if len(w) <= 40:
-                    known[w] = m
+                    known[w] = found
+            if found is None:
+                continue
+            m, stem = found
             if m is not None:
                 hits[w] = m
+            if stem is not None:
+                paired.setdefault(stem, []).append(w)
+        for stem, own in paired.items():
+            if len(own) > 1 or words.count(own[0]) > 1:
+                for w in own:
+                    if w not in hits or hits[w][0] < self.pairs[stem]:
+                        hits[w] = (self.pairs[stem], 0)
         return len(words), [(i, *hits[w]) for i, w in enumerate(words) if w in hits] if hits else [], words
 
     def features(self, text: str) -> list[float]:
@@ -197,7 +220,8 @@ class Lexicon:
             near = any(norm(w) in ADDRESS for w in words[max(0, i - WINDOW) : i + WINDOW + 1])
             best = max(best, inside * (1.5 if near else 1.0) if not quoted[x] else inside)
         total = sum(effect)
-        return [total, total / math.sqrt(n + 10), best, float(len({words[i] for i in places})), total / n, max(effect)]
+        exact = [x for x, (_, _, edits) in zip(effect, found) if not edits]
+        return [total, total / math.sqrt(n + 10), best, float(len({words[i] for i in places})), total / n, max(effect), sum(exact), max(exact, default=0.0)]
 
 
 def _quoted(words: list[str], places: list[int]) -> list[bool]:
@@ -230,6 +254,7 @@ class Model:
     words: dict[str, float]
     stems: dict[str, float]
     plain: frozenset[str]
+    pairs: dict[str, float]
     trees: Trees
 
 
@@ -259,17 +284,25 @@ def _plain(sample: DataFrame, words: dict[str, float]) -> frozenset[str]:
     return frozenset(w for w, (a, b) in count.items() if a * n1 >= b * n0)
 
 
-def _lexicon(sample: DataFrame, most_terms: int, least_share: float) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems whose log odds in toxic documents are at least 3, the most telling ``most_terms`` of each."""
+def _lexicon(sample: DataFrame, most_terms: int, least_share: float) -> list[dict[str, float]]:
+    """Words, stems and pairs of stems whose log odds in toxic documents are at least 3, the most telling ``most_terms`` of each.
+
+    Words and stems that start with a pair's stem, in fewer than half as many toxic documents, add nothing to it but what
+    the sample happens to hold, and are left out.
+    """
 
     def rows(batches):
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         docs = Counter()
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                words = {w for w in map(norm, (text or "").split()) if len(w) >= STEMS[0] and w[:4].isalpha()}
-                seen[label].update(["w" + w for w in words if len(w) <= 30])
-                seen[label].update({f"s{w[:k]}" for w in words for k in STEMS if len(w) >= k})
+                count = Counter(w for w in map(norm, (text or "").split()) if len(w) >= STEMS[0] and w[:4].isalpha())
+                stems: Counter = Counter()
+                for w, n in count.items():
+                    stems.update({w[:k]: n for k in STEMS if len(w) >= k})
+                seen[label].update(["w" + w for w in count if len(w) <= 30])
+                seen[label].update([f"s{x}" for x in stems])
+                seen[label].update([f"p{x}" for x, n in stems.items() if n > 1])
                 docs[label] += 1
         terms = sorted(seen[0].keys() | seen[1].keys())
         terms = [*terms, ""]  # the empty term counts documents
@@ -279,24 +312,29 @@ def _lexicon(sample: DataFrame, most_terms: int, least_share: float) -> tuple[di
     counts = sample.mapInArrow(rows, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).persist()
     all_ = counts.where("term = ''").first()
     out: list[dict[str, float]] = []
+    held: list[dict[str, int]] = []
     n1, n0 = (all_["toxic"], all_["clean"]) if all_ else (0, 0)
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
-    for kind in "ws":
+    for kind in "wsp":
         own = counts.where(F.col("term").startswith(kind) & (F.col("toxic") >= max(3, least_share * n1))).select("term", "toxic", odds.alias("w")).where("w >= 3")
         best = own.orderBy(F.desc(F.col("w") * F.sqrt("toxic")), "term").limit(most_terms).collect()
         out.append({r["term"][1:]: float(r["w"]) for r in best})
+        held.append({r["term"][1:]: r["toxic"] for r in best})
     counts.unpersist()
-    return out[0], out[1]
+    for own, count in zip(out[:2], held):
+        for w in [w for w in own if any(2 * count[w] < held[2].get(w[:k], 0) for k in STEMS)]:
+            del own[w]
+    return out
 
 
 def train(documents: DataFrame, labels: DataFrame, per_class: int = 2500, most_terms: int = 400, least_share: float = 0.01) -> Model:
     """From at most ``per_class`` labelled documents of each class (``labels.toxic``), taken in hash order."""
     sample = written(labelled_sample(documents, labels, "toxic", per_class), "sample")
-    words, stems = _lexicon(sample, most_terms, least_share)
+    words, stems, pairs = _lexicon(sample, most_terms, least_share)
     plain = _plain(sample, words)
 
     def rows(batches):
-        lexicon = Lexicon(words, stems, plain)
+        lexicon = Lexicon(words, stems, plain, pairs)
         for batch in batches:
             x = [lexicon.features(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
@@ -304,13 +342,13 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 2500, most_t
     got = sorted(sample.mapInArrow(rows, "doc_id long, label int, x array<double>").collect(), key=lambda r: r["doc_id"])
     x, y = np.array([r["x"] for r in got]).reshape(len(got), FEATURES), np.array([r["label"] for r in got], float)
     if not len(y):
-        return Model(words, stems, plain, Trees(bias=-50.0))
+        return Model(words, stems, plain, pairs, Trees(bias=-50.0))
     trees = fit(x, y, {j: 1 for j in range(FEATURES)}, trees=40, depth=3)
     if 0 < y.sum() < len(y):
         # the sample is balanced by class; the odds go back to those of all known labels
         known = labels.where(~held_out()).agg(F.sum((F.col("toxic") == 1).cast("long")).alias("a"), F.sum((F.col("toxic") == 0).cast("long")).alias("b")).first()
         trees.bias += math.log((known["a"] or 1) / (known["b"] or 1)) - math.log(y.sum() / (len(y) - y.sum()))
-    return Model(words, stems, plain, trees)
+    return Model(words, stems, plain, pairs, trees)
 
 
 def assess(documents: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -319,7 +357,7 @@ def assess(documents: DataFrame, model: Model, threshold: float = 0.7) -> DataFr
 
     def rows(batches):
         own = sent.value
-        lexicon = Lexicon(own.words, own.stems, own.plain)
+        lexicon = Lexicon(own.words, own.stems, own.plain, own.pairs)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)

@@ -79,7 +79,7 @@ def _distance(a, b):
 
 
 def _weight(model, word):
-    """(weight) of a word by comparing it with every lexicon word and stem, or None."""
+    """(weight, edits) of a word by comparing it with every lexicon word and stem, or None."""
     w, best, edits = toxicity.norm(word), None, 0
     if len(w) < toxicity.SHORTEST:
         return None
@@ -93,8 +93,8 @@ def _weight(model, word):
     if best is None or edits:
         stems = [model.stems[w[:k]] for k in toxicity.STEMS if w[:k] in model.stems]
         if stems and (best is None or max(stems) > best):
-            best = max(stems)
-    return best
+            best, edits = max(stems), 0
+    return None if best is None else (best, edits)
 
 
 def test_toxicity(spark):
@@ -109,11 +109,18 @@ def test_toxicity(spark):
         for w in words:
             if w not in known:
                 known[w] = _weight(model, w)
-        places = [p for p, w in enumerate(words) if known[w] is not None]
+        own = {w: known[w] for w in set(words) if known[w] is not None}
+        stem = {w: max(((model.pairs[k], k) for j in toxicity.STEMS if (k := toxicity.norm(w)[:j]) in model.pairs), default=None) for w in set(words)}
+        often = collections.Counter(stem[w] for w in words)
+        for w, k in stem.items():
+            if k is not None and often[k] > 1 and (w not in own or own[w][0] < k[0]):
+                own[w] = (k[0], 0)
+        places = [p for p, w in enumerate(words) if w in own]
         x = [0.0] * toxicity.FEATURES
         if places:
             quoted = dict(zip(places, toxicity._quoted(words, places)))
-            effect = {p: known[words[p]] * (toxicity.QUOTED if quoted[p] else 1.0) for p in places}
+            effect = {p: own[words[p]][0] * (toxicity.QUOTED if quoted[p] else 1.0) for p in places}
+            exact = [effect[p] for p in places if not own[words[p]][1]]
             best = 0.0
             for p in places:
                 near = range(p - toxicity.WINDOW, p + toxicity.WINDOW + 1)
@@ -121,7 +128,7 @@ def test_toxicity(spark):
                 address = any(toxicity.norm(words[q]) in toxicity.ADDRESS for q in near if 0 <= q < len(words))
                 best = max(best, inside * (1.5 if address and not quoted[p] else 1.0))
             total = sum(effect.values())
-            x = [total, total / math.sqrt(len(words) + 10), best, float(len({words[p] for p in places})), total / len(words), max(effect.values())]
+            x = [total, total / math.sqrt(len(words) + 10), best, float(len({words[p] for p in places})), total / len(words), max(effect.values()), sum(exact), max(exact, default=0.0)]
         assert score[i] == pytest.approx(_walked(model.trees, x), abs=1e-6), i
 
 
@@ -231,6 +238,18 @@ def test_long_words_compose(monkeypatch):
     assert counter(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_pairs_that_stay_apart():
+    with open(BPE, "rb") as f:
+        v = token_counts.Vocabulary(f.read())
+    transducer, r = token_counts.Transducer(v), random.Random(5)
+    ids = sorted(i for i in v.bytes_of if len(v.bytes_of[i]) < 8)
+    pairs = [(r.choice(ids), r.choice(ids)) for _ in range(3000)]
+    for (left, right), (_, out) in r.sample(sorted(v.rank.items()), 1500):
+        pairs += [(left, right), (out, out), (left, out), (out, right), (left, r.choice(ids)), (r.choice(ids), right)]
+    for a, b in pairs:
+        assert transducer._apart(a, b) == (v.encode(v.bytes_of[a] + v.bytes_of[b]) == [a, b]), (a, b)
+
+
 def test_tightest_limits_cost_no_sequence():
     r = random.Random(9)
     lengths = collections.Counter(r.randrange(1, 100) for _ in range(4000))

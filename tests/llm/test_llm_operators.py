@@ -466,14 +466,21 @@ def test_quotation_weighs_less():
     assert lexicon.features("nothing here") == [0.0] * toxicity.FEATURES
 
 
+def test_paired_stems_count_in_twos():
+    lexicon = toxicity.Lexicon({}, {}, pairs={"grobu": 4.0, "grob": 2.0})
+    assert lexicon.matches("one grobuxi here")[1] == []
+    assert [(i, w) for i, w, _ in lexicon.matches("Grobuxi, and grobute here")[1]] == [(0, 4.0), (2, 4.0)]
+    assert [(i, w) for i, w, _ in lexicon.matches("grobuxi and grobuxi, grobak here")[1]] == [(0, 4.0), (2, 4.0)]
+
+
 def test_every_lexicon_word_keeps_its_misspellings(spark):
     documents, labels = (table(spark, "/root/testdata/sf0.01", n, *c) for n, c in (("documents", ("doc_id", "text")), ("labels", ("doc_id", "toxic"))))
     model = toxicity.train(documents, labels)
-    lexicon = toxicity.Lexicon(model.words, model.stems, model.plain)
+    lexicon = toxicity.Lexicon(model.words, model.stems, model.plain, model.pairs)
     for w in model.words:
         edited = {w[:i] + c + w[i + k :] for i in range(len(w) + 1) for c in ("", "q", "0") for k in (0, 1)} | {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1)}
         some = {x for x in edited if toxicity.norm(x) == x and x not in model.words}
-        assert all(x in model.plain or lexicon._look(x) is not None for x in some)
+        assert all(x in model.plain or lexicon._look(toxicity.norm(x)) is not None for x in some)
         assert len(some - model.plain) > 0.8 * len(some)
 
 
@@ -485,7 +492,7 @@ def test_only_clean_neighbours_are_plain(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.train(docs, docs)
     assert {"moron", "scum"} <= model.words.keys() and "oron" in model.plain
-    lexicon = toxicity.Lexicon(model.words, model.stems, model.plain)
+    lexicon = toxicity.Lexicon(model.words, model.stems, model.plain, model.pairs)
     assert lexicon._look("oron") is None
     for w in ("morron", "moorn", "m0ron", "mron", "scuum", "scm", "scmu", "sc0m"):
         assert lexicon._look(w) is not None, w
