@@ -111,6 +111,16 @@ def test_queries_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, retrieval.dense_batch(df, q, 3).collect())) == whole
 
 
+def test_long_queries_score_alike(spark, monkeypatch):
+    df = _corpus(spark).withColumn("sparse", F.map_from_entries(retrieval.sparse_vector(F.col("text"))))
+    query = [("red", 1.5), ("tree", 0.5), ("no \"such'", 2.0)]
+    one = retrieval.sparse_top_k(df, query, 10).select("id", "score").collect()
+    monkeypatch.setattr(retrieval, "FEW_TERMS", 0)
+    assert retrieval.sparse_top_k(df, query, 10).select("id", "score").collect() == one and one[0]["score"] > 0
+    many = [(f"t{i}", 1.0) for i in range(3000)] + query
+    assert retrieval.sparse_top_k(df, many, 10).select("id", "score").collect() == one
+
+
 def test_metadata(spark):
     df = spark.createDataFrame([("a", "doc", ["x"]), ("b", "code", []), (None, "doc", None)], "repo string, doc_type string, tags array<string>")
     n = lambda **k: df.where(filters.metadata(**k)).count()
