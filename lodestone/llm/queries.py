@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import decontamination, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, substring_parse, token_counts, toxicity, url_filters
+from . import decontamination, html_extraction, merkle_manifest, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, substring_parse, token_counts, toxicity, url_filters, vector_codes
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_substring_parse": substring_parse.query,
     "op9_near_dedup": near_dedup.query,
     "op10_packing": packing.query,
+    "op11_html_extraction": html_extraction.query,
+    "op12_vector_codes": vector_codes.query,
+    "op13_merkle_manifest": merkle_manifest.query,
 }
-ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_filters.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_filters.ORACLE_SQL, "op12_vector_codes": vector_codes.ORACLE_SQL, "op13_merkle_manifest": merkle_manifest.ORACLE_SQL}
