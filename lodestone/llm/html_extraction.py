@@ -372,7 +372,9 @@ def layout(texts: list[str], short: list[str], r: random.Random) -> str:
 def train(pages: DataFrame, sample: int = 200, layouts: int = 3) -> Labeller:
     """Fits on at most ``sample`` pages that mark their article, and ``layouts`` composed pages for each."""
     marked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-    rows = marked.groupBy("page_id").agg(F.min("html").alias("html")).orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()
+    # ids alone are sorted; the pages of those taken are fetched by a second scan
+    picked = marked.where("page_id IS NOT NULL").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    rows = marked.join(F.broadcast(picked), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).orderBy(F.xxhash64("page_id"), "page_id").collect()
     reader, r = Reader(), random.Random(7)
     read = [reader.blocks(row["html"]) for row in rows]
     texts = [t for p in read for t, node, _ in p if reader.label[node] == 1] or [" ".join(r.choice(_WORDS.split()) for _ in range(r.randint(3, 60))) for _ in range(200)]
