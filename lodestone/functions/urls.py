@@ -32,16 +32,20 @@ def normalize(url: Column) -> Column:
     return F.regexp_replace(u, r"^git@([^:\s]+):(?=\S)", "https://$1/")
 
 
-def provider(url: Column, explicit: Column | None = None) -> Column:
-    """A valid explicit provider, else by the name that the URL holds."""
-    u = F.lower(normalize(url))
-    found = (
-        F.when(u.contains("gitlab"), "gitlab")
-        .when(u.contains("gitea") | u.contains("forgejo"), "gitea")
-        .when(u.contains("bitbucket"), "bitbucket")
-        .when(u.contains("github"), "github")
+def provider_of_host(name: Column) -> Column:
+    """The provider that a lower-case name holds."""
+    return (
+        F.when(name.contains("gitlab"), "gitlab")
+        .when(name.contains("gitea") | name.contains("forgejo"), "gitea")
+        .when(name.contains("bitbucket"), "bitbucket")
+        .when(name.contains("github"), "github")
         .otherwise("generic")
     )
+
+
+def provider(url: Column, explicit: Column | None = None) -> Column:
+    """A valid explicit provider, else by the name that the URL holds."""
+    found = provider_of_host(F.lower(normalize(url)))
     if explicit is None:
         return found
     e = F.lower(F.trim(explicit))

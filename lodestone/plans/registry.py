@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import mask_token
-from ..functions.urls import host
+from ..functions.urls import host, provider_of_host
+from ..sources.lease import Lease
 from ..sources.store import Table
 
 REPOSITORIES = (
@@ -27,6 +28,7 @@ class Registry:
         self.paths = Table(spark, f"{path}/paths", PATHS, ["id"])
         self.hosts = Table(spark, f"{path}/hosts", HOSTS, ["host"])
         self.settings = Table(spark, f"{path}/settings", SETTINGS, ["key"])
+        self.lease = Lease(spark, f"{path}/lease")
         self._busy = threading.Lock()
 
     def _row(self, **values) -> DataFrame:
@@ -97,22 +99,32 @@ class Registry:
         self.put("auto_sync_interval", str(max(0, int(minutes))))
 
     def credentials(self, repositories: DataFrame, global_tokens: dict[str, str] | None = None, environment: dict[str, str] | None = None) -> DataFrame:
-        """(id, auth_user, auth_token, source): a repository's own token, its host's, its provider's, the environment's, or none."""
+        """(id, auth_user, auth_token, source): a repository's own token, its host's, its provider's, the environment's, or none.
+
+        The tokens are by provider; a repository that names none has the one that its host's name tells. Blank tokens are none.
+        ``source``: ``own``, ``host <host>``, ``stored <provider>``, ``environment <provider>`` or ``none``. The user is that of
+        the host where its token is taken, else the repository's own.
+        """
         r = repositories.withColumn("_host", host(F.col("url"), keep_port=True))
         h = self.hosts.read().select(F.col("host").alias("_host"), F.col("auth_user").alias("_u"), F.nullif("auth_token", F.lit("")).alias("_t"))
-        given = lambda tokens: F.coalesce(F.lit(None).cast("string"), *(F.when(F.col("provider") == p, F.lit(t)) for p, t in (tokens or {}).items() if t))
+        named = F.coalesce(F.nullif(F.lower("provider"), F.lit("")), provider_of_host(F.col("_host")))
+        given = lambda tokens: F.coalesce(F.lit(None).cast("string"), *(F.when(F.col("_provider") == p, F.lit(t.strip())) for p, t in (tokens or {}).items() if t and t.strip()))
         own = F.nullif(F.trim("auth_token"), F.lit(""))
-        both = r.join(h, "_host", "left").withColumns({"_own": own, "_global": given(global_tokens), "_env": given(environment)})
-        source = F.when(F.col("_own").isNotNull(), "Repository Override").when(F.col("_t").isNotNull(), F.format_string("Host Vault (%s)", "_host")).when(F.col("_global").isNotNull(), "Database").when(F.col("_env").isNotNull(), "Environment").otherwise("None")
-        user = F.when(F.col("_own").isNotNull(), F.trim("auth_user")).when(F.col("_t").isNotNull(), F.col("_u"))
+        both = r.join(h, "_host", "left").withColumn("_provider", named).withColumns({"_own": own, "_global": given(global_tokens), "_env": given(environment)})
+        with_name = lambda kind, c: F.concat(F.lit(f"{kind} "), c)
+        source = F.when(F.col("_own").isNotNull(), "own").when(F.col("_t").isNotNull(), with_name("host", F.col("_host"))).when(F.col("_global").isNotNull(), with_name("stored", F.col("_provider"))).when(F.col("_env").isNotNull(), with_name("environment", F.col("_provider"))).otherwise("none")
+        user = F.when(F.col("_own").isNotNull(), F.trim("auth_user")).when(F.col("_t").isNotNull(), F.col("_u")).otherwise(F.col("auth_user"))
         return both.select("id", user.alias("auth_user"), F.coalesce("_own", "_t", "_global", "_env").alias("auth_token"), source.alias("source"))
 
     def exclusive(self, job) -> bool:
-        """Runs a job unless one is running; whether it ran."""
+        """Runs a job unless one is running, here or in another process; whether it ran."""
         if not self._busy.acquire(blocking=False):
             return False
         try:
-            job()
-            return True
+            with self.lease.held() as token:
+                if token is None:
+                    return False
+                job()
+                return True
         finally:
             self._busy.release()
