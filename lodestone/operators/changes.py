@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import normalize, repository_key
@@ -55,11 +55,18 @@ def pushes(events: DataFrame, payload: str = "payload") -> DataFrame:
 def matched_pushes(events: DataFrame, repositories: DataFrame, id_: str = "event_id") -> DataFrame:
     """(event id, repo_id, repo_name, status) of each push: its first registered repository of that URL and, if given, branch.
 
-    ``status``: ``sync_triggered``, or ``ignored`` where none matches or auto-sync is off, or ``invalid`` without a URL.
+    ``status``: ``sync_triggered``, or ``ignored`` where none matches or auto-sync is off, or ``invalid`` without a URL, or
+    ``unauthorized`` where ``events`` have a column authentic that is false. The first repository of each URL and branch is found
+    among the repositories, so events meet at most one row and are not sorted; a stream of events may be joined likewise.
     """
-    registry = repositories.select(F.col("id").alias("repo_id"), F.col("name").alias("repo_name"), F.col("branch").alias("_branch"), F.coalesce("auto_sync", F.lit(True)).alias("_auto"), repository_key(F.col("url")).alias("_key"))
-    e = events.select(id_, "push_url", "push_branch", repository_key(F.col("push_url")).alias("_pushed"))
-    on = (F.col("_pushed") == F.col("_key")) & (F.col("push_branch").isNull() | (F.col("push_branch") == F.col("_branch")))
-    both = e.join(registry, on, "left").withColumn("_n", F.row_number().over(Window.partitionBy(id_).orderBy("repo_id"))).where("_n = 1")
-    status = F.when(F.col("push_url").isNull(), "invalid").when(F.col("_auto"), "sync_triggered").otherwise("ignored")
-    return both.select(id_, "repo_id", "repo_name", status.alias("status"))
+    row = F.struct(F.col("id").alias("repo_id"), F.col("name").alias("repo_name"), F.coalesce("auto_sync", F.lit(True)).alias("_auto"))
+    known = repositories.select(repository_key(F.col("url")).alias("_key"), F.col("branch").alias("_branch"), row.alias("_row")).where("_key IS NOT NULL")
+    by_branch = known.where("_branch IS NOT NULL").groupBy("_key", "_branch").agg(F.min_by("_row", "_row.repo_id").alias("_row"))
+    of_any = known.groupBy("_key").agg(F.min_by("_row", "_row.repo_id").alias("_row")).select("_key", F.lit(None).cast("string").alias("_branch"), "_row")
+    first = by_branch.unionByName(of_any)
+    authentic = F.col("authentic") if "authentic" in events.columns else F.lit(True)
+    e = events.select(id_, "push_url", F.nullif("push_branch", F.lit("")).alias("push_branch"), repository_key(F.col("push_url")).alias("_pushed"), authentic.alias("_authentic"))
+    on = (F.col("_pushed") == F.col("_key")) & F.col("push_branch").eqNullSafe(F.col("_branch")) & F.col("_authentic")
+    both = e.join(first, on, "left")
+    status = F.when(~F.col("_authentic"), "unauthorized").when(F.col("push_url").isNull(), "invalid").when(F.col("_row._auto"), "sync_triggered").otherwise("ignored")
+    return both.select(id_, F.col("_row.repo_id").alias("repo_id"), F.col("_row.repo_name").alias("repo_name"), status.alias("status"))
