@@ -39,14 +39,14 @@ def keyword_tokens(text: Column) -> Column:
     return F.filter(tokens, lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t) & ~t.rlike(r"^[0-9]+\z"))
 
 
-def _ascii_lower(c: Column) -> Column:
+def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def sqlite_like(c: Column, pattern: str) -> Column:
     """``c LIKE pattern``: only ASCII letters match without case; ``%`` and ``_`` of the pattern are wildcards; ``\\`` is literal."""
     lowered = pattern.translate({i: i + 32 for i in range(65, 91)})
-    return F.like(_ascii_lower(c), F.lit(lowered), F.lit("\u0001"))
+    return F.like(ascii_lower(c), F.lit(lowered), F.lit("\u0001"))
 
 
 def contains_like(c: Column, part: str, mode: str = "substring") -> Column:

@@ -48,8 +48,12 @@ class Table:
     #: Versions that stay in the log, and those whose rows stay.
     LOGGED, KEPT = 50, 2
 
-    def __init__(self, spark: SparkSession, path: str, schema: str | StructType, key: list[str], partition: list[str] | None = None):
+    def __init__(self, spark: SparkSession, path: str, schema: str | StructType, key: list[str], partition: list[str] | None = None, indexed: list[str] | None = None, block: int | None = None):
+        """``indexed``: columns of point filters. Files are sorted by them and their row groups have Bloom filters of them, so such a
+        filter skips row groups and pages. ``block``: the bytes of a row group, if other than the session's.
+        """
         self.spark, self.path, self.key, self.partition = spark, path.rstrip("/"), key, partition or []
+        self.indexed, self.block = indexed or [], block
         self.schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
         with _LOCKS_LOCK:
             self._lock = _LOCKS[self.path]
@@ -120,7 +124,14 @@ class Table:
     def _written(self, df: DataFrame) -> list[str]:
         """Writes rows into a new folder of ``data``; returns the folders that hold them."""
         top = f"{_CHANGE}={uuid.uuid4().hex}"
-        writer = df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]).write
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
+        if self.indexed:
+            rows = rows.sortWithinPartitions(*self.partition, *self.indexed)
+        writer = rows.write
+        for c in self.indexed:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{c}", "true")
+        if self.block:
+            writer = writer.option("parquet.block.size", str(self.block))
         (writer.partitionBy(*self.partition) if self.partition else writer).parquet(f"{self.path}/data/{top}")
         found = [top]
         for _ in self.partition:
