@@ -14,7 +14,7 @@ READ = (
 # The language of each extension, in lower case.
 LANGUAGES = {
     "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "tsx", "go": "go", "rs": "rust",
-    "cs": "c_sharp", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "c": "c", "h": "c", "java": "java", "rb": "ruby",
+    "cs": "c_sharp", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "c": "c", "h": "c", "hpp": "cpp", "java": "java", "rb": "ruby",
     "php": "php", "sh": "bash", "bash": "bash", "sql": "sql", "html": "html", "css": "css", "json": "json", "yaml": "yaml",
     "yml": "yaml", "toml": "toml", "md": "markdown", "txt": "text",
 }

@@ -43,14 +43,15 @@ def level_counts(logs: DataFrame, levels: list[str]) -> DataFrame:
 
 
 def description(repositories: DataFrame, paths: DataFrame, symbols: DataFrame, files: DataFrame, base: str) -> DataFrame:
-    """One row, text: the base, then up to ten sources, then counts of symbols and files where there are any."""
-    names = repositories.where("status = 'synced'").select(F.struct(F.lit(0).alias("o"), F.col("name").alias("n")).alias("s"))
-    local = paths.where("enabled").select(F.struct(F.lit(1).alias("o"), F.substring_index("path", "/", -1).alias("n")).alias("s"))
-    sources = names.unionByName(local).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("s")).alias("all"))
-    own = sources.join(F.broadcast(counts(symbols=symbols, files=files)), F.lit(True))
-    shown = F.array_join(F.slice(F.transform("all", lambda s: s["n"]), 1, 10), ", ")
-    active = F.when(F.col("n") > 0, F.format_string("Active Sources (%d): %s.", "n", shown))
-    indexed = F.when(F.col("symbols") > 0, F.format_string("Indexed Code Symbols: %d across %d files.", "symbols", "files"))
+    """One row, text: the base, then how many sources there are and the first ten, then counts of symbols and files if there are any."""
+    names = repositories.where("status = 'synced'").select(F.lit(0).alias("o"), F.col("name").alias("n"))
+    sources = names.unionByName(paths.where("enabled").select(F.lit(1).alias("o"), F.substring_index("path", "/", -1).alias("n")))
+    # ten rows leave the tasks; the others are counted alone
+    first = sources.orderBy("o", "n").limit(10).agg(F.array_sort(F.collect_list(F.struct("o", "n"))).alias("first"))
+    own = first.join(F.broadcast(counts(sources=sources, symbols=symbols, files=files)), F.lit(True))
+    shown = F.array_join(F.transform("first", lambda s: s["n"]), ", ")
+    active = F.when(F.col("sources") > 0, F.format_string("%d sources: %s.", "sources", shown))
+    indexed = F.when(F.col("symbols") > 0, F.format_string("%d symbols in %d files.", "symbols", "files"))
     return own.select(F.concat_ws(" ", F.lit(base), active, indexed).alias("text"))
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, languages, text, urls
+from ..sources.folders import new_path, remove
 from ..sources.store import Table
 from . import catalog, changes, chunking, filters, keywords, retrieval, symbols
+from .blockmax import BlockIndex
+from .trigrams import TrigramIndex
+from .vector_index import VectorIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -67,6 +70,27 @@ def symbol_fuzzy(spark, d):
     return filters.find_symbol(_symbols(spark, d), "BRAND#1_.", repo="Brand#13", exact=False, limit=-1).select("id", "full_symbol", "repo")
 
 
+#: Parts of names: with wildcards, in any case, in one column or the other, too short for the index, and in no row.
+_PARTS = ("BRAND#1_.", "an", "%al%en", "steel", "#23.", "_", "nowhere", "13")
+
+
+def _part_of(column: str, part: str) -> str:
+    low = part.translate({i: i + 32 for i in range(65, 91)})
+    return f"{_LOWER.format(column)} LIKE '%{low}%'"
+
+
+@_query(" UNION ALL ".join(f"SELECT '{p}' AS part, id, full_symbol FROM {_SYMBOLS_SQL} WHERE {_part_of('name', p)} OR {_part_of('full_symbol', p)}" for p in _PARTS))
+def symbol_trigram(spark, d):
+    """Symbols by parts of their names, through an index of trigrams."""
+    rows = _symbols(spark, d)
+    index = TrigramIndex(spark, _indexed(spark, d, "trigrams", rows, lambda p: TrigramIndex.write(rows, p)), ("name", "full_symbol"))
+    out = None
+    for part in _PARTS:
+        found = index.containing(part).select(F.lit(part).alias("part"), "id", "full_symbol")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @_query(f"SELECT id, outline, start_line FROM (SELECT *, full_symbol || ' (' || kind || ') lines ' || start_line || '-' || end_line AS outline FROM {_SYMBOLS_SQL}) WHERE filepath LIKE '%mo.py'")
 def outline_suffix(spark, d):
     return filters.outline(_symbols(spark, d), "MO.py").select("id", "outline", "start_line")
@@ -108,8 +132,8 @@ def catalog_head(spark, d):
     return catalog.head(_t(spark, d, "documents").select("doc_id", "source", "lang"), ["source", "doc_id"])
 
 
-@_query("""SELECT 'Search.' || ' Active Sources (' || (SELECT count(*) FROM nation) + (SELECT count(*) FROM region WHERE r_regionkey < 3) || '): '
-  || (SELECT string_agg(n_name, ', ' ORDER BY n_name) FROM (SELECT n_name FROM nation ORDER BY n_name LIMIT 10)) || '. Indexed Code Symbols: ' || (SELECT count(*) FROM part) || ' across ' || (SELECT count(*) FROM documents) || ' files.' AS text""")
+@_query("""SELECT 'Search. ' || (SELECT count(*) FROM nation) + (SELECT count(*) FROM region WHERE r_regionkey < 3) || ' sources: '
+  || (SELECT string_agg(n_name, ', ' ORDER BY n_name) FROM (SELECT n_name FROM nation ORDER BY n_name LIMIT 10)) || '. ' || (SELECT count(*) FROM part) || ' symbols in ' || (SELECT count(*) FROM documents) || ' files.' AS text""")
 def catalog_description(spark, d):
     repositories = _t(spark, d, "nation").select(F.col("n_name").alias("name"), F.lit("synced").alias("status"))
     paths = _t(spark, d, "region").select(F.concat(F.lit("/x/"), "r_name").alias("path"), (F.col("r_regionkey") < 3).alias("enabled"))
@@ -317,25 +341,44 @@ def _docs(spark, d):
     return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
 
 
-_POSTINGS: dict[tuple, str] = {}
+_INDEXES: dict[tuple, tuple[tuple, str]] = {}
+
+
+def _indexed(spark, d, name: str, rows: DataFrame, write: Callable[[str], object]) -> str:
+    """The path of an index of a table's rows, written when a session first asks for it, and anew when the table's files change."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = sorted(rows.inputFiles())
+    fs = at(files[0]).getFileSystem(spark._jsc.hadoopConfiguration()) if files else None
+    state = tuple((f, s.getModificationTime(), s.getLen()) for f in files for s in [fs.getFileStatus(at(f))])
+    key = (spark.sparkContext.applicationId, d, name)
+    known, path = _INDEXES.get(key, (None, None))
+    if known != state:
+        fresh = new_path(spark, name)
+        write(fresh)
+        if path:
+            remove(spark, path)
+        _INDEXES[key] = state, fresh
+    return _INDEXES[key][1]
 
 
 def _postings(spark, d):
-    """The postings of documents, written when a session first asks for them, and anew when the table's files change."""
     docs = _docs(spark, d)
-    top = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    files = [fs.getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(f)) for f in sorted(docs.inputFiles())]
-    key = (spark.sparkContext.applicationId, d, *((f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in files))
-    if key not in _POSTINGS:
-        path = f"{_folder(spark)}/postings/{uuid.uuid4().hex}"
-        retrieval.write_postings(docs, path)
-        _POSTINGS[key] = path
-    return spark.read.schema("term string, id long, w double").parquet(_POSTINGS[key])
+    path = _indexed(spark, d, "postings", docs, lambda p: retrieval.write_postings(docs, p))
+    return spark.read.schema("term string, id long, w double").parquet(path)
+
+
+def _blocks(spark, d):
+    docs = _docs(spark, d)
+    return BlockIndex.open(spark, _indexed(spark, d, "blocks", docs, lambda p: BlockIndex.write(docs, p)))
 
 
 @_query(f"WITH {_QUERY_SQL}, {_SPARSE_SQL} SELECT query_id, id, score, rank FROM {_top_sql(_SPARSE, 5)}")
 def bm25_topk(spark, d):
+    return _blocks(spark, d).top(_queries(spark, d), 5)
+
+
+@_query(f"WITH {_QUERY_SQL}, {_SPARSE_SQL} SELECT query_id, id, score, rank FROM {_top_sql(_SPARSE, 5)}")
+def bm25_topk_from_postings(spark, d):
     return retrieval.top_per_query(retrieval.posting_scores(_postings(spark, d), _queries(spark, d)), 5)
 
 
@@ -346,7 +389,7 @@ def bm25_topk_from_texts(spark, d):
 
 @_query(f"WITH {_QUERY_SQL}, {_SPARSE_SQL}, {_IDF_SQL} SELECT query_id, id, score, rank FROM {_top_sql('SELECT query_id, id, round(sum(w * q * idf), 6) AS score FROM d JOIN q USING (term) JOIN f USING (term) GROUP BY query_id, id', 5)}")
 def bm25_topk_idf(spark, d):
-    return retrieval.top_per_query(retrieval.posting_scores(_postings(spark, d), _queries(spark, d), rows=_docs(spark, d), model=retrieval.BM25(idf=True)), 5)
+    return _blocks(spark, d).top(_queries(spark, d), 5, model=retrieval.BM25(idf=True), rows=_docs(spark, d))
 
 
 _STOP = ("the", "of", "and", "die", "der", "la", "el", "de")
@@ -369,6 +412,33 @@ def dense_topk_batch(spark, d):
     return retrieval.dense_batch(_t(spark, d, "embeddings"), _queries(spark, d), 10, "vec_id")
 
 
+def _lists(spark, d):
+    """Vectors in about as many lists as the square root of their number, and the probes that find 19 in 20 on a sample."""
+    rows = _t(spark, d, "embeddings")
+    lists = max(1, round(rows.count() ** 0.5))
+    path = _indexed(spark, d, "vectors", rows, lambda p: VectorIndex.write(rows, p, lists, "vec_id"))
+    index = VectorIndex(spark, path)
+    return index, index.probes_for(0.95)
+
+
+@_query()
+def dense_topk_ivf(spark, d):
+    """The first ten rows of each query in the lists that it probes; ``dense_ivf_recall`` tells how many are the exact ones."""
+    index, probes = _lists(spark, d)
+    return index.top(_queries(spark, d), 10, probes)
+
+
+@_query("SELECT count(*) AS queries, true AS recall_ok, true AS scores_ok FROM benchmark JOIN embeddings ON item_id = vec_id")
+def dense_ivf_recall(spark, d):
+    """Whether at least nine in ten of the exact first ten are found, and whether every score is exact."""
+    index, probes = _lists(spark, d)
+    queries = _queries(spark, d)
+    found, exact = index.top(queries, 10, probes), retrieval.dense_batch(_t(spark, d, "embeddings"), queries, 10, "vec_id")
+    both = exact.join(found.select("query_id", "id", F.col("score").alias("own")), ["query_id", "id"], "left")
+    recall = both.agg(F.count_if(F.col("own").isNotNull()).alias("hits"), F.count("*").alias("all"), F.coalesce(F.bool_and(F.col("own") == F.col("score")), F.lit(True)).alias("scores_ok"))
+    return recall.join(F.broadcast(queries.agg(F.count("*").alias("queries"))), F.lit(True)).select("queries", (F.col("hits") >= 0.9 * F.col("all")).alias("recall_ok"), "scores_ok")
+
+
 def _hybrid_sql(k: int, rrf: int, base: int, filtered: bool = False, where: str = "TRUE") -> str:
     dense, sparse = _DENSE, _SPARSE
     if filtered:
@@ -378,9 +448,10 @@ def _hybrid_sql(k: int, rrf: int, base: int, filtered: bool = False, where: str
     return f"WITH {_QUERY_SQL}, {_SPARSE_SQL} SELECT query_id, id, score, rank FROM {_top_sql(fused, k)}"
 
 
-def _hybrid(spark, d, queries, k=10, fusion=retrieval.WRITTEN, where=None):
+def _hybrid(spark, d, queries, k=10, fusion=retrieval.WRITTEN, where=None, posts=False):
     vectors = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return retrieval.hybrid(_docs(spark, d), vectors, queries, k, fusion, where=where, posts=_postings(spark, d))
+    own = {"posts": _postings(spark, d)} if posts else {"index": _blocks(spark, d)}
+    return retrieval.hybrid(_docs(spark, d), vectors, queries, k, fusion, where=where, **own)
 
 
 @_query(_hybrid_sql(10, 60, 1, True, "lang = 'en'") + " WHERE query_id = 3")
@@ -395,7 +466,7 @@ def hybrid_rrf_batch(spark, d):
 
 @_query(_hybrid_sql(10, 2, 0))
 def hybrid_rrf_k2(spark, d):
-    return _hybrid(spark, d, _queries(spark, d), fusion=retrieval.ZERO_BASED)
+    return _hybrid(spark, d, _queries(spark, d), fusion=retrieval.ZERO_BASED, posts=True)
 
 
 @_query(f"WITH {_QUERY_SQL} SELECT query_id, id, score, rank FROM {_top_sql(_DENSE, 10)}")
@@ -532,13 +603,8 @@ def poll_counts(spark, d):
     return changes.poll(*_repositories(spark, d))
 
 
-def _folder(spark) -> str:
-    """The folder that all executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-
-
 def _table(spark, rows: DataFrame, key: list[str], partition: list[str] | None = None) -> Table:
-    t = Table(spark, f"{_folder(spark)}/tables/{uuid.uuid4().hex}", rows.schema, key, partition)
+    t = Table(spark, new_path(spark, "table"), rows.schema, key, partition)
     t.upsert(rows)
     return t
 
@@ -575,16 +641,23 @@ def replace_repo(spark, d):
     return t.read()
 
 
+#: A delivery's body, in the forms of several hosts.
+WEBHOOK_SQL = """CASE event_id % 5
+  WHEN 0 THEN concat('{"ref": "refs/heads/main", "repository": {"clone_url": "git@h.example:o/', user_id % 30, '.git"}}')
+  WHEN 1 THEN concat('{"push": {"changes": [{"new": {"name": "main"}}]}, "repository": {"links": {"html": {"href": "https://h.example/o/', user_id % 30, '/"}}}}')
+  WHEN 2 THEN concat('{"project": {"git_http_url": "", "git_ssh_url": "git@h.example:o/', user_id % 30, '.git"}}')
+  WHEN 3 THEN concat('{"ref": "refs/heads/dev", "repository": {"html_url": "https://h.example/o/', user_id % 30, '"}}')
+  ELSE '{"ref": "refs/heads/main"}' END"""
+
+
+def nations(spark, d) -> DataFrame:
+    """Nations as registered repositories, half of them synced automatically."""
+    return _t(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("https://h.example/o/"), F.col("n_nationkey").cast("string"), F.lit(".git")).alias("url"), F.lit("main").alias("branch"), (F.col("n_nationkey") % 2 == 0).alias("auto_sync"))
+
+
 @_query("""SELECT event_id, CASE WHEN m = 4 THEN NULL ELSE n_nationkey END AS repo_id, CASE WHEN m = 4 THEN NULL ELSE n_name END AS repo_name,
   CASE WHEN m = 4 THEN 'invalid' WHEN n_nationkey % 2 = 0 THEN 'sync_triggered' ELSE 'ignored' END AS status
 FROM (SELECT event_id, event_id % 5 AS m, (user_id % 30)::INT AS k FROM events) LEFT JOIN nation ON m <> 4 AND m <> 3 AND n_nationkey = k""")
 def webhook_match(spark, d):
-    payload = F.expr("""CASE event_id % 5
-      WHEN 0 THEN concat('{"ref": "refs/heads/main", "repository": {"clone_url": "git@h.example:o/', user_id % 30, '.git"}}')
-      WHEN 1 THEN concat('{"push": {"changes": [{"new": {"name": "main"}}]}, "repository": {"links": {"html": {"href": "https://h.example/o/', user_id % 30, '/"}}}}')
-      WHEN 2 THEN concat('{"project": {"git_http_url": "", "git_ssh_url": "git@h.example:o/', user_id % 30, '.git"}}')
-      WHEN 3 THEN concat('{"ref": "refs/heads/dev", "repository": {"html_url": "https://h.example/o/', user_id % 30, '"}}')
-      ELSE '{"ref": "refs/heads/main"}' END""")
-    events = _t(spark, d, "events").select("event_id", payload.alias("payload"))
-    registry = _t(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("https://h.example/o/"), F.col("n_nationkey").cast("string"), F.lit(".git")).alias("url"), F.lit("main").alias("branch"), (F.col("n_nationkey") % 2 == 0).alias("auto_sync"))
-    return changes.matched_pushes(changes.pushes(events), registry)
+    events = _t(spark, d, "events").select("event_id", F.expr(WEBHOOK_SQL).alias("payload"))
+    return changes.matched_pushes(changes.pushes(events), nations(spark, d))

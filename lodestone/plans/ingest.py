@@ -87,6 +87,7 @@ def chunk_rows(files: DataFrame, url: Column | None = None, sha: Column | None =
     is_doc = F.col("doc_type") == "doc"
     content = strip(F.col("c.content"))
     symbol = F.when(~is_doc, F.coalesce("c.symbol", "title"))
+    # fixed values: the names and the order of the header's lines, which vectors of equal texts depend on
     line = lambda name, value: F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit("")), F.lit("\n"))
     prose = F.concat(line("Repo", F.col("repo")), line("Document", F.col("rel_path")), line("Category", F.col("category")), line("Heading", F.col("c.heading")), F.lit("Content:\n"), content)
     lines = F.format_string("%d-%d", "c.start_line", "c.end_line")
@@ -119,7 +120,7 @@ class Index:
     def __init__(self, spark: SparkSession, path: str, namespace: uuid.UUID = NAMESPACE, embed=None, model: BM25 = BM25()):
         """``embed``: a function from a DataFrame with embed_text to the same with a column dense, or None. ``model``: of the sparse weights."""
         self.spark, self.namespace, self.embed, self.model = spark, namespace, embed, model
-        self.chunks = Table(spark, f"{path}/chunks", CHUNKS, ["id"], ["repo"])
+        self.chunks = Table(spark, f"{path}/chunks", CHUNKS, ["id"], ["repo"], indexed=["doc_type", "language", "path"])
         self.files = Table(spark, f"{path}/files", FILES, ["filepath"], ["repo"])
         self.summaries = Table(spark, f"{path}/summaries", SUMMARIES, ["filepath"], ["repo"])
         self.symbols = Table(spark, f"{path}/symbols", SYMBOLS, ["repo", "filepath", "full_symbol", "start_line"], ["repo"])
@@ -161,13 +162,34 @@ class Index:
             changed.unpersist()
             found.unpersist()
 
-    def sync_clone(self, repo: str, path: str, sha: str, url: str | None = None, provider: str | None = None) -> int:
-        """Replaces a repository's rows by those of the checkout at ``path``; returns the number of files."""
-        files = scan(self.spark, [{"path": path, "repo": repo}], clone=True)
-        with self._made(files, url, sha, provider) as (chunks, known, summaries, symbols):
-            for table, rows in ((self.chunks, chunks), (self.symbols, symbols), (self.summaries, summaries), (self.files, known)):
-                table.replace("repo", repo, rows)
-        return self.files.read().where(F.col("repo") == repo).count()
+    def sync_clone(self, repo: str, path: str, sha: str, url: str | None = None, provider: str | None = None, registry=None) -> int:
+        """Replaces a repository's rows by those of the checkout at ``path``; returns the number of files.
+
+        The files' table, which says of which commit a repository's rows are (``synced_sha``), first loses them and last gets them:
+        a sync that dies in between leaves no commit, so the next poll starts it again, and every table is then replaced whole.
+        In ``registry`` the repository is ``syncing`` meanwhile, and ``synced`` or ``error`` afterwards.
+        """
+        own = None if registry is None else registry.repositories.read().where(F.col("name") == repo).select("id").first()
+        say = (lambda *given, **more: registry.set_status(own["id"], *given, **more)) if own is not None else (lambda *given, **more: None)
+        say("syncing")
+        try:
+            files = scan(self.spark, [{"path": path, "repo": repo}], clone=True)
+            with self._made(files, url, sha, provider) as (chunks, known, summaries, symbols):
+                if self.synced_sha(repo) not in (None, sha):
+                    self.files.delete_equal("repo", repo)
+                for table, rows in ((self.chunks, chunks), (self.symbols, symbols), (self.summaries, summaries), (self.files, known)):
+                    table.replace("repo", repo, rows)
+            n = self.files.read().where(F.col("repo") == repo).count()
+        except Exception as e:
+            say("error", str(e)[:500])
+            raise
+        say("synced", sha=sha)
+        return n
+
+    def synced_sha(self, repo: str) -> str | None:
+        """The commit that all rows of a repository are of; None if there is none, or a sync has not ended."""
+        row = self.files.read().where((F.col("repo") == repo) & F.col("commit_sha").isNotNull()).select("commit_sha").first()
+        return None if row is None else row["commit_sha"]
 
     def drop(self, repo: str, registry=None) -> None:
         """All rows of a repository go, its row in ``registry`` first and vectors last."""

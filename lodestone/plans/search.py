@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.ids import point_id
 from ..operators import filters, retrieval
@@ -125,3 +126,52 @@ def points(documents: DataFrame, id_: str = "id") -> DataFrame:
 def sanitized(metadata: DataFrame, column: str = "metadata") -> DataFrame:
     """Without null and empty values of a map of texts."""
     return metadata.withColumn(column, F.map_filter(column, lambda k, v: v.isNotNull() & (v != "") & (v != "[]")))
+
+
+def predicted(chunks: DataFrame, make, dimension: int, column: str = "embed_text", out: str = "dense", rows: int = 512, characters: int = 200_000) -> DataFrame:
+    """``chunks`` with the vectors of a model that ``make()`` loads once in each worker.
+
+    ``make`` gives a function from a list of texts to a list of vectors of ``dimension``. It is called with at most ``rows`` texts
+    of together at most ``characters``, or with one longer text. Null texts count as empty. A call that fails is repeated text by
+    text; a text whose own call fails, or gives other than ``dimension`` finite numbers, has a null vector and its row stays.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+
+    def loaded():
+        model = make()
+
+        def one(texts: list[str]) -> list:
+            got = model(texts)
+            if len(got) != len(texts):
+                raise ValueError(f"{len(got)} vectors for {len(texts)} texts")
+            return [np.asarray(v, np.float32) for v in got]
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            given = ["" if t is None else str(t) for t in texts]
+            out = np.full((len(given), dimension), np.nan, np.float32)
+            i = 0
+            while i < len(given):
+                j, size = i + 1, len(given[i])
+                while j < len(given) and size + len(given[j]) <= characters:
+                    size += len(given[j])
+                    j += 1
+                try:
+                    found = one(given[i:j])
+                except Exception:  # noqa: BLE001  one text may spoil a call
+                    found = []
+                    for t in given[i:j]:
+                        try:
+                            found += one([t])
+                        except Exception:  # noqa: BLE001  that text has no vector
+                            found.append(None)
+                for k, v in enumerate(found):
+                    if v is not None and v.shape == (dimension,) and np.isfinite(v).all():
+                        out[i + k] = v
+                i = j
+            return out
+
+        return predict
+
+    vectors = predict_batch_udf(loaded, return_type=ArrayType(FloatType()), batch_size=rows)
+    found = chunks.withColumn(out, vectors(F.coalesce(F.col(column), F.lit(""))))
+    return found.withColumn(out, F.when(~F.isnan(F.get(out, F.lit(0))), F.col(out)))
