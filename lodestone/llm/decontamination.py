@@ -1,15 +1,18 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Words are lower-cased (A-Z) runs between white space and ASCII punctuation. One pass over the texts looks up every
-three-word seed of the test items, common or rare, lays a window of the item's length and half as much on either side
+Words are lower-cased (A-Z) runs between white space and ASCII punctuation. A first pass over the texts counts how often
+the three-word seeds of the test items occur in the corpus; rare ones, of at most ``RARE`` places or ``RARE_SHARE`` of all places,
+stay, and of each item its ``LEAST_SEEDS`` rarest that occur at all, so an item of frequent words keeps seeds too. A second pass looks the kept seeds up in the texts, lays a window of the item's length and half as much on either side
 around each hit's diagonal, joins windows that overlap, and aligns item and window. The score is the local alignment's
 (match 2, mismatch -1, gap -1) share of a full match's. A window with fewer of the item's words than ``threshold`` of the
-item's length can't reach it, since only matches add to a score, and is left out before the alignment. The pass is a scan
-without a shuffle, and nothing is gathered. A copy that keeps no three words in a row is not sought.
+item's length can't reach it, since only matches add to a score, and is left out before the alignment. Both passes are scans;
+counts are added up in each task before they are shuffled, and what reaches the driver is a number a seed of the items. A copy
+that keeps no three words in a row of its item's rarer ones is not sought.
 
 Test items are sent to all tasks in blocks of at most ``block_chars`` characters; a larger benchmark takes several blocks,
-each of them against all documents. Defined results: null texts match nothing; items under ``least_words`` words match
-nothing; repeated rows and items give a row each; an empty table of either kind gives no rows.
+each of them against all documents. Defined results: null texts match nothing; items under ``least_words`` words, which
+parts of clean texts resemble, match only as a whole: those of three or more words where they stand word for word, those of
+fewer where they are all the words of a text; items without words match nothing; repeated rows and items give a row each; an empty table of either kind gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from ._text import LOWER, SPACE, Block, Hasher, U, blocks, runs, window_hash
 SEED = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
+#: A seed is rare at so many places of the corpus, or at this share of all places; an item keeps at least so many seeds.
+RARE, RARE_SHARE, LEAST_SEEDS = 1000, 1e-5, 16
 _APART = SPACE.copy()
 _APART[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -54,13 +59,18 @@ class Items:
     """Words of test items and the places of their seeds."""
 
     def __init__(self, ids: list, texts: list[str | None], least_words: int):
-        self.ids, self.words = [], []
+        self.ids, self.words, self.least_words = [], [], least_words
+        #: Items that are too short for a seed, by their words.
+        self.short: dict[bytes, list[int]] = {}
         for b in blocks(pa.array(texts, pa.string())):
             _, _, at, word = _words(b)
             for d in range(b.n):
-                if at[d + 1] - at[d] >= least_words:
+                own = word[at[d] : at[d + 1]]
+                if len(own):
+                    if len(own) < SEED:
+                        self.short.setdefault(own.tobytes(), []).append(len(self.ids))
                     self.ids.append(ids[b.first + d])
-                    self.words.append(word[at[d] : at[d + 1]])
+                    self.words.append(own)
         bounds = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
         at, owner = runs(bounds, SEED) if self.words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         own = window_hash(np.concatenate(self.words), at, SEED) if self.words else np.zeros(0, U)
@@ -68,6 +78,22 @@ class Items:
         self.seeds, self.seed = np.unique(own[order], return_inverse=True)
         self.item, self.place = owner[order], (at - bounds[owner])[order]
 
+    def keep_rare(self, counts: np.ndarray, places: int) -> Items:
+        """Leaves each item its rare seeds, and its rarest, by how often the corpus of so many places holds each of ``seeds``."""
+        n = counts[self.seed]
+        order = np.lexsort((self.place, n, n == 0, self.item))
+        total = np.bincount(self.item, minlength=len(self.ids))
+        nth = np.empty(len(n), np.int64)
+        nth[order] = np.arange(len(n)) - (np.cumsum(total) - total)[self.item[order]]
+        kept = (n > 0) & ((n <= max(RARE, RARE_SHARE * places)) | (nth < LEAST_SEEDS))
+        own, self.seed = np.unique(self.seed[kept], return_inverse=True)
+        self.item, self.place, self.seeds = self.item[kept], self.place[kept], self.seeds[own]
+        return self
+
+    def threshold(self, item: int, threshold: float) -> float:
+        """The share of a full score that an item asks for: all of it, where the item is short."""
+        return threshold if len(self.words[item]) >= self.least_words else 1.0
+
     def lookup(self):
         """A function from hashes to the positions that are seeds, and the seeds."""
         bits = np.zeros(1 << 20, bool)
@@ -95,6 +121,9 @@ def _hits(b: Block, find):
 def _matches(b: Block, items: Items, find, threshold: float):
     """(document, item, score, first byte, last byte + 1) of items found in a block, one a document and item: the best."""
     start, end, at, word, first, owner, seed = _hits(b, find)
+    for d in np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < SEED)) if items.short else ():
+        for i in items.short.get(word[at[d] : at[d + 1]].tobytes(), ()):
+            yield int(d), i, 1.0, int(start[at[d]] - b.at[d]), int(end[at[d + 1] - 1] - b.at[d])
     if not len(first):
         return
     low, high = np.searchsorted(items.seed, seed), np.searchsorted(items.seed, seed, side="right")
@@ -107,7 +136,7 @@ def _matches(b: Block, items: Items, find, threshold: float):
     edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
     for i, j in zip(edge, np.append(edge[1:], len(doc))):
         d, own = int(doc[i]), items.words[int(item[i])]
-        m, pad = len(own), len(own) // 2
+        m, pad, wanted = len(own), len(own) // 2, items.threshold(int(item[i]), threshold)
         windows: list[list[int]] = []
         for x in diagonal[i:j].tolist():
             a, z = max(int(at[d]), x - pad), min(int(at[d + 1]), x + m + pad)
@@ -117,13 +146,13 @@ def _matches(b: Block, items: Items, find, threshold: float):
                 windows.append([a, z])
         best = (0, 0, 0)
         for a, z in windows:
-            if np.isin(word[a:z], own).sum() / m < threshold:  # an alignment has no more matches
+            if np.isin(word[a:z], own).sum() / m < wanted:  # an alignment has no more matches
                 continue
             score, stop = align(own, word[a:z])
             if score > best[0]:
                 best = (score, a, a + stop)
         share = best[0] / (MATCH * m)
-        if share >= threshold:
+        if share >= wanted:
             back, length = align(own[::-1], word[best[1] : best[2]][::-1])
             yield d, int(item[i]), share, int(start[best[2] - length] - b.at[d]), int(end[best[2] - 1] - b.at[d])
 
@@ -138,10 +167,32 @@ def _blocks_of(benchmark: DataFrame, block_chars: int, least_words: int):
         yield Items([r[0] for r in rows], [r[1] for r in rows], least_words)
 
 
+def seed_counts(documents: DataFrame, sent) -> DataFrame:
+    """(seed, n): how often the texts hold each seed of the items, and as the seed after the last the number of places; added up in each task first."""
+
+    def counted(batches):
+        items = sent.value
+        find, total = items.lookup(), np.zeros(len(items.seeds) + 1, np.int64)
+        for batch in batches:
+            for b in blocks(batch.column("text")):
+                _, _, at, _, _, _, seed = _hits(b, find)
+                total += np.bincount(seed, minlength=len(total))
+                total[-1] += np.maximum(np.diff(at) - SEED + 1, 0).sum()
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["seed", "n"])
+
+    return documents.select(F.col("text").cast("string")).mapInArrow(counted, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+
+
 def _prepared(documents: DataFrame, benchmark: DataFrame, block_chars: int, least_words: int):
-    """Blocks of items with their seeds, sent to the tasks."""
+    """Blocks of items with their rare seeds, sent to the tasks."""
+    context = documents.sparkSession.sparkContext
     for items in _blocks_of(benchmark, block_chars, least_words):
-        yield documents.sparkSession.sparkContext.broadcast(items)
+        every, counts = context.broadcast(items), np.zeros(len(items.seeds) + 1, np.int64)
+        for seed, n in seed_counts(documents, every).collect() if len(items.seeds) else ():
+            counts[seed] = n
+        every.unpersist()
+        yield context.broadcast(items.keep_rare(counts[:-1], int(counts[-1])))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_chars: int = 8_000_000, least_words: int = 5) -> DataFrame:

@@ -296,7 +296,9 @@ def _without_units(rows, least=4):
 def test_substring_dedup(spark, data):
     docs = _documents(spark, data)
     rows = substring_dedup.query(spark, data).collect()
-    assert {r["doc_id"]: r["text"] for r in rows} == _without_units(docs.items())
+    assert {r["doc_id"]: r["text"] for r in rows} == _without_repeated_lines([(i, t or "") for i, t in sorted(docs.items())])
+    plain = substring_dedup.remove_units(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")).collect()
+    assert {r["doc_id"]: r["kept"] for r in plain} == _without_units(docs.items())
     for r in rows:
         b = (docs[r["doc_id"]] or "").encode()
         for s in reversed(r["spans"]):
@@ -406,6 +408,34 @@ def test_decontamination_of_edited_copies(spark, frame):
     assert {(n, 0) for n in range(30)} | {(30, 1), (31, 1)} <= want.keys()
 
 
+def test_rare_seeds_of_items(spark, frame, monkeypatch):
+    """Frequent seeds go, but not an item's last ones; what the rare ones find is what all seeds find."""
+    r = random.Random(4)
+    common = " ".join(f"f{k}" for k in range(12))
+    say = lambda n: " ".join(f"c{r.randrange(5000)}" for _ in range(n))
+    items = [(1, f"{say(20)} {common} {say(20)}"), (2, common), (3, say(30)), (3, None), (4, ".. !")]
+    rows = [(i, f"{say(30)} {common} {say(30)}") for i in range(40)] + [(100, f"{say(9)} {items[0][1]} {say(9)}"), (101, f"x {items[2][1]}")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    every = {(x["doc_id"], x["item_id"]) for x in decontamination.contaminated(frame(rows), bench).collect()}
+    monkeypatch.setattr(decontamination, "RARE", 10)
+    monkeypatch.setattr(decontamination, "RARE_SHARE", 0)
+    monkeypatch.setattr(decontamination, "LEAST_SEEDS", 3)
+    [sent] = decontamination._prepared(frame(rows), bench, 8_000_000, 5)
+    kept, seeds = sent.value, {}
+    for i in kept.item.tolist():
+        seeds[kept.ids[i]] = seeds.get(kept.ids[i], 0) + 1
+    assert seeds == {1: 48 + 2 - 10, 2: 3, 3: 28}  # of item 1 the ten seeds inside the common passage went
+    few = {(x["doc_id"], x["item_id"]) for x in decontamination.contaminated(frame(rows), bench).collect()}
+    assert few == every == {(i, 2) for i in [*range(40), 100]} | {(100, 1), (101, 3)}
+
+
+def test_short_items_match_as_a_whole(spark, frame):
+    items = [(1, "one two three four"), (2, "Alpha, beta gamma"), (3, "red tree"), (4, "red"), (5, ""), (6, None)]
+    rows = [(1, "so One two three four go"), (2, "one two three x four"), (3, "see ALPHA beta gamma."), (4, "alpha gamma beta"), (5, "red tree"), (6, " Red, tree! "), (7, "the red tree"), (8, "red"), (9, "red red"), (10, ""), (11, None)]
+    got = {(x["doc_id"], x["item_id"], x["score"], x["first_byte"], x["end_byte"]) for x in decontamination.contaminated(frame(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1, 1.0, 3, 21), (3, 2, 1.0, 4, 20), (5, 3, 1.0, 0, 8), (6, 3, 1.0, 1, 10), (8, 4, 1.0, 0, 3)}
+
+
 # classifiers
 
 
