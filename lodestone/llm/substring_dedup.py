@@ -132,4 +132,4 @@ def clean(documents: DataFrame, min_words: int = 4, sentences: bool = True, line
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: every document without the lines and sentences that occur earlier."""
-    return remove_units(table(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("kept", "text")
+    return remove_units(table(spark, sf_dir, "documents", "doc_id", "text"), lines=True).withColumnRenamed("kept", "text")
