@@ -13,7 +13,8 @@ abuse. A window of six words on either side of a match adds up the weights in it
 addresses someone. Sums, densities and the best window, and sums of matches without an edit, go through boosted trees,
 rising in each of them, for the score.
 
-Lexicon, automaton and trees have fixed bounds (``most_terms``, ``per_class``) and are sent to the tasks; scoring is one
+The lexicon is bounded by the sample: a term is in at least ``least_share`` of its toxic documents, so there are at most
+``1 / least_share`` times as many as such a document has different words and stems. Lexicon, automaton and trees are sent to the tasks; scoring is one
 pass over whole texts without a shuffle. Defined results: null and empty texts have no match and get the score of such;
 repeated rows get one result row each; without labelled rows of both classes every score is 0, or 1 if all known are toxic.
 """
@@ -284,8 +285,8 @@ def _plain(sample: DataFrame, words: dict[str, float]) -> frozenset[str]:
     return frozenset(w for w, (a, b) in count.items() if a * n1 >= b * n0)
 
 
-def _lexicon(sample: DataFrame, most_terms: int, least_share: float) -> list[dict[str, float]]:
-    """Words, stems and pairs of stems whose log odds in toxic documents are at least 3, the most telling ``most_terms`` of each.
+def _lexicon(sample: DataFrame, least_share: float) -> list[dict[str, float]]:
+    """Words, stems and pairs of stems in ``least_share`` of toxic documents whose log odds in them are at least 3.
 
     Words and stems that start with a pair's stem, in fewer than half as many toxic documents, add nothing to it but what
     the sample happens to hold, and are left out.
@@ -317,7 +318,7 @@ def _lexicon(sample: DataFrame, most_terms: int, least_share: float) -> list[dic
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
     for kind in "wsp":
         own = counts.where(F.col("term").startswith(kind) & (F.col("toxic") >= max(3, least_share * n1))).select("term", "toxic", odds.alias("w")).where("w >= 3")
-        best = own.orderBy(F.desc(F.col("w") * F.sqrt("toxic")), "term").limit(most_terms).collect()
+        best = own.orderBy("term").collect()
         out.append({r["term"][1:]: float(r["w"]) for r in best})
         held.append({r["term"][1:]: r["toxic"] for r in best})
     counts.unpersist()
@@ -327,10 +328,10 @@ def _lexicon(sample: DataFrame, most_terms: int, least_share: float) -> list[dic
     return out
 
 
-def train(documents: DataFrame, labels: DataFrame, per_class: int = 2500, most_terms: int = 400, least_share: float = 0.01) -> Model:
+def train(documents: DataFrame, labels: DataFrame, per_class: int = 2500, least_share: float = 0.01) -> Model:
     """From at most ``per_class`` labelled documents of each class (``labels.toxic``), taken in hash order."""
     sample = written(labelled_sample(documents, labels, "toxic", per_class), "sample")
-    words, stems, pairs = _lexicon(sample, most_terms, least_share)
+    words, stems, pairs = _lexicon(sample, least_share)
     plain = _plain(sample, words)
 
     def rows(batches):
