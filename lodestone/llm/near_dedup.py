@@ -19,7 +19,7 @@ capped. (6) Components of the links.
 Every aggregate combines before its shuffle, equal sets never meet in pairs, and pairs carry no text until a join that
 adaptive execution may split. Defined results: a text without words, empty or null, has an empty set and links with
 nothing; a row without an id takes no part (component null, kept); repeated ids are one node that has the links of all
-its rows.
+its rows; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ their similarity to the power ``sharpness``.
 
 One pass over the texts without a shuffle; memory follows a block of about 1 MB or the longest document. Defined results:
 a null or empty text has shape terms only and is scored by them; repeated rows get one result row each; without labelled
-rows every score is 0.5.
+rows every score is 0.5; of labelled vectors that tie for the last place among the neighbours any may vote; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ arrays; scoring walks all documents of a block through all trees one level at a
 shuffle, and its memory follows a block of about 1 MB or the longest document.
 
 Defined results: a null or empty text has zero for every count, is ``base_failed`` and not kept. Repeated rows get one
-result row each. Without labelled rows of both classes every score is 1, so only the base rules reject.
+result row each. Without labelled rows of both classes every score is 1, so only the base rules reject. An empty table gives no rows.
 """
 
 from __future__ import annotations

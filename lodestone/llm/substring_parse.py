@@ -20,7 +20,7 @@ string instead, which changes where they are compared but no result; strings dea
 texts are fetched for contested phrases alone.
 
 Defined results: a null text is empty; texts under 100 bytes are never cut; rows without an id rank last; rows that share
-an id are one document in rank, so equal rows of one id do not remove each other.
+an id are one document in rank, so equal rows of one id do not remove each other; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ whose maps compose from left to right; a map holds the states that occur as entr
 
 Whole texts are counted in one pass without a shuffle. Memory follows a block of about 1 MB or the longest document, and
 caches of bounded size that are emptied when full. Null texts count as empty: 0 bytes, 0 tokens. Repeated rows get one
-result row each.
+result row each; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ rising in each of them, for the score.
 The lexicon is bounded by the sample: a term is in at least ``least_share`` of its toxic documents, so there are at most
 ``1 / least_share`` times as many as such a document has different words and stems. Lexicon, automaton and trees are sent to the tasks; scoring is one
 pass over whole texts without a shuffle. Defined results: null and empty texts have no match and get the score of such;
-repeated rows get one result row each; without labelled rows of both classes every score is 0, or 1 if all known are toxic.
+repeated rows get one result row each; without labelled rows of both classes every score is 0, or 1 if all known are toxic;
+an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -297,3 +297,22 @@ def test_ids_with_several_texts(spark, frame):
     assert all(_set(t) for _, t in rows)
     got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(frame(rows)).collect()}
     assert got == _components(rows)
+
+
+def test_more_rules_than_the_constant_holds(spark):
+    """Over ``MOST_RULES`` rules go through the join inside ``filter_urls``; each URL's verdict is that of its longest rule."""
+    r = random.Random(21)
+    hosts = [f"h{k}.{top}" for k in range(3000) for top in ("com", "net")]
+    rows = {(h, f"/{'/'.join(str(r.randrange(4)) for _ in range(r.randint(0, 3)))}/".replace("//", "/")): r.choice(("allow", "block")) for h in hosts for _ in range(6)}
+    assert len(rows) > url_filters.MOST_RULES
+    table_ = spark.createDataFrame([("prefix", h + p, v) for (h, p), v in rows.items()], "kind string, pattern string, verdict string")
+    urls = [f"https://{r.choice(('', 'www.', 'a.b.'))}{r.choice(hosts)}/{'/'.join(str(r.randrange(4)) for _ in range(r.randint(0, 4)))}?q" for _ in range(400)] + ["http://h1.com/"] * 50
+    pages = spark.createDataFrame(list(enumerate([*urls, None, "h1.com/"])), "page_id long, url string")
+    got = {x["page_id"]: (x["rule"], x["verdict"]) for x in url_filters.filter_urls(pages, url_filters.rules_of(table_)).collect()}
+    assert len(got) == len(urls) + 2
+    for i, url in enumerate(urls):
+        host, path = re.match(r"https?://([^/?]*)([^?]*)", url).groups()
+        names = [host[k:] for k in range(len(host)) if k == 0 or host[k - 1] == "."]
+        fits = [(len(h + p), h + p, rows[h, p]) for h in names for n in range(len(path) + 1) for p in [path[:n]] if (h, p) in rows]
+        assert got[i] == ((max(fits)[1], max(fits)[2]) if fits else (None, "allow"))
+    assert got[len(urls)] == got[len(urls) + 1] == (None, "allow")
