@@ -17,7 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the quality rules keep; their trees learn from the labelled rows among ``docs``."""
+    """Keeps what the quality rules keep; their trees learn from the labelled rows among ``docs``. Null and empty texts go."""
     small_batches(spark)
     docs = docs.select(*COLUMNS)
     return quality_rules.keep(docs, quality_rules.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
@@ -49,12 +49,12 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which an item of the benchmark aligns."""
+    """Drops documents in which an item of the benchmark aligns; null texts and items match nothing."""
     return decontamination.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places every remaining document, cut where longer, in sequences of at most 2048 tokens."""
+    """Places every remaining document, cut where longer, in sequences of at most 2048 tokens; a null text is an empty one."""
     import public_tokenizers
 
     small_batches(spark)
