@@ -220,7 +220,7 @@ def webhook_results_stream(spark, d):
     sink = _folder(spark)
     repositories = nations(spark, d)
     twice = events.unionByName(events)
-    _streamed(spark, twice, "event_id", 2, lambda stream, checkpoint: feeds.webhook_results(stream, repositories, sink, checkpoint, _SECRET, "10000 days").awaitTermination())
+    _streamed(spark, twice, "event_id", 2, lambda stream, checkpoint: feeds.webhook_results(stream, repositories, sink, checkpoint, _SECRET, "10000 days", spark.sparkContext.defaultParallelism).awaitTermination())
     return spark.read.schema(changes.matched_pushes(changes.pushes(events.withColumn("payload", body.cast("string"))), repositories).schema).parquet(sink)
 
 

@@ -72,18 +72,20 @@ class LogBuffer(StatefulProcessor):
 
 
 @contextmanager
-def rocks(spark):
-    """List state needs the state store of RocksDB; a stream keeps the setting that its session has when it starts."""
-    key, own = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, own)
+def settings(spark, **given: str):
+    """The session has the settings given, ``__`` for a dot, within the block; a stream keeps those that it starts with."""
+    keys = {k.replace("__", "."): v for k, v in given.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def buffered(logs: DataFrame, capacity: int = CAPACITY, least: str = "INFO", salts: int = 8) -> DataFrame:
@@ -118,7 +120,9 @@ def keep_log(logs: DataFrame, table: Table, checkpoint: str, capacity: int = CAP
         finally:
             now.unpersist()
 
-    with rocks(logs.sparkSession):
+    # list state needs the state store of RocksDB; there are no more states than salts
+    own = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    with settings(logs.sparkSession, spark__sql__streaming__stateStore__providerClass=own, spark__sql__shuffle__partitions=str(salts)):
         return buffered(logs, capacity, least, salts).writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -143,15 +147,17 @@ def triggered(events: DataFrame, repositories: DataFrame, secret: str | None = N
     return judged(events, repositories, secret).where("status = 'sync_triggered'")
 
 
-def webhook_results(events: DataFrame, repositories: DataFrame, sink: str, checkpoint: str, secret: str | None = None, delay: str = "10 minutes") -> StreamingQuery:
+def webhook_results(events: DataFrame, repositories: DataFrame, sink: str, checkpoint: str, secret: str | None = None, delay: str = "10 minutes", partitions: int | None = None) -> StreamingQuery:
     """Writes what ``judged`` says of a stream of deliveries (event_id, ts, payload[, headers]) as Parquet under ``sink``.
 
     A delivery that comes again within ``delay`` counts once, also after a restart from ``checkpoint``. A forged delivery has no
-    such effect: those that are not authentic are told apart before ids are compared.
+    such effect: those that are not authentic are told apart before ids are compared. ``partitions``: over how many the ids
+    that are remembered are dealt, which a checkpoint keeps; without it as many as the session's shuffles have.
     """
     authentic = events.withColumn("genuine", delivery_valid(secret, F.col("payload"), F.col("headers"))) if "headers" in events.columns else events.withColumn("genuine", F.lit(secret is None))
     once = authentic.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id", "genuine"])
-    return judged(once, repositories, secret).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink)
+    with settings(events.sparkSession, **({"spark__sql__shuffle__partitions": str(partitions)} if partitions else {})):
+        return judged(once, repositories, secret).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink)
 
 
 def webhook_stream(events: DataFrame, repositories: Callable[[], DataFrame], sync: Callable[[int, str], None], checkpoint: str, delay: str = "10 minutes", secret: str | None = None) -> StreamingQuery:
