@@ -1,8 +1,8 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
 No links reach the driver; each round's links are written to the shared folder, so a lost executor costs one round. The
-number of rounds grows with the logarithm of the longest path. Aggregates combine before their shuffle, and the joins on
-a node's links are plain equi-joins that adaptive execution may split where a node has very many links.
+number of rounds grows with the logarithm of the longest path. Aggregates combine before their shuffle, and nodes with very many
+links, fewer than a fixed number, are met by a broadcast of their least neighbours (``_skew``).
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import written
+from ._skew import met
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -19,8 +20,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    out = both.join(least, "u")
+    least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")), "least")
+    out = met(both, least, ["u"])
     moved = out.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else out.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return moved.where("a <> b").distinct()
 

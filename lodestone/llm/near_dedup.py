@@ -16,8 +16,8 @@ link, and the rest are compared on full sets. Buckets with many such members go
 a next level with longer keys and more tables at the same recall, and the last level compares whatever is left; nothing is
 capped. (6) Components of the links.
 
-Every aggregate combines before its shuffle, equal sets never meet in pairs, and pairs carry no text until a join that
-adaptive execution may split. Defined results: a text without words, empty or null, has an empty set and links with
+Every aggregate combines before its shuffle, and equal sets never meet in pairs. A set, hash, bucket or centre that very many
+texts have is met by a broadcast of such keys or by salt (``_skew``), not in one task. Defined results: a text without words, empty or null, has an empty set and links with
 nothing; a row without an id takes no part (component null, kept); repeated ids are one node that has the links of all
 its rows; an empty table gives no rows.
 """
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._scratch import written
+from ._skew import met, salted
 from ._tables import table
 from ._text import LOWER, Block, Hasher, U, blocks, mix, runs, window_hash
 from .components import components
@@ -106,11 +107,11 @@ def _keys(nodes: DataFrame, tables: int) -> DataFrame:
     ``score`` counts the other holders of a node's hashes; of copies with edits, the least edited has the most.
     """
     each = nodes.select("id", F.posexplode("hashes").alias("t", "h")).withColumn("h", F.xxhash64("t", "h"))
-    shared = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    sides = each.join(shared, "h").groupBy("id").agg(
+    shared = written(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    sides = met(each, shared, ["h"]).groupBy("id").agg(
         F.sum("n").alias("score"), F.collect_list(F.when(F.col("t") < tables, F.col("h"))).alias("left"), F.collect_list(F.when(F.col("t") >= tables, F.col("h"))).alias("right")
     )
-    pairs = sides.where("size(left) > 0 AND size(right) > 0").select("id", "score", F.explode("left").alias("l"), "right").select("id", "score", "l", F.explode("right").alias("r"))
+    pairs = written(sides, "sides").where("size(left) > 0 AND size(right) > 0").select("id", "score", F.explode("left").alias("l"), "right").select("id", "score", "l", F.explode("right").alias("r"))
     return pairs.select("id", "score", F.xxhash64("l", "r").alias("key"))
 
 
@@ -137,7 +138,10 @@ def unshared(texts: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
     """(a, b, linked) of pairs (a, b): whether 100 * intersection >= ``percent`` * union of the full sets."""
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    pairs = written(pairs.select("a", "b"), "pairs")
+    # a pair's texts meet in one join on its greater id and one on its lesser; either may be the centre of very many
+    one = salted(pairs, pairs, texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a", "b")
+    both = salted(one, pairs, texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b", "a").select("a", "b", "ta", "tb")
 
     def compared(batches):
         for batch in batches:
@@ -164,7 +168,7 @@ def _nodes(sets: DataFrame) -> DataFrame:
     """
     own = sets.groupBy("id").agg(F.collect_set(F.struct("n_shingles", "hashes")).alias("sets"))
     total = F.aggregate("sets", F.lit(0).cast("long"), lambda n, s: n + s["n_shingles"])
-    return own.withColumn("all", total).select("id", "all", F.inline("sets"))
+    return written(own.withColumn("all", total).select("id", "all", F.inline("sets")), "nodes")
 
 
 def _level(nodes: DataFrame, texts_of, level: int, links: DataFrame | None, percent: int) -> DataFrame:
@@ -173,7 +177,8 @@ def _level(nodes: DataFrame, texts_of, level: int, links: DataFrame | None, perc
     keys = _keys(nodes, tables)
     # a bucket collapses to its count and its centre before its members meet
     bucket = keys.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top")).where("n > 1")
-    members = written(keys.drop("score").join(bucket.select("key", (-F.col("top.minus")).alias("first")), "key"), "buckets")
+    bucket = written(bucket.select("key", "n", (-F.col("top.minus")).alias("first")), "centres")
+    members = written(met(keys.drop("score"), bucket, ["key"]).drop("n"), "buckets")
     texts = texts_of(members.select("id").distinct())
     star = members.where("id <> first").select(F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")).distinct()
     tested = written(verified(star, texts, percent), "tested")
@@ -227,12 +232,16 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     documents = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = written(signatures(documents, *LEVELS[0]), "signatures")
     some = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    same = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = written(signed.where("doc_id IS NOT NULL AND n_shingles > 0").join(same, ["d1", "d2"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("hashes")).alias("hashes")), "members")
+    same = written(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "sets")
+    member = written(met(some, same, ["d1", "d2"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("hashes")).alias("hashes")), "members")
     nodes = _nodes(member.where("hashes IS NOT NULL").select(F.col("rep").alias("id"), "hashes", "n_shingles"))
 
+    # rows are compared with each other as whole texts only where ids repeat
+    once = member.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
     def texts_of(ids: DataFrame) -> DataFrame:
-        return written(documents.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").distinct(), "texts")
+        rows = documents.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
+        return written(rows if once else rows.distinct(), "texts")
 
     links = _level(nodes, texts_of, 0, None, percent)
     ends = member.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))

@@ -10,8 +10,9 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from lodestone.llm import _text, components, decontamination, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, substring_parse, token_counts, toxicity, url_filters
+from lodestone.llm import _skew, _text, components, decontamination, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, substring_parse, token_counts, toxicity, url_filters
 from lodestone.llm._tables import table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -225,6 +226,31 @@ def test_levels(spark, frame, monkeypatch):
     assert {x["doc_id"]: x["component_id"] for x in got} == _components(rows)
 
 
+def test_hot_keys(spark, data, frame, odd, monkeypatch):
+    """Equal results where every key of more than one row may be hot."""
+    monkeypatch.setattr(_skew, "ROWS", 1)
+    r = random.Random(9)
+    copies = [(1000 + i, "one text that very many documents have in common here") for i in range(90)]
+    for each in (list(enumerate(_family(r, 60, 9))) + copies, odd, []):
+        got = near_dedup.near_duplicates(frame(each)).collect()
+        assert {x["doc_id"]: x["component_id"] for x in got if x["doc_id"] is not None} == _components(each)
+    links = [(i, 0) for i in range(1, 300)] + [(i, i + 1) for i in range(300, 320)] + [(299, 320)]
+    got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == dict.fromkeys(range(321), 0)
+
+
+def test_hot_joins_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(_skew, "ROWS", 2)
+    rows = spark.createDataFrame([(k, i) for k in range(5) for i in range(2 ** (2 * k))], "k long, i long")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("m")).where("k <> 3")
+    assert sorted(_skew.met(rows, groups, ["k"]).collect()) == sorted(rows.join(groups, "k").collect())
+    values = spark.createDataFrame([(k, f"v{k}") for k in (0, 2, 4, 9)], "k long, v string")
+    got = _skew.salted(rows, rows, values, "k", "i")
+    assert sorted(got.collect()) == sorted(rows.join(values, "k").collect())
+    none = rows.where("k > 9")
+    assert not _skew.salted(none, none, values, "k", "i").collect() and not _skew.met(none, groups.where("k > 9"), ["k"]).collect()
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 7), (200, 201), (201, 200), (3, 3), (None, 1)]
     got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
