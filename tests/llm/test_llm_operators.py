@@ -574,3 +574,13 @@ def test_url_rules(spark):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
     got = url_filters.filter_urls(pages).orderBy("page_id").collect()
     assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in got] == list(urls.values())
+
+
+def test_listed_rules_have_the_words_of_the_contract(spark):
+    urls = {
+        "http://com/en/1": "block", "http://www.example.com/en/7": "allow", "http://a.net/de/1": "allow", "http://net/de/": "allow", "http://casino.net/de/1": "allow",
+        "http://b.example.net/de/8": "block", "http://example.net/de/7": "allow", "http://org/es/x": "block",
+    }
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    assert [r["verdict"] for r in url_filters.filter_urls(pages).orderBy("page_id").collect()] == list(urls.values())
+    assert [(r.name, r.verdict) for r in url_filters.LISTED] == [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
