@@ -11,6 +11,15 @@ SHARE = 1000
 ROWS = 1024
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` for a join that is shuffled whatever its size.
+
+    A table that grows with the input would else be sent through the driver as long as its files are small: 10 MB of them hold
+    millions of rows, which take hundreds of MB there.
+    """
+    return df.hint("merge")
+
+
 def _least(groups: DataFrame) -> tuple[int, bool]:
     """Above how many rows a key is hot, and whether any is."""
     total, most = groups.agg(F.sum("n"), F.max("n")).first()
@@ -27,9 +36,9 @@ def met(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
     """
     least, some = _least(groups)
     if not some:
-        return rows.join(groups, on)
+        return rows.join(apart(groups), on)
     hot, cold = F.broadcast(groups.where(F.col("n") > least)), groups.where(F.col("n") <= least)
-    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(apart(cold), on))
 
 
 def salted(rows: DataFrame, counted: DataFrame, values: DataFrame, key: str, other: str) -> DataFrame:
@@ -41,9 +50,9 @@ def salted(rows: DataFrame, counted: DataFrame, values: DataFrame, key: str, oth
     groups = counted.groupBy(key).agg(F.count("*").alias("n"))
     least, some = _least(groups)
     if not some:
-        return rows.join(values, key)
+        return rows.join(apart(values), key)
     ways = F.broadcast(groups.where(F.col("n") > least).select(key, F.ceil(F.col("n") / least).cast("int").alias("ways")))
     count = F.coalesce("ways", F.lit(1))
     left = rows.join(ways, key, "left").withColumn("salt", F.pmod(F.xxhash64(other), count).cast("int")).drop("ways")
     right = values.join(ways, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), count - 1))).drop("ways")
-    return left.join(right, [key, "salt"]).drop("salt")
+    return left.join(apart(right), [key, "salt"]).drop("salt")

@@ -17,7 +17,8 @@ a next level with longer keys and more tables at the same recall, and the last l
 capped. (6) Components of the links.
 
 Every aggregate combines before its shuffle, and equal sets never meet in pairs. A set, hash, bucket or centre that very many
-texts have is met by a broadcast of such keys or by salt (``_skew``), not in one task. Defined results: a text without words, empty or null, has an empty set and links with
+texts have is met by a broadcast of such keys or by salt (``_skew``), not in one task; no other
+join sends a table through the driver, however small its files. Defined results: a text without words, empty or null, has an empty set and links with
 nothing; a row without an id takes no part (component null, kept); repeated ids are one node that has the links of all
 its rows; an empty table gives no rows.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._scratch import written
-from ._skew import met, salted
+from ._skew import apart, met, salted
 from ._tables import table
 from ._text import LOWER, Block, Hasher, U, blocks, mix, runs, window_hash
 from .components import components
@@ -185,19 +186,19 @@ def _level(nodes: DataFrame, texts_of, level: int, links: DataFrame | None, perc
     found = tested.where("linked").select("a", "b")
     found = found if links is None else found.unionByName(links)
     failed = tested.where("NOT linked").select("a", "b")
-    mixed = written(members.select("key", F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")).join(failed, ["a", "b"]).select("key").distinct(), "mixed")
+    mixed = written(members.select("key", F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")).join(apart(failed), ["a", "b"]).select("key").distinct(), "mixed")
     if mixed.isEmpty():
         return found
     groups = components(found).withColumnRenamed("node", "id")
-    ids = members.join(mixed, "key").select("id").distinct()
-    own = unshared(texts.join(ids, "id", "left_semi"))
-    bounds = nodes.join(ids, "id", "left_semi").join(own, "id", "left").select("id", "hashes", F.col("n_shingles").alias("n"), "all", F.least("n_shingles", F.col("all") - F.coalesce("own", F.lit(0))).alias("common"))
-    mine = bounds.where(f"100 * common >= {percent} * n").join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    ids = members.join(apart(mixed), "key").select("id").distinct()
+    own = unshared(texts.join(apart(ids), "id", "left_semi"))
+    bounds = nodes.join(apart(ids), "id", "left_semi").join(apart(own), "id", "left").select("id", "hashes", F.col("n_shingles").alias("n"), "all", F.least("n_shingles", F.col("all") - F.coalesce("own", F.lit(0))).alias("common"))
+    mine = bounds.where(f"100 * common >= {percent} * n").join(apart(groups), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     mine = written(mine, "candidates")
     # pairs that share a rare shingle are few; what other pairs can share is bounded by their common shingles
-    each = written(_exploded(texts.join(mine.select("id"), "id", "left_semi")), "shingles")
-    rare = each.join(each.groupBy("x").agg(F.count("*").alias("df")).where(f"df <= {RARE}"), "x")
-    mine = mine.join(rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left").withColumn("plain", F.least("n", F.col("all") - F.coalesce("rare", F.lit(0))))
+    each = written(_exploded(texts.join(apart(mine.select("id")), "id", "left_semi")), "shingles")
+    rare = each.join(apart(each.groupBy("x").agg(F.count("*").alias("df")).where(f"df <= {RARE}")), "x")
+    mine = mine.join(apart(rare.groupBy("id").agg(F.count("*").alias("rare"))), "id", "left").withColumn("plain", F.least("n", F.col("all") - F.coalesce("rare", F.lit(0))))
     mine = written(mine.select("id", "c", "n", "common", "plain", "hashes"), "bounded")
     # one bucket a left hash here: a pair meets in the first that it shares, and has to share a right one
     inside = mine.select("*", F.posexplode(F.slice("hashes", 1, tables)).alias("t", "key"))
@@ -206,24 +207,24 @@ def _level(nodes: DataFrame, texts_of, level: int, links: DataFrame | None, perc
     last = level + 1 == len(LEVELS)
     at_once = sizes if last else sizes.where(F.col("few") <= FEW)
     side = lambda d, z: d.select("t", "key", *(F.col(c).alias(c + z) for c in ("id", "c", "n", "plain", "hashes")))
-    few = inside.join(at_once, ["t", "key"]).where("c <> most")
+    few = inside.join(apart(at_once), ["t", "key"]).where("c <> most")
     room = lambda c: f"cx <> cy AND 100 * least({c}x, {c}y) >= {percent} * (nx + ny - least({c}x, {c}y))"
     same = lambda start, n: f"exists(zip_with(slice(hashesx, {start}, {n}), slice(hashesy, {start}, {n}), (p, q) -> p = q), z -> z)"
     once = F.expr(f"{room('plain')} AND NOT {same(1, 't')} AND {same(tables + 1, tables)}")
-    pairs = side(few, "x").join(side(inside, "y"), ["t", "key"]).where(once).select("idx", "idy")
+    pairs = side(few, "x").join(apart(side(inside, "y")), ["t", "key"]).where(once).select("idx", "idy")
     tied = rare.where("df > 1").select("x", "id")
-    ties = tied.withColumnRenamed("id", "idx").join(tied.withColumnRenamed("id", "idy"), "x").where("idx < idy").select("idx", "idy").distinct()
+    ties = tied.withColumnRenamed("id", "idx").join(apart(tied.withColumnRenamed("id", "idy")), "x").where("idx < idy").select("idx", "idy").distinct()
     for z in "xy":
-        ties = ties.join(mine.select(*(F.col(c).alias(c + z) for c in ("id", "c", "n", "common"))), f"id{z}")
+        ties = ties.join(apart(mine.select(*(F.col(c).alias(c + z) for c in ("id", "c", "n", "common")))), f"id{z}")
     pairs = pairs.unionByName(ties.where(F.expr(room("common"))).select("idx", "idy"))
-    pairs = pairs.select(F.greatest("idx", "idy").alias("a"), F.least("idx", "idy").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = pairs.select(F.greatest("idx", "idy").alias("a"), F.least("idx", "idy").alias("b")).distinct().join(apart(tested.select("a", "b")), ["a", "b"], "left_anti")
     found = written(found.unionByName(verified(pairs, texts, percent).where("linked").select("a", "b")), "found")
     if last:
         return found
-    rest = inside.join(sizes.where(F.col("few") > FEW).select("t", "key"), ["t", "key"]).select("id").distinct()
+    rest = inside.join(apart(sizes.where(F.col("few") > FEW).select("t", "key")), ["t", "key"]).select("id").distinct()
     if rest.isEmpty():
         return found
-    again = written(signatures(texts.join(rest, "id").withColumnRenamed("id", "doc_id"), *LEVELS[level + 1], seed=level + 2), "signatures")
+    again = written(signatures(texts.join(apart(rest), "id").withColumnRenamed("id", "doc_id"), *LEVELS[level + 1], seed=level + 2), "signatures")
     return _level(_nodes(again.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "hashes", "n_shingles")), texts_of, level + 1, found, percent)
 
 
@@ -240,16 +241,16 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     once = member.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        rows = documents.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
+        rows = documents.withColumnRenamed("doc_id", "id").join(apart(ids), "id", "left_semi")
         return written(rows if once else rows.distinct(), "texts")
 
     links = _level(nodes, texts_of, 0, None, percent)
     ends = member.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
     # an id that occurs with several texts ties their sets together
-    several = member.join(ends.where("low <> high").select("doc_id", "low"), "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    several = member.join(apart(ends.where("low <> high").select("doc_id", "low")), "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     of = components(links.unionByName(several))
-    linked = ends.join(of.withColumnRenamed("node", "low"), "low", "left").select("doc_id", F.coalesce("component", "low").alias("c"))
-    out = signed.select("doc_id", "n_shingles").join(linked, "doc_id", "left").withColumn("component_id", F.coalesce("c", "doc_id"))
+    linked = ends.join(apart(of.withColumnRenamed("node", "low")), "low", "left").select("doc_id", F.coalesce("component", "low").alias("c"))
+    out = signed.select("doc_id", "n_shingles").join(apart(linked), "doc_id", "left").withColumn("component_id", F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

@@ -584,3 +584,11 @@ def test_listed_rules_have_the_words_of_the_contract(spark):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
     assert [r["verdict"] for r in url_filters.filter_urls(pages).orderBy("page_id").collect()] == list(urls.values())
     assert [(r.name, r.verdict) for r in url_filters.LISTED] == [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def test_joins_of_near_dedup_pass_nothing_whole_through_the_driver(spark, frame):
+    docs = frame([(i, f"{'a b c d e f g h i j k ' * 3}w{i % 7} w{i % 3}") for i in range(60)])
+    groups = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    for df in (_skew.met(docs.select("doc_id"), groups, ["doc_id"]), _skew.salted(docs.select("doc_id", "text"), docs.select("doc_id"), docs.select("doc_id", "lang"), "doc_id", "text"), near_dedup.near_duplicates(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
