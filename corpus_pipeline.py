@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination, near_dedup, packing, quality_rules, substring_dedup
 from lodestone.llm._scratch import written
+from lodestone.llm._skew import apart
 from lodestone.llm._tables import small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,11 +36,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     out = written(found.where("NOT kept").select("doc_id").distinct(), "dropped")
     again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     again = written(again, "repeated")
-    left = docs.join(out, "doc_id", "left_anti")
+    # rows without an id have no part in the joins, where they would all meet in one task
+    nameless, docs = docs.where("doc_id IS NULL"), docs.where("doc_id IS NOT NULL")
+    left = docs.join(apart(out), "doc_id", "left_anti")
     if again.isEmpty():
-        return left
-    many = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text", "lang", "source", "n_chars").alias("h"), "text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*").select(*COLUMNS)
-    return left.join(again, "doc_id", "left_anti").unionByName(many)
+        return left.unionByName(nameless)
+    many = left.join(apart(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text", "lang", "source", "n_chars").alias("h"), "text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*").select(*COLUMNS)
+    return left.join(apart(again), "doc_id", "left_anti").unionByName(many).unionByName(nameless)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

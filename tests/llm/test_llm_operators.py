@@ -592,3 +592,13 @@ def test_joins_of_near_dedup_pass_nothing_whole_through_the_driver(spark, frame)
     for df in (_skew.met(docs.select("doc_id"), groups, ["doc_id"]), _skew.salted(docs.select("doc_id", "text"), docs.select("doc_id"), docs.select("doc_id", "lang"), "doc_id", "text"), near_dedup.near_duplicates(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_near_duplicates_stage_joins_without_broadcast_and_keeps_rows_without_id(spark, frame):
+    import corpus_pipeline
+
+    same = " ".join(f"w{i}" for i in range(40))
+    docs = frame([(1, same), (2, same), (3, "other words of another text here"), (None, same), (None, same), (4, "a b c d e f g"), (4, "h i j k l m n")])
+    left = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert "Broadcast" not in left._jdf.queryExecution().executedPlan().toString()
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "3", "4", "None", "None"]
