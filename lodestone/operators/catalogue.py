@@ -384,7 +384,7 @@ def bm25_topk_from_postings(spark, d):
 
 @_query(f"WITH {_QUERY_SQL}, {_SPARSE_SQL} SELECT query_id, id, score, rank FROM {_top_sql(_SPARSE, 5)}")
 def bm25_topk_from_texts(spark, d):
-    return retrieval.top_per_query(retrieval.sparse_scores(_docs(spark, d), _queries(spark, d)), 5)
+    return retrieval.sparse_batch(_docs(spark, d), _queries(spark, d), 5)
 
 
 @_query(f"WITH {_QUERY_SQL}, {_SPARSE_SQL}, {_IDF_SQL} SELECT query_id, id, score, rank FROM {_top_sql('SELECT query_id, id, round(sum(w * q * idf), 6) AS score FROM d JOIN q USING (term) JOIN f USING (term) GROUP BY query_id, id', 5)}")

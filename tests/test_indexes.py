@@ -174,3 +174,25 @@ def test_an_index_follows_its_table(spark, tmp_path):
     spark.createDataFrame([(3, "c c", "en", "s")], rows.schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     later = catalogue._blocks(spark, str(tmp_path))
     assert later.path != first.path and later.size().first()["rows"] == 1
+
+
+def test_first_rows_of_texts_and_postings_are_those_of_all_scores(spark, monkeypatch):
+    """In pieces of any size, with repeated ids, null texts and queries without hits; scores are not shuffled before tasks keep their best."""
+    r = random.Random(3)
+    say = lambda n: " ".join(f"w{int(r.paretovariate(0.7)) % 60}" for _ in range(n))
+    docs = spark.createDataFrame([(i, say(r.randrange(40))) for i in range(200)] + [(500, None)], "id long, text string").repartition(7)
+    queries = spark.createDataFrame([(i, say(6)) for i in range(9)] + [(9, "absent"), (10, "")], "query_id long, text string")
+    posts = retrieval.postings(docs)
+    for cells, products in ((1 << 17, 1 << 20), (20, 5)):
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        monkeypatch.setattr(retrieval, "PRODUCTS", products)
+        for model in (retrieval.BM25(), retrieval.BM25(stop=("w1",)), retrieval.BM25(idf=True)):
+            want = _rows(retrieval.top_per_query(retrieval.sparse_scores(docs, queries, model=model), 4))
+            assert _rows(retrieval.sparse_batch(docs, queries, 4, model=model)) == want
+            if not model.stop:
+                assert _rows(retrieval.posting_batch(posts, queries, 4, rows=docs, model=model)) == want
+    twice = docs.unionByName(docs.where("id < 50").select("id", F.lit("w1 w2 w3").alias("text")))
+    whole = twice.groupBy("id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    assert _rows(retrieval.sparse_batch(twice, queries, 4)) == _rows(retrieval.sparse_batch(whole, queries, 4))
+    plan = retrieval.sparse_batch(docs, queries, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "HashAggregate" not in plan
