@@ -397,7 +397,7 @@ _STOP = ("the", "of", "and", "die", "der", "la", "el", "de")
 
 @_query(f"WITH {_QUERY_SQL}, {_SPARSE_SQL} SELECT query_id, id, score, rank FROM {_top_sql(_SPARSE, 5)}".replace(f"{_TERMS} AS term FROM documents)", f"term FROM (SELECT doc_id, {_TERMS} AS term FROM documents) WHERE term NOT IN {_STOP})").replace(f"{_TERMS} AS term FROM queries)", f"term FROM (SELECT query_id, {_TERMS} AS term FROM queries) WHERE term NOT IN {_STOP})"))
 def bm25_topk_without_stop_words(spark, d):
-    return retrieval.top_per_query(retrieval.sparse_scores(_docs(spark, d), _queries(spark, d), model=retrieval.BM25(stop=_STOP)), 5)
+    return retrieval.sparse_batch(_docs(spark, d), _queries(spark, d), 5, model=retrieval.BM25(stop=_STOP))
 
 
 @_query(f"WITH {_QUERY_SQL}, {_SPARSE_SQL} SELECT id, score FROM ({_SPARSE}) WHERE query_id = 3 ORDER BY score DESC, id LIMIT 10")
