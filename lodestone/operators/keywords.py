@@ -41,8 +41,12 @@ def ranked_keywords(df: DataFrame, id_: str = "doc_id", text: str = "text", n: i
 
 
 def counted_keywords(df: DataFrame, id_: str = "doc_id", text: str = "text", n: int = 25) -> DataFrame:
-    """The same of each id, which may have several rows, in DataFrame functions; counts combine by id and word."""
-    each = df.select(F.col(id_).alias("id"), F.posexplode(keyword_tokens(F.coalesce(text, F.lit("")))).alias("pos", "word"))
+    """The same of each id, which may have several rows, in DataFrame functions; counts combine by id and word.
+
+    The texts are shuffled, by id, instead of their words with ids, places and counts: twice, by (id, word) and by id.
+    """
+    rows = df.select(F.col(id_).alias("id"), F.col(text).alias("text")).repartition("id")
+    each = rows.select("id", F.posexplode(keyword_tokens(F.coalesce("text", F.lit("")))).alias("pos", "word"))
     counted = each.groupBy("id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     own = counted.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "first", "word"))), 1, n).alias("top"))
     return own.select("id", F.posexplode("top").alias("rank", "t")).select("id", (F.col("rank") + 1).alias("rank"), F.col("t.word").alias("word"), (-F.col("t.m")).alias("n"))
