@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, languages, text, urls
+from ..functions.batches import small_batches
 from ..sources.folders import new_path, remove
 from ..sources.store import Table
 from . import catalog, changes, chunking, filters, keywords, retrieval, symbols
@@ -30,6 +31,7 @@ def _query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 

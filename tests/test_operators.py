@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.operators import changes, chunking, filters, keywords, retrieval, symbols
+from lodestone.operators import catalogue, changes, chunking, filters, keywords, retrieval, symbols
 
 
 def _greedy(text, most, overlap):
@@ -143,3 +143,16 @@ def test_poll(spark):
     heads = spark.createDataFrame([(1, "a"), (2, "x"), (3, "x"), (4, "d"), (5, None)], "id long, sha string")
     assert tuple(changes.poll(repos, heads).first()) == (3, 2)
     assert {r["id"] for r in changes.stale_repositories(repos, heads).collect()} == {2, 3, 4, 5}
+
+
+def test_counted_keywords_shuffle_texts_once(spark):
+    df = spark.createDataFrame([(1, "alpha beta alpha"), (1, "beta gamma beta"), (2, None), (None, "delta delta")], "doc_id long, text string")
+    out = keywords.counted_keywords(df)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted((str(r["id"]), r["rank"], r["word"], r["n"]) for r in out.collect()) == [("1", 1, "beta", 3), ("1", 2, "alpha", 2), ("1", 3, "gamma", 1), ("None", 1, "delta", 2)]
+
+
+def test_queries_send_texts_to_python_in_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    catalogue.keyword_cloud(spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 1000
