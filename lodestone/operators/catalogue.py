@@ -381,7 +381,7 @@ def bm25_topk(spark, d):
 
 @_query(f"WITH {_QUERY_SQL}, {_SPARSE_SQL} SELECT query_id, id, score, rank FROM {_top_sql(_SPARSE, 5)}")
 def bm25_topk_from_postings(spark, d):
-    return retrieval.top_per_query(retrieval.posting_scores(_postings(spark, d), _queries(spark, d)), 5)
+    return retrieval.posting_batch(_postings(spark, d), _queries(spark, d), 5)
 
 
 @_query(f"WITH {_QUERY_SQL}, {_SPARSE_SQL} SELECT query_id, id, score, rank FROM {_top_sql(_SPARSE, 5)}")
