@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .retrieval import BM25, MOST_TERMS, NAMED_TERMS, TERM_BYTES, _rarity, postings, query_weights, top_per_query
+from .retrieval import BM25, MOST_TERMS, NAMED_TERMS, TERM_BYTES, _rarity, _sent, postings, query_weights, top_per_query
 
 #: Postings in a block, and rows in a shard, about.
 BLOCK, SHARD_ROWS = 128, 1 << 14
@@ -223,8 +223,10 @@ class BlockIndex:
         if model.idf:
             if ids is not None:
                 raise ValueError("rarity is that of the whole index")
-            wanted = q.select("term").distinct()
-            holders = self.rows().join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+            q, names = _sent(q)
+            # few terms are named to the scan, which then skips the others' row groups
+            held = self.rows().select("term", "n").where(F.col("term").isin(names)) if names is not None else self.rows().select("term", "n").join(q.select("term").distinct(), "term", "left_semi")
+            holders = held.groupBy("term").agg(F.sum("n").alias("df"))
             q = q.join(_rarity(holders, rows), "term").select("query_id", "term", (F.col("q") * F.col("idf")).alias("q"))
         first = q.limit(MOST_TERMS + 1).toArrow()
         if first.num_rows <= MOST_TERMS and first.nbytes <= TERM_BYTES:
