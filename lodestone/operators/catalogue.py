@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, languages, text, urls
-from ..functions.batches import small_batches
+from ..functions.batches import small_batches, spread
 from ..sources.folders import new_path, remove
 from ..sources.store import Table
 from . import catalog, changes, chunking, filters, keywords, retrieval, symbols
@@ -287,7 +287,7 @@ DECLARED_SQL = f"""(SELECT p_brand AS repo, 'src/' || p_partkey || '.' || ext AS
 
 @_query(f"SELECT repo, filepath, full_symbol, kind, start_line, end_line FROM {DECLARED_SQL}")
 def symbol_extract(spark, d):
-    return symbols.symbol_rows(symbols.extracted(code_files(spark, d))).select("repo", "filepath", "full_symbol", "kind", "start_line", "end_line")
+    return symbols.symbol_rows(symbols.extracted(spread(code_files(spark, d), "filepath"))).select("repo", "filepath", "full_symbol", "kind", "start_line", "end_line")
 
 
 # retrieval

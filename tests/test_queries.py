@@ -5,7 +5,8 @@ import math
 import duckdb
 import pytest
 
-from lodestone.operators import catalogue
+from lodestone.functions.batches import spread
+from lodestone.operators import catalogue, symbols
 from lodestone.plans import queries  # noqa: F401  registers its queries
 
 DATA = "/root/testdata/sf0.001"
@@ -46,3 +47,27 @@ def test_filters_reach_the_scan(spark):
 def test_top_k_is_no_full_sort(spark):
     plan = catalogue.QUERIES["dense_topk_filtered"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "EqualTo(label,3)" in plan
+
+
+def test_source_files_are_parsed_once_and_by_all_cores(spark, sql, monkeypatch):
+    given, parsed, extract, extracted = [], spark.sparkContext.accumulator(0), symbols.extract, symbols.extracted
+
+    def counted(*args):
+        parsed.add(1)
+        return extract(*args)
+
+    monkeypatch.setattr(symbols, "extract", counted)
+    monkeypatch.setattr(symbols, "extracted", lambda files: given.append(files) or extracted(files))
+    out = catalogue.QUERIES["symbol_purge"](spark, DATA)
+    files, again = sql.sql("SELECT count(*), count(*) FILTER (p_partkey % 12 = 0) FROM part").fetchall()[0]
+    assert parsed.value == files + again  # files that have new symbols take a second time
+    assert out.count() == sql.sql(f"SELECT count(*) FROM ({catalogue.ORACLE_SQL['symbol_purge']})").fetchall()[0][0]
+    catalogue.QUERIES["symbol_extract"](spark, DATA)
+    assert [f.rdd.getNumPartitions() for f in given] == [spark.sparkContext.defaultParallelism] * 3
+
+
+def test_small_rows_are_dealt_by_their_number(spark):
+    rows = spark.range(0, 1000, 1, 1)
+    dealt = spread(rows, "id", most=100)
+    assert dealt.rdd.getNumPartitions() == 10 and sorted(r[0] for r in dealt.collect()) == list(range(1000))
+    assert spread(rows.where("id < 0"), "id").count() == 0
