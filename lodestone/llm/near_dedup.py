@@ -34,7 +34,7 @@ from ._scratch import written
 from ._skew import apart, met, salted
 from ._tables import table
 from ._text import LOWER, Block, Hasher, U, blocks, mix, runs, window_hash
-from .components import components
+from .components import stars
 
 #: (rows, tables) of each level.
 LEVELS = ((3, 14), (5, 30), (8, 75))
@@ -186,11 +186,13 @@ def _level(nodes: DataFrame, texts_of, level: int, links: DataFrame | None, perc
     found = tested.where("linked").select("a", "b")
     found = found if links is None else found.unionByName(links)
     failed = tested.where("NOT linked").select("a", "b")
-    mixed = written(members.select("key", F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")).join(apart(failed), ["a", "b"]).select("key").distinct(), "mixed")
-    if mixed.isEmpty():
+    if failed.isEmpty():
         return found
-    groups = components(found).withColumnRenamed("node", "id")
-    ids = members.join(apart(mixed), "key").select("id").distinct()
+    mixed = members.select("key", F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")).join(apart(failed), ["a", "b"]).select("key").distinct()
+    ids = written(members.select("key", "id").join(apart(mixed), "key").select("id").distinct(), "mixed")
+    # a component's least node has no row here and is its own
+    found = stars(found)
+    groups = found.select(F.col("a").alias("id"), F.col("b").alias("component"))
     own = unshared(texts.join(apart(ids), "id", "left_semi"))
     bounds = nodes.join(apart(ids), "id", "left_semi").join(apart(own), "id", "left").select("id", "hashes", F.col("n_shingles").alias("n"), "all", F.least("n_shingles", F.col("all") - F.coalesce("own", F.lit(0))).alias("common"))
     mine = bounds.where(f"100 * common >= {percent} * n").join(apart(groups), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
@@ -212,13 +214,11 @@ def _level(nodes: DataFrame, texts_of, level: int, links: DataFrame | None, perc
     same = lambda start, n: f"exists(zip_with(slice(hashesx, {start}, {n}), slice(hashesy, {start}, {n}), (p, q) -> p = q), z -> z)"
     once = F.expr(f"{room('plain')} AND NOT {same(1, 't')} AND {same(tables + 1, tables)}")
     pairs = side(few, "x").join(apart(side(inside, "y")), ["t", "key"]).where(once).select("idx", "idy")
-    tied = rare.where("df > 1").select("x", "id")
-    ties = tied.withColumnRenamed("id", "idx").join(apart(tied.withColumnRenamed("id", "idy")), "x").where("idx < idy").select("idx", "idy").distinct()
-    for z in "xy":
-        ties = ties.join(apart(mine.select(*(F.col(c).alias(c + z) for c in ("id", "c", "n", "common")))), f"id{z}")
-    pairs = pairs.unionByName(ties.where(F.expr(room("common"))).select("idx", "idy"))
-    pairs = pairs.select(F.greatest("idx", "idy").alias("a"), F.least("idx", "idy").alias("b")).distinct().join(apart(tested.select("a", "b")), ["a", "b"], "left_anti")
-    found = written(found.unionByName(verified(pairs, texts, percent).where("linked").select("a", "b")), "found")
+    tied = rare.where("df > 1").select("x", "id").join(apart(mine.select("id", "c", "n", "common")), "id")
+    tie = lambda z: tied.select("x", *(F.col(c).alias(c + z) for c in ("id", "c", "n", "common")))
+    ties = tie("x").join(apart(tie("y")), "x").where("idx < idy").where(F.expr(room("common"))).select("idx", "idy")
+    pairs = pairs.unionByName(ties).select(F.greatest("idx", "idy").alias("a"), F.least("idx", "idy").alias("b")).distinct().join(apart(tested.select("a", "b")), ["a", "b"], "left_anti")
+    found = found.unionByName(written(verified(pairs, texts, percent).where("linked").select("a", "b"), "found"))
     if last:
         return found
     rest = inside.join(apart(sizes.where(F.col("few") > FEW).select("t", "key")), ["t", "key"]).select("id").distinct()
@@ -235,23 +235,30 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     some = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     same = written(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "sets")
     member = written(met(some, same, ["d1", "d2"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("hashes")).alias("hashes")), "members")
-    nodes = _nodes(member.where("hashes IS NOT NULL").select(F.col("rep").alias("id"), "hashes", "n_shingles"))
+    # an id has one row, and so one set, as a rule
+    once = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    sets = member.where("hashes IS NOT NULL").select(F.col("rep").alias("id"), "hashes", "n_shingles")
+    nodes = sets.withColumn("all", F.col("n_shingles")) if once else _nodes(sets)
 
     # rows are compared with each other as whole texts only where ids repeat
-    once = member.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-
     def texts_of(ids: DataFrame) -> DataFrame:
         rows = documents.withColumnRenamed("doc_id", "id").join(apart(ids), "id", "left_semi")
         return written(rows if once else rows.distinct(), "texts")
 
     links = _level(nodes, texts_of, 0, None, percent)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    if once:
+        of = stars(links).select(F.col("a").alias("rep"), F.col("b").alias("component"))
+        linked = member.select("doc_id", "n_shingles", "rep").join(apart(of), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+        alone = signed.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return linked.unionByName(alone).select("doc_id", "n_shingles", "component_id", kept)
     ends = member.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
     # an id that occurs with several texts ties their sets together
     several = member.join(apart(ends.where("low <> high").select("doc_id", "low")), "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    of = components(links.unionByName(several))
-    linked = ends.join(apart(of.withColumnRenamed("node", "low")), "low", "left").select("doc_id", F.coalesce("component", "low").alias("c"))
+    of = stars(links.unionByName(several)).select(F.col("a").alias("low"), F.col("b").alias("component"))
+    linked = ends.join(apart(of), "low", "left").select("doc_id", F.coalesce("component", "low").alias("c"))
     out = signed.select("doc_id", "n_shingles").join(apart(linked), "doc_id", "left").withColumn("component_id", F.coalesce("c", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", kept)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

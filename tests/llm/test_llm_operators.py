@@ -602,3 +602,58 @@ def test_near_duplicates_stage_joins_without_broadcast_and_keeps_rows_without_id
     left = corpus_pipeline.near_duplicates(spark, docs, "")
     assert "Broadcast" not in left._jdf.queryExecution().executedPlan().toString()
     assert sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "3", "4", "None", "None"]
+
+
+def _stages(spark, run):
+    """What ``run`` returns, and the number of stages of its jobs."""
+    group = f"stages-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    tracker = spark.sparkContext.statusTracker()
+    return out, len({k for j in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(j).stageIds})
+
+
+def test_components_take_few_stages(spark):
+    """Where there are many partitions each stage costs as many tasks, however few its rows."""
+    links = [(i, 5 * (i % 40)) for i in range(200, 3000)] + [(i, 5 * (i % 39)) for i in range(200, 3000, 9)] + [(7000 + i, 7001 + i) for i in range(20)]
+    got, stages = _stages(spark, lambda: dict(components.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()))
+    parent = {x: x for e in links for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    assert got == {x: find(x) for x in parent}
+    assert stages <= 60
+
+
+def test_near_duplicates_take_few_stages(spark, frame):
+    rows = list(enumerate(_family(random.Random(12), 60, 14)))
+    got, stages = _stages(spark, lambda: near_dedup.near_duplicates(frame(rows)).collect())
+    assert {x["doc_id"]: x["component_id"] for x in got} == _components(rows)
+    assert stages <= 240
+
+
+def test_components_join_links_by_chunks(spark, monkeypatch):
+    """A task's links need not fit one chunk; ids may be negative, links repeated."""
+    monkeypatch.setattr(components, "CHUNK", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        r = random.Random(4)
+        links = [(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(220)] * 2 + [(i, i + 1) for i in range(400, 440)]
+        got = dict(components.components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    low = {x: x for e in links for x in e if e[0] != e[1]}
+    for _ in low:
+        for a, b in links:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    assert got == low
